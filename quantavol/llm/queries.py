@@ -4,23 +4,50 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quantavol.llm import mixing, sharding
+from quantavol.llm import ann, language, mixing, packing, quality, sharding, warc
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def tokenizer_path(name: str = packing.TOKENIZER) -> str:
+    """The place of a public vocabulary file; it is never copied."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(spark, read(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op3_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))[0]
+
+
 def op4_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place_documents(spark, read(spark, sf_dir, "documents"), 8)
 
 
+def op5_rank_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(spark, read(spark, sf_dir, "documents"))
+
+
+def op6_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(spark, read(spark, sf_dir, "pages"))
+
+
+def op8_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search_embeddings(spark, read(spark, sf_dir, "embeddings"))
+
+
 def op9_flow_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(spark, read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_jump_shards, op9_flow_mix)}
+    return {f.__name__: f for f in (op2_histogram_packing, op3_decision_list, op4_jump_shards, op5_rank_profiles, op6_zip_warc, op8_prefix_forest, op9_flow_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
