@@ -8,6 +8,7 @@ expression, so scoring needs no Python beyond the text statistics.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -15,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quantavol.llm import _text as t
 from quantavol.llm._common import Stage, need
@@ -74,7 +76,6 @@ def text_statistics(column: pa.Array) -> dict[str, np.ndarray]:
         cut = np.flatnonzero(data == 10)
         cut_doc = np.searchsorted(at, cut, side="right") - 1
         starts = np.concatenate((at[:-1], cut + 1))
-        ends = np.concatenate((at[1:], cut))
         owner = np.concatenate((np.arange(n), cut_doc))
         order = np.lexsort((starts, owner))
         starts, owner = starts[order], owner[order]
@@ -114,27 +115,29 @@ def text_statistics(column: pa.Array) -> dict[str, np.ndarray]:
         }
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, COUNTS and RATIOS of every document, in one read of the text and without a shuffle.
+def statistics(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), prefix: str = "") -> DataFrame:
+    """The carried columns, COUNTS and RATIOS of every document, in one read of the text and without
+    a shuffle. prefix: before the names of statistics, where carried columns have the same.
 
     Null and empty texts have zeros throughout. word_chars: code points in words; n_symbols:
     characters of [#*$%&|<>]; n_dup_lines: lines with a word that equal an earlier line of the
     text; n_repeat_words: words in 3-word windows found twice or more in the text, first included.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, " + ", ".join([f"{c} long" for c in COUNTS] + [f"{c} double" for c in RATIOS])
+    names = [prefix + c for c in (*COUNTS, *RATIOS)]
+    kinds = [T.LongType()] * len(COUNTS) + [T.DoubleType()] * len(RATIOS)
+    schema = T.StructType([*(docs.schema[c] for c in carry), *(T.StructField(c, k) for c, k in zip(names, kinds))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column("doc_id"), batch.column("text")
+            texts = batch.column("_text")
             for i, j in t.slices(texts):
                 got = text_statistics(texts.slice(i, j - i))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(i, j - i), *(pa.array(got[c].astype(np.int64)) for c in COUNTS), *(pa.array(got[c].astype(np.float64)) for c in RATIOS)],
-                    names=["doc_id", *COUNTS, *RATIOS],
+                    [*(batch.column(c).slice(i, j - i) for c in carry), *(pa.array(got[c].astype(np.int64)) for c in COUNTS), *(pa.array(got[c].astype(np.float64)) for c in RATIOS)],
+                    names=[*carry, *names],
                 )
 
-    return need(docs, "doc_id", "text").mapInArrow(run, schema)
+    return docs.select(*need(docs, *carry).columns, F.col("text").alias("_text")).mapInArrow(run, schema)
 
 
 class Condition(NamedTuple):
@@ -144,8 +147,8 @@ class Condition(NamedTuple):
     above: bool
     limit: float
 
-    def expression(self) -> Column:
-        c = F.col(self.column)
+    def expression(self, prefix: str = "") -> Column:
+        c = F.col(prefix + self.column)
         return c > F.lit(self.limit) if self.above else c <= F.lit(self.limit)
 
     def holds(self, x: np.ndarray, names: list[str]) -> np.ndarray:
@@ -161,12 +164,12 @@ class DecisionList(NamedTuple):
 
     rules: list[tuple[Condition, ...]]
 
-    def kept(self) -> Column:
+    def kept(self, prefix: str = "") -> Column:
         out = None
         for rule in self.rules:
             both = F.lit(True)
             for c in rule:
-                both = both & c.expression()
+                both = both & c.expression(prefix)
             out = F.when(both, F.lit(False)) if out is None else out.when(both, F.lit(False))
         return F.lit(True) if out is None else out.otherwise(F.lit(True))
 
@@ -261,15 +264,19 @@ def fit(features: DataFrame, labels: DataFrame, most_rows: int = 20_000, **optio
     """
     names = [*COUNTS, *RATIOS]
     marks = need(labels, "doc_id", "quality").dropna().groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    rows = features.join(marks, "doc_id").select("quality", *(F.col(n).cast("double") for n in names), F.xxhash64("doc_id").alias("_o"), "doc_id")
-    got = rows.orderBy("_o", "doc_id").limit(most_rows).drop("doc_id", "_o").toPandas()
+    rows = features.join(marks, "doc_id").select("quality", *(F.col(n).cast("double") for n in names), F.xxhash64("doc_id").alias("_o"))
+    # About most_rows rows reach the driver: those whose hash falls into that share of all labelled rows.
+    grain = 1 << 20
+    share = min(grain, math.ceil(grain * 1.05 * most_rows / max(marks.count(), 1)))
+    got = rows.filter(F.pmod("_o", F.lit(grain)) < share).toPandas().sort_values(["_o", *names])[:most_rows]
     if not len(got):
         return DecisionList([])
     return learn(got[names].to_numpy(dtype=np.float64), got["quality"].to_numpy() == 0, names, **options)
 
 
-def base_failed() -> Column:
-    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+def base_failed(prefix: str = "") -> Column:
+    n, repeated = F.col(f"{prefix}n_words"), F.col(f"{prefix}n_repeat_words")
+    return (n < 50) | (100 * repeated > 50 * n)
 
 
 def judge(spark: SparkSession, docs: DataFrame, labels: DataFrame, **options) -> tuple[DataFrame, DecisionList]:
@@ -278,3 +285,12 @@ def judge(spark: SparkSession, docs: DataFrame, labels: DataFrame, **options) ->
     rules = fit(features, labels, **options)
     out = features.select("doc_id", *COUNTS, base_failed().alias("base_failed"), (~base_failed() & rules.kept()).alias("kept"))
     return out, rules
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """The rows of docs that neither fail the base rules nor are rejected by the learned list, unchanged."""
+    features = Stage(spark, "quality").table(statistics(docs), "features")
+    rules = fit(features, labels, **options)
+    prefix = "_quality_"
+    judged = statistics(docs, tuple(docs.columns), prefix)
+    return judged.filter(~base_failed(prefix) & rules.kept(prefix)).select(*(F.col(f"`{c}`") for c in docs.columns))

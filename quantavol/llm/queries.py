@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quantavol.llm import ann, language, mixing, packing, quality, sharding, warc
+from quantavol.llm import ann, katz, language, mixing, neardup, packing, phrases, quality, sharding, warc
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -18,6 +19,11 @@ def tokenizer_path(name: str = packing.TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return katz.score_documents(spark, docs, language.held_out(docs, 5))
+
+
 def op2_histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(spark, read(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -38,6 +44,10 @@ def op6_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(spark, read(spark, sf_dir, "pages"))
 
 
+def op7_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(spark, read(spark, sf_dir, "documents"), 85)
+
+
 def op8_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search_embeddings(spark, read(spark, sf_dir, "embeddings"))
 
@@ -46,8 +56,13 @@ def op9_flow_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(spark, read(spark, sf_dir, "documents"))
 
 
+def op10_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = phrases.remove_repeats(spark, read(spark, sf_dir, "documents"), 20, joined=True)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_histogram_packing, op3_decision_list, op4_jump_shards, op5_rank_profiles, op6_zip_warc, op8_prefix_forest, op9_flow_mix)}
+    return {f.__name__: f for f in (op1_katz_scores, op2_histogram_packing, op3_decision_list, op4_jump_shards, op5_rank_profiles, op6_zip_warc, op7_lsh_forest, op8_prefix_forest, op9_flow_mix, op10_phrase_automata)}
 
 
 def oracle_sql() -> dict[str, str]:
