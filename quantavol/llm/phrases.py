@@ -8,9 +8,10 @@ short messages instead of rows for words:
    of them stand in two places or more.
 2. A block sends the windows of recurring anchors, each with its first place in the block; a part
    confirms which windows recur and answers which blocks don't hold the first place of all.
-3. A block compiles its confirmed windows to Aho-Corasick automata, of a bounded number of windows
-   each, over its words as characters, and streams its documents through them: every occurrence
-   but the first is removed.
+3. A block compiles the anchor phrases of its confirmed windows to Aho-Corasick automata, of a
+   bounded number of phrases each, over its words as characters, and streams its documents through
+   them. Windows around an occurrence are looked up among the confirmed ones: all but the first
+   are removed.
 
 A passage that is everywhere costs each block one entry, so no key is hot.
 """
@@ -33,8 +34,8 @@ from quantavol.llm._common import Stage, need, partitions
 
 #: Text bytes of a block; a longer document is a block of its own.
 BLOCK_BYTES = 4 << 20
-#: Windows of one automaton; with 20 words each they have fewer different words than code points.
-AUTOMATON_WINDOWS = 40_000
+#: Phrases of one automaton, which bounds its memory.
+AUTOMATON_PHRASES = 50_000
 #: The order of a null doc_id among documents: last.
 LAST = np.iinfo(np.int64).max
 
@@ -197,38 +198,52 @@ def answer_windows(table: pa.Table) -> pa.Table:
     return _reply([(b, part, squeeze(np.packbits(later[x:y]))) for b, x, y in zip(blocks, cut[:-1], cut[1:]) if later[x:y].any()])
 
 
-def covered_words(block: Block, first: np.ndarray, elsewhere: np.ndarray) -> np.ndarray:
-    """Which words of a block are covered by an occurrence of a phrase that isn't its first.
+def phrases_of(block: Block, first: np.ndarray) -> np.ndarray:
+    """Places of the distinct anchor phrases of windows: each is half a window long."""
+    anchor, index = np.unique(block.anchor[np.searchsorted(block.place, first)], return_index=True)
+    reach = first[index][:, None] + np.arange(block.reach)
+    return first[index] + (block.grams[reach] == anchor[:, None]).argmax(axis=1)
 
-    first: places of the phrases' first occurrences in the block; elsewhere: whether an earlier one
-    stands in another block, so that all occurrences here go.
-    """
-    w, width = block.words, block.width
-    edge = np.zeros(len(block.h) + 1, dtype=np.int32)
-    docs = np.searchsorted(w.first, block.place, side="right") - 1
-    docs = np.unique(docs)
+
+def locate(block: Block, phrases: np.ndarray, length: int) -> np.ndarray:
+    """Which words of a block begin an occurrence of one of the phrases, by automata over words as characters."""
+    hit = np.zeros(len(block.h), dtype=bool)
+    within = np.concatenate((t.whole_gram_mask(block.words.first, length), np.zeros(length, dtype=bool)))
     _, code = np.unique(block.h, return_inverse=True)
-    for lo in range(0, len(first), AUTOMATON_WINDOWS):
-        some, away = first[lo : lo + AUTOMATON_WINDOWS], elsewhere[lo : lo + AUTOMATON_WINDOWS]
-        cells = some[:, None] + np.arange(width)
+    for lo in range(0, len(phrases), AUTOMATON_PHRASES):
+        cells = phrases[lo : lo + AUTOMATON_PHRASES, None] + np.arange(length)
         known = np.unique(code[cells])
-        # Words of the phrases as characters from 2 on, past the surrogates; all others are 1.
-        char = np.ones(int(code.max()) + 1, dtype=np.uint32)
-        char[known] = np.arange(2, len(known) + 2, dtype=np.uint32)
-        char[char >= 0xD800] += 0x800
-        stream = char[code].astype("<u4")
-        automaton = ahocorasick.Automaton()
+        # A node's children are searched one by one, so a word is two characters of two alphabets,
+        # each of about the root of the number of words; words that no phrase has are number 0.
+        number = np.zeros(int(code.max()) + 1, dtype=np.int64)
+        number[known] = np.arange(1, len(known) + 1)
+        base = int(np.ceil(np.sqrt(len(known) + 1)))
+        stream = np.column_stack((number // base, base + number % base)).astype("<u4")[code]
         keys = stream[cells].tobytes().decode("utf-32-le")
-        for k, (place, gone) in enumerate(zip(some.tolist(), away.tolist())):
-            automaton.add_word(keys[k * width : (k + 1) * width], -1 if gone else place)
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        for k in range(0, len(keys), 2 * length):
+            automaton.add_word(keys[k : k + 2 * length])
         automaton.make_automaton()
-        hits = []
-        for a, z in zip(w.first[docs].tolist(), w.first[docs + 1].tolist()):
-            base = a - width + 1
-            hits += [base + end for end, kept in automaton.iter(stream[a:z].tobytes().decode("utf-32-le")) if base + end != kept]
-        at = np.array(hits, dtype=np.int64)
-        np.add.at(edge, at, 1)
-        np.add.at(edge, at + width, -1)
+        # One stream over all documents; what crosses from one into the next is no occurrence.
+        ends = np.fromiter((end for end, _ in automaton.iter(stream.tobytes().decode("utf-32-le"))), dtype=np.int64)
+        hit[ends // 2 - (length - 1)] = True
+    return hit & within[: len(hit)]
+
+
+def covered_words(block: Block, key: np.ndarray, first: np.ndarray, elsewhere: np.ndarray) -> np.ndarray:
+    """Which words of a block are covered by an occurrence of a confirmed window that isn't its first.
+
+    key: hashes of the windows, ascending; first: places of their first occurrences in the block;
+    elsewhere: whether an earlier one stands in another block, so that all occurrences here go.
+    """
+    hits = np.concatenate(([0], np.cumsum(locate(block, phrases_of(block, first), block.width // 2))))
+    at = block.place[hits[block.place + block.reach] > hits[block.place]]
+    found = t.gram_hashes(block.h, block.width)[at]
+    which = np.minimum(np.searchsorted(key, found), len(key) - 1)
+    gone = (key[which] == found) & (elsewhere[which] | (first[which] != at))
+    edge = np.zeros(len(block.h) + 1, dtype=np.int32)
+    np.add.at(edge, at[gone], 1)
+    np.add.at(edge, at[gone] + block.width, -1)
     return np.cumsum(edge[:-1]) > 0
 
 
@@ -310,7 +325,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, width: int = 20, joined
                 elsewhere[here] = np.unpackbits(spread(body, "u1")[0], count=len(here)).astype(bool)
             confirmed = elsewhere | more
             if confirmed.any():
-                gone = covered_words(block, at[confirmed], elsewhere[confirmed])
+                gone = covered_words(block, key_[confirmed], at[confirmed], elsewhere[confirmed])
         return _result(block, others, _kept_texts(block, gone, joined), gone)
 
     added = "kept_text string, n_words long, n_removed long, span_start array<long>, span_end array<long>"
