@@ -27,7 +27,7 @@ LENGTH = 4096
 END_ID = 2
 TOKENIZER = "word_bpe_49k.json"
 #: Words whose ids a worker keeps; then it starts anew.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 1_000_000
 
 
 class Placement(NamedTuple):
@@ -90,7 +90,8 @@ class WordEncoder:
     """Ids of texts from ids of their words, each word encoded once.
 
     The tokenizer drops white space and never joins across it, so the ids of a text are those of
-    its space-separated words one after another.
+    its space-separated words one after another. Words go to the tokenizer some thousand at a time,
+    held apart by a special token, which it never joins with its neighbours.
     """
 
     def __init__(self, path: str):
@@ -100,12 +101,50 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        special = sorted((t_ for t_ in self.tokenizer.get_added_tokens_decoder().items() if t_[1].special), key=lambda x: x[0])
+        self.mark_id, self.mark = special[0][0], special[0][1].content
+        self.specials = [x.content for _, x in special]
+        if not all(x.startswith("<") for x in self.specials):
+            raise ValueError("special tokens are taken to start with <")
         self.reset()
 
     def reset(self) -> None:
         self.key = np.zeros(0, dtype=np.uint64)
-        self.at = np.zeros(1, dtype=np.int64)
-        self.ids = np.zeros(0, dtype=np.uint32)
+        self.begin, self.length = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        self.ids, self.used = np.zeros(1 << 16, dtype=np.uint32), 0
+
+    def ids_of_words(self, words: list[str], marked: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words and how many each has. marked: whether words may hold special tokens' strings."""
+        odd = [i for i, w in enumerate(words) if "<" in w and any(s in w for s in self.specials)] if marked else []
+        own = {i: self.tokenizer.encode(words[i], add_special_tokens=False).ids for i in odd}
+        plain = [w if i not in own else "" for i, w in enumerate(words)] if own else words
+        joined = [self.mark.join(plain[i : i + 2048]) for i in range(0, len(plain), 2048)]
+        flat, lengths = [], []
+        for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False):
+            ids = np.array(e.ids, dtype=np.uint32)
+            marks = np.flatnonzero(ids == self.mark_id)
+            lengths.append(np.diff(np.concatenate(([-1], marks, [len(ids)]))) - 1)
+            flat.append(ids[ids != self.mark_id])
+        ids, n = np.concatenate(flat), np.concatenate(lengths)
+        if own:
+            at = np.concatenate(([0], np.cumsum(n)))
+            pieces = [np.array(own[i], dtype=np.uint32) if i in own else ids[at[i] : at[i + 1]] for i in range(len(words))]
+            ids, n = np.concatenate(pieces), np.array([len(p) for p in pieces], dtype=np.int64)
+        return ids, n
+
+    def learn(self, keys: np.ndarray, words: list[str], marked: bool = True) -> None:
+        """Adds words; keys: their hashes, ascending, none of them known."""
+        ids, n = self.ids_of_words(words, marked)
+        if self.used + len(ids) > len(self.ids):
+            grown = np.zeros(2 * (self.used + len(ids)), dtype=np.uint32)
+            grown[: self.used] = self.ids[: self.used]
+            self.ids = grown
+        self.ids[self.used : self.used + len(ids)] = ids
+        at = np.searchsorted(self.key, keys)
+        self.key = np.insert(self.key, at, keys)
+        self.begin = np.insert(self.begin, at, self.used + np.cumsum(n) - n)
+        self.length = np.insert(self.length, at, n)
+        self.used += len(ids)
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a slice of texts, and offsets of the texts."""
@@ -113,32 +152,25 @@ class WordEncoder:
         if not len(w.start):
             return np.zeros(0, dtype=np.uint32), np.zeros(len(w.doc_at), dtype=np.int64)
         h = t.word_hashes(w)
-        distinct, index, back = np.unique(h, return_index=True, return_inverse=True)
         if len(self.key) > KEPT_WORDS:
             self.reset()
+        # Look-ups in ascending order, each word of the slice once.
+        order = np.argsort(h)
+        ascending = h[order]
+        head = np.concatenate(([True], ascending[1:] != ascending[:-1]))
+        distinct, index = ascending[head], order[head]
         found = np.searchsorted(self.key, distinct)
-        known = np.zeros(len(distinct), dtype=bool)
+        new = np.ones(len(distinct), dtype=bool)
         inside = found < len(self.key)
-        known[inside] = self.key[found[inside]] == distinct[inside]
-        if not known.all():
-            new = np.flatnonzero(~known)
-            raw = w.data.tobytes()
-            words = [raw[a:b].decode() for a, b in zip(w.start[index[new]].tolist(), w.end[index[new]].tolist())]
-            coded = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-            lists = [c.ids for c in coded]
-            n = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
-            flat = np.fromiter((i for x in lists for i in x), dtype=np.uint32, count=int(n.sum()))
-            keys = np.concatenate((self.key, distinct[new]))
-            lengths = np.concatenate((np.diff(self.at), n))
-            begins = np.concatenate((self.at[:-1], self.at[-1] + np.cumsum(n) - n))
-            pool = np.concatenate((self.ids, flat))
-            order = np.argsort(keys)
-            self.ids = pool[t.ragged(begins[order], lengths[order])]
-            self.key, self.at = keys[order], np.concatenate(([0], np.cumsum(lengths[order])))
+        new[inside] = self.key[found[inside]] != distinct[inside]
+        if new.any():
+            raw, at = w.data.tobytes(), index[new]
+            self.learn(distinct[new], [raw[a:b].decode() for a, b in zip(w.start[at].tolist(), w.end[at].tolist())], b"<" in raw)
             found = np.searchsorted(self.key, distinct)
-        where = found[back]
-        lengths = self.at[where + 1] - self.at[where]
-        ids = self.ids[t.ragged(self.at[where], lengths)]
+        where = np.empty(len(h), dtype=np.int64)
+        where[order] = found[np.cumsum(head) - 1]
+        lengths = self.length[where]
+        ids = self.ids[t.ragged(self.begin[where], lengths)]
         return ids, np.concatenate(([0], np.cumsum(lengths)))[w.first]
 
 
