@@ -25,12 +25,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantavol.llm import _text as t
-from quantavol.llm._blocks import MESSAGE, by_part, spread, squeeze
+from quantavol.llm._blocks import MESSAGE, by_part, gaps, planes, spread, squeeze, ungap, unplane
 from quantavol.llm._common import Stage, need, partitions
 
 #: Largest count that is discounted.
 SMALL = 5
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 8 << 20
+#: Words of a block that have the smallest numbers, the most frequent first.
+RANKED = 1 << 16
 #: Hashes of the marks before and after a text; no word has them but for chance.
 BEGIN, END = (int(x) for x in t.seeds(2, 41))
 
@@ -112,10 +114,26 @@ class Block:
         self.pair_count = np.bincount(back[train], minlength=len(self.pair))
         self.pair_last, self.pair_prev = self.pair // max(m, 1), self.pair % max(m, 1)
 
+    @staticmethod
+    def pack(ids: np.ndarray, held: np.ndarray, count: np.ndarray, vocabulary: np.ndarray, code: np.ndarray) -> bytes:
+        """Frequent words get small numbers, so that the planes of bytes compress well."""
+        n = np.bincount(code, minlength=len(vocabulary))
+        top = np.argsort(-n, kind="stable")[:RANKED]
+        rest = np.ones(len(n), dtype=bool)
+        rest[top] = False
+        number = np.empty(len(n), dtype=np.uint32)
+        number[top] = np.arange(len(top))
+        number[rest] = np.arange(len(top), len(n))
+        return squeeze(ids.astype("<i8"), held.astype(np.uint8), count.astype("<u4"), gaps(vocabulary), planes(top), planes(number[code]))
+
     @staticmethod
     def open(body: bytes) -> Block:
-        ids, held, first, vocabulary, code = spread(body, "<i8", "u1", "<i8", "<u8", "<i4")
-        return Block(ids, held, first, vocabulary, code)
+        ids, held, count, vocabulary, top, number = spread(body, "<i8", "u1", "<u4", "<u8", "u1", "u1")
+        vocabulary, top = ungap(vocabulary), unplane(top)
+        rest = np.ones(len(vocabulary), dtype=bool)
+        rest[top] = False
+        code = np.concatenate((top.astype(np.int64), np.flatnonzero(rest)))[unplane(number)]
+        return Block(ids, held, np.concatenate(([0], np.cumsum(count, dtype=np.int64))), vocabulary, code)
 
     def shares(self, parts: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(part, words, pairs): numbers of the words of a part and of the pairs that end with them."""
@@ -140,8 +158,7 @@ def write_blocks(stage: Stage, docs: DataFrame) -> DataFrame:
             count, h = np.concatenate([x[2] for x in held]), np.concatenate([x[3] for x in held])
             marks = np.array([BEGIN, END], dtype=np.uint64)
             vocabulary, code = np.unique(np.concatenate((h, marks)), return_inverse=True)
-            first = np.concatenate(([0], np.cumsum(count)))
-            body = squeeze(ids.astype("<i8"), out.astype(np.uint8), first.astype("<i8"), vocabulary, code[:-2].astype("<i4"))
+            body = Block.pack(ids, out, count, vocabulary, code[:-2])
             return pa.RecordBatch.from_pydict({"block": pa.array([uuid.uuid4().int >> 65], type=pa.int64()), "body": pa.array([body], type=pa.binary())})
 
         for batch in batches:
@@ -166,77 +183,127 @@ def _totals(value: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return distinct, np.bincount(back, weights=weight, minlength=len(distinct)).astype(np.int64), back
 
 
+class Message(NamedTuple):
+    """A block's words and pairs of a part: hashes of words, their counts; hashes of first words, and
+    for each pair the numbers of its first and last word in these lists, and its count."""
+
+    words: np.ndarray
+    word_count: np.ndarray
+    contexts: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    pair_count: np.ndarray
+
+    def pack(self) -> bytes:
+        """Pairs must be in ascending order of their last words."""
+        return squeeze(gaps(self.words), planes(self.word_count, 8), gaps(self.contexts), planes(self.first), planes(gaps(self.last.astype(np.int64))), planes(self.pair_count, 8))
+
+    @staticmethod
+    def open(body: bytes) -> Message:
+        words, n, contexts, first, last, m = spread(body, "<u8", "u1", "<u8", "u1", "u1", "u1")
+        return Message(ungap(words), unplane(n, 8), ungap(contexts), unplane(first), ungap(unplane(last).astype(np.int64)), unplane(m, 8))
+
+
+def message_of(block: Block, words: np.ndarray, pairs: np.ndarray) -> Message:
+    place = np.zeros(len(block.vocabulary), dtype=np.int64)
+    place[words] = np.arange(len(words))
+    contexts, first = np.unique(block.pair_prev[pairs], return_inverse=True)
+    return Message(block.vocabulary[words], block.word_count[words], block.vocabulary[contexts], first, place[block.pair_last[pairs]], block.pair_count[pairs])
+
+
+#: Kinds of what a part gives: its partition of the model; totals for blocks; sums for contexts; counts
+#: of counts; which of the part's words each block has; all words of the part; weights of contexts.
+MODEL, TOTALS, SUMS, STATISTICS, ASKED, WORDS, WEIGHTS = range(7)
+
+
 def count_part(table: pa.Table, parts: int) -> pa.Table:
-    """Counts of a part: kind 0 its partition of the model, 1 answers to blocks, 2 sums for contexts, 3 counts of counts."""
+    """Everything that a part tells of its words and pairs (see the kinds)."""
     blocks, part = table.column("block").to_pylist(), table.column("part")[0].as_py()
-    got = [spread(b, "<u8", "<u4", "<u8", "<u4", "<u4") for b in table.column("body").to_pylist()]
-    words = np.cumsum([0, *(len(g[0]) for g in got)])
-    pairs = np.cumsum([0, *(len(g[2]) for g in got)])
-    key, count, back = _totals(np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got]))
-    context = np.concatenate([g[2] for g in got])
-    lower = back[np.concatenate([g[3] + np.uint32(0) + x for g, x in zip(got, words[:-1].astype(np.int64))]).astype(np.int64)] if pairs[-1] else np.zeros(0, dtype=np.int64)
-    contexts, which = np.unique(context, return_inverse=True)
-    pair, pair_count, pair_back = _totals(lower * max(len(contexts), 1) + which, np.concatenate([g[4] for g in got]))
+    got = [Message.open(b) for b in table.column("body").to_pylist()]
+    words = np.cumsum([0, *(len(g.words) for g in got)])
+    pairs = np.cumsum([0, *(len(g.first) for g in got)])
+    key, count, back = _totals(np.concatenate([g.words for g in got]), np.concatenate([g.word_count for g in got]))
+    contexts, which = np.unique(np.concatenate([g.contexts for g in got]), return_inverse=True)
+    seen_at = np.cumsum([0, *(len(g.contexts) for g in got)])
+    first = np.concatenate([which[a:z][g.first] for g, a, z in zip(got, seen_at[:-1], seen_at[1:])])
+    last = np.concatenate([back[a:z][g.last] for g, a, z in zip(got, words[:-1], words[1:])])
+    m = max(len(contexts), 1)
+    pair, pair_count, pair_back = _totals(last * m + first, np.concatenate([g.pair_count for g in got]))
     out: list[tuple[int, int, int, bytes]] = []
     for b, a, z, c, d in zip(blocks, words[:-1], words[1:], pairs[:-1], pairs[1:]):
-        out.append((1, b, part, squeeze(count[back[a:z]].astype("<u4"), pair_count[pair_back[c:d]].astype("<u4"))))
+        out.append((TOTALS, b, part, squeeze(planes(count[back[a:z]], 8), planes(pair_count[pair_back[c:d]], 8))))
+        out.append((ASKED, b, part, squeeze(planes(gaps(back[a:z])))))
+    out.append((WORDS, 0, part, squeeze(gaps(key))))
     seen = pair_count > 0
     pair, pair_count = pair[seen], pair_count[seen]
-    word, first = pair // max(len(contexts), 1), pair % max(len(contexts), 1)
+    word, first = pair // m, pair % m
     trained = np.flatnonzero(count > 0)
     place = np.cumsum(count > 0) - 1
-    out.append((0, 0, part, squeeze(key[trained], count[trained].astype("<u4"), place[word].astype("<u4"), contexts[first], pair_count.astype("<u4"))))
+    used, number = np.unique(first, return_inverse=True)
+    out.append((MODEL, 0, part, Message(key[trained], count[trained], contexts[used], number, place[word], pair_count).pack()))
     stats = [np.bincount(np.minimum(c, SMALL + 2), minlength=SMALL + 3)[: SMALL + 2] for c in (count[trained], pair_count)]
-    out.append((3, 0, part, np.concatenate((*stats, [count.sum(), len(trained)])).astype("<i8").tobytes()))
-
-    m = len(contexts)
-    sums = [np.bincount(first, weights=pair_count, minlength=m)]
-    sums += [np.bincount(first[pair_count == r], minlength=m) for r in range(1, SMALL + 1)]
-    below = count[word]
-    sums.append(np.bincount(first, weights=np.where(below > SMALL, below, 0), minlength=m))
-    sums += [np.bincount(first[below == r], minlength=m) for r in range(1, SMALL + 1)]
+    out.append((STATISTICS, 0, part, np.concatenate((*stats, [count.sum(), len(trained)])).astype("<i8").tobytes()))
+
+    n, below = len(used), count[word]
+    sums = [np.bincount(number, weights=pair_count, minlength=n)]
+    sums += [np.bincount(number[pair_count == r], minlength=n) for r in range(1, SMALL + 1)]
+    sums.append(np.bincount(number, weights=np.where(below > SMALL, below, 0), minlength=n))
+    sums += [np.bincount(number[below == r], minlength=n) for r in range(1, SMALL + 1)]
     sums = [s.astype("<i8") for s in sums]
-    order, cut = by_part(contexts, parts)
-    used = sums[0] > 0
+    order, cut = by_part(contexts[used], parts)
     for p in np.flatnonzero(np.diff(cut)).tolist():
         here = order[cut[p] : cut[p + 1]]
-        here = here[used[here]]
-        if len(here):
-            out.append((2, 0, p, squeeze(contexts[here], *(s[here] for s in sums))))
+        out.append((SUMS, 0, p, squeeze(gaps(contexts[used][here]), *(s[here] for s in sums))))
     kind, b, p, body = zip(*out)
     return pa.table({"kind": pa.array(kind, type=pa.int32()), "block": pa.array(b, type=pa.int64()), "part": pa.array(p, type=pa.int32()), "body": pa.array(body, type=pa.binary())})
 
 
 def weigh_contexts(sums: pa.Table, asked: pa.Table, d: Discounts) -> pa.Table:
-    """For each block's words of a part: log10 of den and of alpha; 0 and 0 for words that no training text has before another token."""
+    """For each block's words of a part: den and log10 alpha; 1 and 0 for words that no training text
+    has before another token."""
+    empty = pa.table({"block": pa.array([], type=pa.int64()), "part": pa.array([], type=pa.int32()), "body": pa.array([], type=pa.binary())})
     if not asked.num_rows:
-        return pa.table({"block": pa.array([], type=pa.int64()), "part": pa.array([], type=pa.int32()), "body": pa.array([], type=pa.binary())})
+        return empty
     got = [spread(b, "<u8", *["<i8"] * (2 * SMALL + 2)) for b in sums.column("body").to_pylist()]
-    key = np.concatenate([g[0] for g in got]) if got else np.zeros(0, dtype=np.uint64)
-    distinct, back = np.unique(key, return_inverse=True)
+    distinct, back = np.unique(np.concatenate([ungap(g[0]) for g in got]) if got else np.zeros(0, dtype=np.uint64), return_inverse=True)
     add = [np.bincount(back, weights=np.concatenate([g[1 + i] for g in got]), minlength=len(distinct)) if got else np.zeros(0) for i in range(2 * SMALL + 2)]
     den, alpha = context_weights(add[0], add[1 : SMALL + 1], add[SMALL + 1], add[SMALL + 2 :], d)
-    log_den, log_alpha = np.append(np.log10(den), 0.0), np.append(np.log10(alpha), 0.0)
+    kinds, bodies = asked.column("kind").to_pylist(), asked.column("body").to_pylist()
+    (words,) = spread(next(b for k, b in zip(kinds, bodies) if k == WORDS), "<u8")
+    words = ungap(words)
+    at = np.minimum(np.searchsorted(distinct, words), max(len(distinct) - 1, 0))
+    at = np.where(distinct[at] == words, at, len(distinct)) if len(distinct) else np.zeros(len(words), dtype=np.int64)
+    den, log_alpha = np.append(den, 1)[at].astype(np.int64), np.append(np.log10(alpha), 0.0)[at]
     out, part = [], asked.column("part")[0].as_py()
-    for b, body in zip(asked.column("block").to_pylist(), asked.column("body").to_pylist()):
-        (words,) = spread(body, "<u8")
-        at = np.minimum(np.searchsorted(distinct, words), max(len(distinct) - 1, 0))
-        at = np.where(distinct[at] == words, at, len(distinct)) if len(distinct) else np.zeros(len(words), dtype=np.int64)
-        out.append((b, part, squeeze(log_den[at], log_alpha[at])))
+    for b, k, body in zip(asked.column("block").to_pylist(), kinds, bodies):
+        if k == ASKED:
+            here = ungap(unplane(spread(body, "u1")[0]))
+            out.append((b, part, squeeze(planes(den[here], 8), _byte_planes(log_alpha[here]))))
     b, p, body = zip(*out)
     return pa.table({"block": pa.array(b, type=pa.int64()), "part": pa.array(p, type=pa.int32()), "body": pa.array(body, type=pa.binary())})
 
 
+def _byte_planes(values: np.ndarray) -> np.ndarray:
+    """Doubles as eight planes of bytes: those of sign and exponent are almost constant."""
+    return np.ascontiguousarray(values.astype("<f8").view(np.uint8).reshape(-1, 8).T).reshape(-1)
+
+
+def _of_byte_planes(data: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(data.reshape(8, -1).T).reshape(-1).view("<f8")
+
+
 def score_block(block: Block, answers: pa.Table, parts: int, d: Discounts) -> dict[str, np.ndarray]:
     """Sums of each document of a block: tokens, known tokens, base and model log10 probabilities."""
-    kinds = {1: {}, 4: {}}
+    kinds: dict[int, dict[int, bytes]] = {TOTALS: {}, WEIGHTS: {}}
     for k, p, body in zip(answers.column("kind").to_pylist(), answers.column("part").to_pylist(), answers.column("body").to_pylist()):
         kinds[k][p] = body
     words, pairs = np.zeros(len(block.vocabulary), dtype=np.int64), np.zeros(len(block.pair), dtype=np.int64)
-    log_den, log_alpha = np.zeros(len(words)), np.zeros(len(words))
+    den, log_alpha = np.ones(len(words)), np.zeros(len(words))
     for p, w, q in block.shares(parts):
-        words[w], pairs[q] = spread(kinds[1][p], "<u4", "<u4")
-        log_den[w], log_alpha[w] = spread(kinds[4][p], "<f8", "<f8")
+        words[w], pairs[q] = (unplane(x, 8) for x in spread(kinds[TOTALS][p], "u1", "u1"))
+        n, a = spread(kinds[WEIGHTS][p], "u1", "u1")
+        den[w], log_alpha[w] = unplane(n, 8), _of_byte_planes(a)
+    log_den = np.log10(den)
     with np.errstate(divide="ignore"):
         word_log = np.where(words > 0, np.log10(np.maximum(discounted(words, d.word), 1e-300) / d.den), np.log10(d.unknown))
         pair_log = np.log10(np.maximum(discounted(pairs, d.pair), 1e-300))
@@ -270,43 +337,32 @@ def score_documents(spark: SparkSession, docs: DataFrame, held_out) -> DataFrame
     known_ids = F.coalesce(F.col("doc_id"), F.lit(np.iinfo(np.int64).min).cast("long"))
     blocks = write_blocks(stage, numbered.select(known_ids.alias("doc_id"), "text", "held"))
 
+    if blocks.isEmpty():
+        return spark.createDataFrame([], "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, body in zip(batch.column("block").to_pylist(), batch.column("body").to_pylist()):
                 b = Block.open(body)
                 to, out = [], []
                 for p, w, q in b.shares(parts):
-                    place = np.zeros(len(b.vocabulary), dtype=np.uint32)
-                    place[w] = np.arange(len(w), dtype=np.uint32)
                     to.append(p)
-                    out.append(squeeze(b.vocabulary[w], b.word_count[w].astype("<u4"), b.vocabulary[b.pair_prev[q]], place[b.pair_last[q]], b.pair_count[q].astype("<u4")))
+                    out.append(message_of(b, w, q).pack())
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(to), name)), pa.array(to, type=pa.int32()), pa.array(out, type=pa.binary())], names=["block", "part", "body"])
 
-    def ask_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, body in zip(batch.column("block").to_pylist(), batch.column("body").to_pylist()):
-                _, _, _, vocabulary, _ = spread(body, "<i8", "u1", "<i8", "<u8", "<i4")
-                order, cut = by_part(vocabulary, parts)
-                to = np.flatnonzero(np.diff(cut)).tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(to), name)), pa.array(to, type=pa.int32()), pa.array([squeeze(vocabulary[order[cut[p] : cut[p + 1]]]) for p in to], type=pa.binary())], names=["block", "part", "body"])
-
     counted = blocks.mapInArrow(ask, MESSAGE).groupBy("part").applyInArrow(lambda table: count_part(table, parts), f"kind int, {MESSAGE}")
     # The model and what it tells, a folder for each kind.
     counted.write.partitionBy("kind").option("compression", "snappy").parquet(f"{stage.path}/model")
     kind = lambda k: spark.read.schema(MESSAGE).parquet(f"{stage.path}/model/kind={k}")
-    found = blocks.isEmpty()
-    if found:
-        return spark.createDataFrame([], "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    stats = kind(3).mapInArrow(_add_stats, "body binary").collect()
+    stats = kind(STATISTICS).mapInArrow(_add_stats, "body binary").collect()
     total = np.sum([np.frombuffer(r["body"], dtype="<i8") for r in stats], axis=0).tolist()
     m = SMALL + 2
     d = discounts(total[:m], total[m : 2 * m], total[2 * m], total[2 * m + 1])
 
-    has_sums = total[2 * m] > 0
-    sums = kind(2) if has_sums else spark.createDataFrame([], MESSAGE)
-    asked = blocks.mapInArrow(ask_words, MESSAGE)
+    sums = kind(SUMS) if total[2 * m] > 0 else spark.createDataFrame([], MESSAGE)
+    asked = kind(ASKED).withColumn("kind", F.lit(ASKED)).unionByName(kind(WORDS).withColumn("kind", F.lit(WORDS)))
     weights = sums.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(lambda left, right: weigh_contexts(left, right, d), MESSAGE)
-    told = kind(1).withColumn("kind", F.lit(1)).unionByName(weights.withColumn("kind", F.lit(4)))
+    told = kind(TOTALS).withColumn("kind", F.lit(TOTALS)).unionByName(weights.withColumn("kind", F.lit(WEIGHTS)))
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         b = Block.open(left.column("body")[0].as_py())
