@@ -66,7 +66,7 @@ class Header:
             out.append(f"{self.bits} bits")
         if min(self.dims) < 1:
             out.append(f"volume of {self.dims}")
-        if self.kind is not Quantization.SCALAR and self.tile is None:
+        if self.kind.is_one_of(Quantization.VECTOR_1D, Quantization.VECTOR_2D, Quantization.VECTOR_3D) and self.tile is None:
             out.append("no tile")
         return out
 
