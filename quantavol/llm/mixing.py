@@ -22,6 +22,8 @@ from quantavol.llm._common import Stage, n_words, need
 MOST_PATTERNS = 200_000
 #: Hash buckets of a pattern's documents; only the bucket in which a share ends is sorted.
 BUCKETS = 4096
+#: Times that what is missing of a share is filled with documents small enough for it.
+ROUNDS = 3
 
 
 def capped_targets(sizes: Sequence[int], weights: Sequence[float], most: int = 3) -> list[float]:
@@ -108,6 +110,15 @@ def route(supply: Mapping[tuple[int, ...], int], quota: Sequence[int], most: int
     return {(patterns[p], s): x for (p, s), x in flow.items() if x}
 
 
+def _taken(rounds: int, bucket: Column, row: Column) -> Column:
+    """Whether one of the rounds so far takes a document: it was small enough and stands before the round's end."""
+    out, size = F.lit(False), row["_size"]
+    for k in range(rounds):
+        end = F.col(f"_end{k}")
+        out = out | ((size <= F.col(f"_fits{k}")) & ((bucket < end) | ((bucket == end) & F.coalesce(row <= F.col(f"_last{k}"), F.lit(False)))))
+    return out
+
+
 def mix(
     spark: SparkSession,
     docs: DataFrame,
@@ -159,35 +170,37 @@ def mix(
     plan = spark.createDataFrame(plan_rows, T.StructType([T.StructField("_p", T.ArrayType(T.StringType())), T.StructField("_whole", T.LongType()), T.StructField("_rest", T.LongType())]))
     plan = plan.select(F.array_sort("_p").alias("_p"), "_whole", "_rest")
 
-    # Sizes by (pattern, bucket) show in which bucket each pattern's rest ends.
-    w = Window.partitionBy("_pattern").orderBy("_bucket")
-    ends = (
-        keyed.groupBy("_pattern", "_bucket").agg(F.sum("_size").alias("n"))
-        .withColumn("_to", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-        .join(F.broadcast(plan), F.col("_pattern").eqNullSafe(F.col("_p")))
-        .filter((F.col("_to") - F.col("n") <= F.col("_rest")) & (F.col("_rest") < F.col("_to")))
-        .select(F.col("_pattern").alias("_p"), F.col("_bucket").alias("_end"), (F.col("_rest") - F.col("_to") + F.col("n")).alias("_left"), "_whole")
-    )
-    ends = stage.table(ends, "ends", "snappy")
-    # Within the ending bucket: documents in order while they fit.
-    inside = keyed.join(F.broadcast(ends), F.col("_pattern").eqNullSafe(F.col("_p")) & (F.col("_bucket") == F.col("_end")))
-    v = Window.partitionBy("_p").orderBy(F.struct("_order", "_doc", "_size")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    cut = (
-        inside.withColumn("_sum", F.sum("_size").over(v))
-        .filter(F.col("_sum") <= F.col("_left"))
-        .groupBy("_p").agg(F.max(F.struct("_order", "_doc", "_size")).alias("_last"), F.max("_sum").alias("_filled"))
-    )
-    edge = ends.join(cut.withColumnRenamed("_p", "_q"), F.col("_p").eqNullSafe(F.col("_q")), "left")
-    edge = stage.table(edge.select("_p", "_end", "_whole", "_last", (F.col("_left") - F.coalesce("_filled", F.lit(0))).alias("_gap")), "edge", "snappy")
-
-    def taken(row_bucket: Column, row: Column) -> Column:
-        return (row_bucket < F.col("_end")) | ((row_bucket == F.col("_end")) & F.coalesce(row <= F.col("_last"), F.lit(False)))
-
-    # What is still missing goes to the one document, of those left over, whose size is nearest to it.
+    # Documents are taken in their order while they fit. What is then missing is filled the same
+    # way from those left over that are small enough, a few times, and at last by the one document
+    # whose size is nearest to what is missing.
+    edge = stage.table(plan.withColumn("_gap", F.col("_rest")), "edge-0", "snappy")
     here = F.struct("_order", "_doc", "_size")
+    for k in range(ROUNDS):
+        open_ = keyed.join(F.broadcast(edge), F.col("_pattern").eqNullSafe(F.col("_p"))).filter(~_taken(k, F.col("_bucket"), here) & (F.col("_size") > 0) & (F.col("_size") <= F.col("_gap")))
+        # Sizes by (pattern, bucket) show in which bucket a share ends; only that one is put in order.
+        w = Window.partitionBy("_p").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
+        sums = open_.groupBy("_p", "_bucket", "_gap").agg(F.sum("_size").alias("n")).withColumn("_to", F.sum("n").over(w))
+        # The first bucket that doesn't fit as a whole; behind the last one if all do.
+        first = F.min(F.when(F.col("_to") > F.col("_gap"), F.struct("_bucket", (F.col("_to") - F.col("n")).alias("_before"))))
+        ends = sums.groupBy("_p").agg(first.alias("e"), F.max("_to").alias("_all")).select("_p", F.coalesce("e._bucket", F.lit(BUCKETS)).alias("_end"), F.coalesce("e._before", "_all").alias("_before"))
+        ends = stage.table(ends, f"ends-{k}", "snappy").withColumnRenamed("_p", "_q")
+        inside = open_.join(F.broadcast(ends), F.col("_p").eqNullSafe(F.col("_q")) & (F.col("_bucket") == F.col("_end")))
+        v = Window.partitionBy("_q").orderBy(F.struct("_order", "_doc", "_size")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        cut = inside.withColumn("_sum", F.sum("_size").over(v) + F.col("_before")).filter(F.col("_sum") <= F.col("_gap"))
+        cut = cut.groupBy("_q").agg(F.max(here).alias("_last"), F.max("_sum").alias("_filled")).withColumnRenamed("_q", "_r")
+        # Bucket and last document to which this round goes, and the sizes that it takes.
+        done = edge.join(F.broadcast(ends), F.col("_p").eqNullSafe(F.col("_q")), "left").join(F.broadcast(cut), F.col("_p").eqNullSafe(F.col("_r")), "left")
+        edge = stage.table(
+            done.select(
+                *(c for c in edge.columns if c != "_gap"),
+                F.col("_gap").alias(f"_fits{k}"), F.coalesce("_end", F.lit(-1)).alias(f"_end{k}"), F.col("_last").alias(f"_last{k}"),
+                (F.col("_gap") - F.coalesce("_filled", "_before", F.lit(0))).alias("_gap"),
+            ),
+            f"edge-{k + 1}", "snappy",
+        )
     filler = (
         keyed.join(F.broadcast(edge), F.col("_pattern").eqNullSafe(F.col("_p")))
-        .filter(~taken(F.col("_bucket"), here) & (F.abs(F.col("_size") - F.col("_gap")) < F.col("_gap")))
+        .filter(~_taken(ROUNDS, F.col("_bucket"), here) & (F.abs(F.col("_size") - F.col("_gap")) < F.col("_gap")))
         .groupBy("_p").agg(F.min(F.struct(F.abs(F.col("_size") - F.col("_gap")).alias("_off"), here.alias("_row")))["_row"].alias("_fill"))
     )
     edge = stage.table(edge.join(filler.withColumnRenamed("_p", "_q"), F.col("_p").eqNullSafe(F.col("_q")), "left").drop("_q"), "plan", "snappy")
@@ -198,12 +211,12 @@ def mix(
     )
     info = info.select(F.array_sort("_p").alias("_q"), "_source_size", "_target")
     row = F.struct(order.alias("_order"), doc_id.alias("_doc"), F.col("_size").alias("_size"))
-    extra = taken(bucket, row) | F.coalesce(row == F.col("_fill"), F.lit(False))
+    extra = _taken(ROUNDS, bucket, row) | F.coalesce(row == F.col("_fill"), F.lit(False))
     return (
         rows.join(F.broadcast(info), F.col("_pattern").eqNullSafe(F.col("_q")))
         .join(F.broadcast(edge), F.col("_pattern").eqNullSafe(F.col("_p")), "left")
         .withColumn("_copies", F.coalesce(F.when(F.col("_size") > 0, F.least(F.lit(most).cast("long"), F.col("_whole") + extra.cast("long"))), F.lit(0)).cast("long"))
-        .drop("_p", "_q", "_whole", "_end", "_last", "_gap", "_fill")
+        .drop("_q", *edge.columns)
     )
 
 
