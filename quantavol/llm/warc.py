@@ -1,14 +1,16 @@
 """Web archives packaged in ZIP files: written whole, read by ranges.
 
-A package is a ZIP file of stored members: ``archive/data.warc`` with the records one after another
-and ``indexes/index.cdxj`` with a line for each record. The reader parses the end record, the
-(ZIP64) central directory and the index, and then reads only the byte ranges of records; nothing
-is extracted. Files are reached through Arrow's file systems (file, s3, hdfs).
+A package is a ZIP file of stored members: ``archive/data.warc.gz`` with the records one after
+another, each a gzip member of its own, and ``indexes/index.cdxj`` with a line for each record. The
+reader parses the end record, the (ZIP64) central directory and the index, and then reads only the
+byte ranges of records; nothing is extracted. It also takes archives of plain records. Files are
+reached through Arrow's file systems (file, s3, hdfs).
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import io
 import json
@@ -34,8 +36,9 @@ FIELD64, FULL32, FULL16, UTF8_FLAG, LONGEST_COMMENT = 1, 0xFFFFFFFF, 0xFFFF, 0x8
 VERSION = b"WARC/1.1"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
-ARCHIVE, INDEX = "archive/data.warc", "indexes/index.cdxj"
-#: Payload bytes after which a package is closed.
+ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
+PLAIN_ARCHIVE = "archive/data.warc"
+#: Bytes of records after which a package is closed.
 PACKAGE_BYTES = 16 << 20
 #: Neighbouring record ranges are read together up to so many bytes.
 RANGE_BYTES = 4 << 20
@@ -186,19 +189,21 @@ def parse_record(data: bytes) -> tuple[Record, int]:
 
 
 def package(records: list[tuple[str, bytes]], zip64: bool = False) -> bytes:
-    """A package of (record id, record bytes)."""
+    """A package of (record id, record bytes), the latter gzipped each by itself or all plain."""
     warc, lines = io.BytesIO(), []
     for rid, data in records:
         lines.append(json.dumps({"id": rid, "offset": warc.tell(), "length": len(data)}))
         warc.write(data)
-    return zip_bytes([(ARCHIVE, warc.getvalue()), (INDEX, "\n".join(lines).encode())], zip64)
+    plain = bool(records) and records[0][1].startswith(b"WARC/")
+    return zip_bytes([(PLAIN_ARCHIVE if plain else ARCHIVE, warc.getvalue()), (INDEX, "\n".join(lines).encode())], zip64)
 
 
 def read_package(file: pa.NativeFile) -> Iterator[Record]:
     """All records of a package by its index, reading ranges of neighbours together."""
     members = {m.name: m for m in read_directory(file)}
     index = members[INDEX]
-    base, lines = data_at(file, members[ARCHIVE]), file.read_at(index.size, data_at(file, index))
+    archive = members.get(ARCHIVE) or members[PLAIN_ARCHIVE]
+    base, lines = data_at(file, archive), file.read_at(index.size, data_at(file, index))
     if zlib.crc32(lines) != index.crc:
         raise ValueError("the index is damaged")
     spans = sorted((x["offset"], x["length"]) for x in map(json.loads, lines.splitlines()))
@@ -209,8 +214,10 @@ def read_package(file: pa.NativeFile) -> Iterator[Record]:
             j += 1
         data = file.read_at(spans[j - 1][0] + spans[j - 1][1] - start, base + start)
         for at, n in spans[i:j]:
-            record, used = parse_record(data[at - start : at - start + n])
-            if used != n:
+            raw = data[at - start : at - start + n]
+            raw = gzip.decompress(raw) if archive.name.endswith(".gz") else raw
+            record, used = parse_record(raw)
+            if used != len(raw):
                 raise ValueError("a record's length differs from the index")
             yield record
         i = j
@@ -236,7 +243,7 @@ def write_packages(rows: DataFrame, folder: str, zip64: bool = False) -> DataFra
         held, size = [], 0
         for batch in batches:
             for rid, uri, payload, refers in zip(*(batch.column(c).to_pylist() for c in ("id", "uri", "payload", "refers_to"))):
-                held.append((rid, record_bytes(rid, uri, payload, refers)))
+                held.append((rid, gzip.compress(record_bytes(rid, uri, payload, refers), 1, mtime=0)))
                 size += len(held[-1][1])
                 if size >= PACKAGE_BYTES:
                     yield close(held)
