@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantavol.operators import scalar, tiling, vector, volume
-from quantavol.operators.huffman import HuffmanCode, decode_by_table
+from quantavol.operators.huffman import HuffmanCode
 from quantavol.options import Dims, Mode, Quantization, QuantOptions
 
 Codebook = scalar.ScalarCodebook | vector.VectorCodebook
@@ -159,7 +159,7 @@ def decompress(chunks: DataFrame, dims: Dims, tile: Dims | None, k: int, book: C
                 code = shared or HuffmanCode(own.frequencies)
                 box = chunk_dims(number, dims, tile)
                 n = tiling.tile_counts(box, tile).count if tile else box.count
-                values = own.decode(decode_by_table(code, b.column("payload")[i].as_py(), n))
+                values = own.decode(code.decode(b.column("payload")[i].as_py(), n))
                 flat = tiling.scatter(values, box, tile) if tile else values
                 z = first + (number * tile.z if tile and tile.z > 1 else number) + np.arange(box.z)
                 yield pa.RecordBatch.from_arrays([pa.array(z.astype(np.int32)), tiling.list_column(flat.reshape(box.z, -1))], names=["z", "data"])

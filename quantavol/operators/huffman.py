@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Sequence
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +25,7 @@ class HuffmanCode:
         if min(counts) < 0:
             raise ValueError("negative count")
         self.counts = [int(c) for c in counts]
+        self._windows: Windows | None = None
         heap: list[tuple[int, int, object]] = [(c, s, s) for s, c in enumerate(self.counts)]
         heapq.heapify(heap)
         made = len(heap)
@@ -55,25 +57,52 @@ class HuffmanCode:
         used = np.arange(self.bits.shape[1])[None, :] < self.lengths[symbols][:, None]
         return np.packbits(self.bits[symbols][used]).tobytes()
 
+    def tables(self) -> Windows:
+        """What every window of 16 bits starts with; made once."""
+        if self._windows is None:
+            self._windows = _windows(self)
+        return self._windows
+
     def decode(self, payload: bytes, n: int) -> np.ndarray:
         """n symbols; an early end raises.
 
-        All bit positions are decoded at once: the symbol that starts at each, then the chain of
-        positions from the first is followed.
+        Each step takes all whole codes of the next 16 bits at once; only codes longer than that
+        are followed bit by bit.
         """
-        bits = np.unpackbits(np.frombuffer(payload, dtype=np.uint8))
-        step = np.zeros(len(bits) + 1, dtype=np.int64)
-        symbol = np.zeros(len(bits) + 1, dtype=np.int32)
-        for s, c in enumerate(self.codes):
-            k = len(c)
-            if k > len(bits):
-                continue
-            fits = np.ones(len(bits) - k + 1, dtype=bool)
-            for j, bit in enumerate(c):
-                fits &= bits[j : len(bits) - k + 1 + j] == (bit == "1")
-            at = np.flatnonzero(fits)
-            step[at], symbol[at] = k, s
-        return _follow(step, symbol, n)
+        t, bits = self.tables(), 8 * len(payload)
+        raw = np.frombuffer(payload + b"\0\0\0", dtype=np.uint8).astype(np.uint32)
+        word = memoryview((raw[:-2] << 16) | (raw[1:-1] << 8) | raw[2:])
+        steps, counts = t.bits.tobytes(), t.counts.tobytes()
+        windows: list[int] = []
+        long: list[tuple[int, int]] = []  # (number of the window, symbol)
+        here = got = 0
+        while got < n:
+            if here >= bits:
+                raise ValueError("the payload ends before its last symbol")
+            w = word[here >> 3] >> (8 - (here & 7)) & 0xFFFF
+            step = steps[w]
+            if step:
+                windows.append(w)
+                here += step
+                got += counts[w]
+            else:
+                node = self.tree
+                while isinstance(node, tuple):
+                    if here >= bits:
+                        raise ValueError("the payload ends before its last symbol")
+                    node = node[payload[here >> 3] >> (7 - (here & 7)) & 1]
+                    here += 1
+                long.append((len(windows), node))
+                windows.append(0)
+                got += 1
+        found = np.array(windows, dtype=np.int64)
+        rows, taken = t.symbols[found], t.counts[found].astype(np.int64)
+        for i, s in long:
+            rows[i, 0], taken[i] = s, 1
+        out = rows[np.arange(rows.shape[1])[None, :] < taken[:, None]][:n].astype(np.int32)
+        if int(self.lengths[out].sum()) > bits:
+            raise ValueError("the payload ends before its last symbol")
+        return out
 
     def frame(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame([(s, c, len(c)) for s, c in enumerate(self.codes)], "symbol int, code string, len int")
@@ -84,39 +113,34 @@ class HuffmanCode:
         return sorted(((s, c / total) for s, c in enumerate(self.counts)), key=lambda x: (-x[1], x[0]))
 
 
-def _follow(step: np.ndarray, symbol: np.ndarray, n: int) -> np.ndarray:
-    out, at, steps = np.empty(n, dtype=np.int32), 0, step.tolist()
-    places = np.empty(n, dtype=np.int64)
-    for i in range(n):
-        k = steps[at] if at < len(steps) else 0
-        if not k:
-            raise ValueError("the payload ends before its last symbol")
-        places[i] = at
-        at += k
-    out[:] = symbol[places]
-    return out
-
-
-def decode_by_table(code: HuffmanCode, payload: bytes, n: int) -> np.ndarray:
-    """The same as decode() through a table of whole windows, faster where codes are short (16 bits at most)."""
-    width = int(code.lengths.max())
-    if width > 16:
-        return code.decode(payload, n)
-    table_symbol = np.zeros(1 << width, dtype=np.int32)
-    table_length = np.zeros(1 << width, dtype=np.int64)
+class Windows(NamedTuple):
+    """For every window of 16 bits: how many whole codes it starts with, their bits together, and their symbols."""
+
+    counts: np.ndarray
+    bits: np.ndarray
+    symbols: np.ndarray
+
+
+def _windows(code: HuffmanCode) -> Windows:
+    width = 16
+    one_symbol, one_length = np.zeros(1 << width, dtype=np.int16), np.zeros(1 << width, dtype=np.int64)
     for s, c in enumerate(code.codes):
-        low = int(c, 2) << (width - len(c))
-        table_symbol[low : low + (1 << (width - len(c)))] = s
-        table_length[low : low + (1 << (width - len(c)))] = len(c)
-    raw = np.frombuffer(payload + b"\0\0\0", dtype=np.uint8).astype(np.uint32)
-    bits = 8 * len(payload)
-    word = (raw[:-2] << 16) | (raw[1:-1] << 8) | raw[2:]
-    at = np.arange(bits)
-    window = (word[at >> 3] >> (24 - width - (at & 7)).astype(np.uint32)) & ((1 << width) - 1) if bits else np.zeros(0, dtype=np.uint32)
-    step = np.append(table_length[window], 0)
-    over = at + step[:-1] > bits
-    step[:-1][over] = 0
-    return _follow(step, np.append(table_symbol[window], 0), n)
+        if len(c) <= width:
+            low = int(c, 2) << (width - len(c))
+            one_symbol[low : low + (1 << (width - len(c)))] = s
+            one_length[low : low + (1 << (width - len(c)))] = len(c)
+    every = np.arange(1 << width)
+    most = width // int(code.lengths.min())
+    counts, used = np.zeros(1 << width, dtype=np.int64), np.zeros(1 << width, dtype=np.int64)
+    symbols = np.zeros((1 << width, most), dtype=np.int16)
+    live = np.ones(1 << width, dtype=bool)
+    for k in range(most):
+        rest = (every << used) & 0xFFFF
+        live &= (one_length[rest] > 0) & (used + one_length[rest] <= width)
+        symbols[live, k] = one_symbol[rest[live]]
+        used[live] += one_length[rest[live]]
+        counts[live] += 1
+    return Windows(counts.astype(np.uint8), used.astype(np.uint8), symbols)
 
 
 def write_fixed(values: Sequence[int], width: int) -> bytes:

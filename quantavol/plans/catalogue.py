@@ -625,6 +625,54 @@ def array_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("z", both.alias("holds"), arrays.holds("data", 70000, 8).alias("holds_not"), arrays.sample_at("data", F.lit(2), F.lit(2), 8).alias("at_2_2"), arrays.is_zero("data").alias("zero"))
 
 
+@query("SELECT CAST(i AS INTEGER) AS i, CAST(i+2 AS INTEGER) AS sum_x, CAST(2*i-3 AS INTEGER) AS diff_y, CAST(i AS BIGINT)*2*i*5 AS product, (i*331)%65536 AS checked, (i*331-65536)%65536+65536 AS signed_back FROM range(1, 150) t(i)")
+def struct_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("i")
+    a = F.struct(i.alias("x"), (2 * i).alias("y"), F.lit(5).alias("z"))
+    b = F.struct(F.lit(2).alias("x"), F.lit(3).alias("y"), F.lit(1).alias("z"))
+    df = spark.range(1, 150).select(F.col("id").cast("int").alias("i"))
+    add, sub = arrays.add(a, b, "x", "y", "z"), arrays.subtract(a, b, "x", "y", "z")
+    v = (i * 331) % 65536
+    return df.select("i", add["x"].alias("sum_x"), sub["y"].alias("diff_y"), arrays.product(a, "x", "y", "z").alias("product"), arrays.checked16(v).cast("long").alias("checked"), arrays.unsigned16(v - 65536).cast("long").alias("signed_back"))
+
+
+@query(f"WITH {VECS}, own AS (SELECT z, CAST(vec_ix AS INTEGER) AS ix, vec FROM vecs) SELECT best.z, vec_ix, best.ix, array_to_string(own.vec, ',') AS vec FROM best JOIN own ON own.z = best.z AND own.ix = best.ix")
+def decode_by_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Indices looked up in a codebook for each plane, here the plane's own rows."""
+    vecs = vectors(spark, sf_dir)
+    books = vecs.select("z", F.col("vec_ix").cast("int").alias("ix"), "vec")
+    ix = vector.assign(vecs, row_book(vecs)).select("z", "vec_ix", "ix")
+    return vector.decode(ix, books, by_plane=True).select("z", "vec_ix", "ix", as_text("vec").alias("vec"))
+
+
+@query(f"WITH {PRICES} SELECT CAST(z AS VARCHAR) AS z, printf('%.4f', entropy(v)) AS entropy FROM sig GROUP BY z")
+def csv_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report written as CSV and read back as text."""
+    path = scratch(spark, "csv")
+    reports.write_csv(metrics.entropy(metrics.histogram(prices(spark, sf_dir), "z"), "z").select("z", "entropy"), path)
+    return spark.read.option("sep", ";").option("header", True).csv(path)
+
+
+@query("SELECT count(*) AS chunks, true AS bounded FROM embeddings")
+def container_inspect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of a written container; their bytes lie between the coded bits and a byte more for each chunk."""
+    planes, path = volume8(spark, sf_dir), scratch(spark, "inspect") + "/v.QCMP"
+    options = QuantOptions(Dims(8, 8, depth(planes)), 3, mode=Mode.GLOBAL)
+    book = counted_book(spark, sf_dir)
+    container.write_container(codec.compress(planes, options, book), path, container.Header.of_options(options), book)
+    chunks, head, _ = container.read_container(spark, path)
+    bits = HuffmanCode(book.frequencies).total_bits
+    n = F.sum("n_bytes") * 8
+    return reports.inspect_frame(chunks, head).agg(F.count(F.lit(1)).alias("chunks"), ((n >= bits) & (n < bits + 8 * F.count(F.lit(1)))).alias("bounded"))
+
+
+@query("""SELECT CAST(l_linenumber-1 AS INTEGER) AS z, count(*) AS n FROM lineitem WHERE l_linenumber-1 IN (SELECT vec_id FROM embeddings WHERE vec_id < 3) GROUP BY 1""")
+def codebook_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose key has a codebook: a semi join with the distinct keys of a store."""
+    store = table(spark, sf_dir, "embeddings").filter("vec_id < 3").select(F.col("vec_id").cast("int").alias("z")).distinct()
+    return prices(spark, sf_dir).join(store, "z", "left_semi").groupBy("z").agg(F.count(F.lit(1)).alias("n"))
+
+
 # Streams
 
 

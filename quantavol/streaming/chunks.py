@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quantavol.operators import codec, tiling
-from quantavol.operators.huffman import HuffmanCode, decode_by_table
+from quantavol.operators.huffman import HuffmanCode
 from quantavol.options import Dims, QuantOptions, Wrap
 from quantavol.sources.container import parse_stream_chunk, stream_chunk
 
@@ -56,7 +56,7 @@ def decode_box(body: bytes, tile: Dims | None, book: codec.Codebook, code: Huffm
     for i, payload in enumerate(payloads):
         box = codec.chunk_dims(i, dims, tile)
         n = tiling.tile_counts(box, tile).count if tile else box.count
-        values = book.decode(decode_by_table(code, payload, n))
+        values = book.decode(code.decode(payload, n))
         out.append(tiling.scatter(values, box, tile) if tile else values)
     return dims, np.concatenate(out) if out else np.zeros(0, dtype=np.int64)
 
