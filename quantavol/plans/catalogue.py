@@ -528,7 +528,7 @@ def individual_codec_lossless(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(SQ_ERRORS)
 def container_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    planes, path = volume8(spark, sf_dir), scratch(spark, "container") + "/v.QCMP"
+    planes, path = volume8(spark, sf_dir), scratch(spark, "container") + "/v.volume"
     options = QuantOptions(Dims(8, 8, depth(planes)), 3, mode=Mode.GLOBAL)
     book = counted_book(spark, sf_dir)
     container.write_container(codec.compress(planes, options, book), path, container.Header.of_options(options), book)
@@ -656,7 +656,7 @@ def csv_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT count(*) AS chunks, true AS bounded FROM embeddings")
 def container_inspect(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of a written container; their bytes lie between the coded bits and a byte more for each chunk."""
-    planes, path = volume8(spark, sf_dir), scratch(spark, "inspect") + "/v.QCMP"
+    planes, path = volume8(spark, sf_dir), scratch(spark, "inspect") + "/v.volume"
     options = QuantOptions(Dims(8, 8, depth(planes)), 3, mode=Mode.GLOBAL)
     book = counted_book(spark, sf_dir)
     container.write_container(codec.compress(planes, options, book), path, container.Header.of_options(options), book)

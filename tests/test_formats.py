@@ -6,7 +6,7 @@ import pytest
 from quantavol.operators.huffman import HuffmanCode, read_fixed, write_fixed
 from quantavol.operators.scalar import ScalarCodebook
 from quantavol.operators.vector import VectorCodebook
-from quantavol.options import Dims, Method, Mode, OptionError, Quantization, QuantOptions, default_output, elapsed, parse_dims, parse_range
+from quantavol.options import CONTAINER_SUFFIX, Dims, Method, Mode, OptionError, Quantization, QuantOptions, default_output, elapsed, parse_dims, parse_range
 from quantavol.sources import codebooks, container, memory
 
 
@@ -75,9 +75,9 @@ def test_options():
     assert parse_dims("3 x 2") == Dims(3, 2) and parse_dims("axb") is None and parse_range("3-7") == (3, 7) and parse_range("7-3") is None
     assert Quantization.of_tile(Dims(5, 1, 2)) is Quantization.VECTOR_3D and Quantization.of_code(9) is Quantization.INVALID
     assert elapsed(3_723_004) == "1 H 2 min 3 sec 4 ms" and elapsed(5) == "5 ms"
-    assert default_output("a.raw", Method.COMPRESS) == "a.raw.QCMP" and default_output("a.raw.QCMP", Method.DECOMPRESS) == "a.raw"
+    assert default_output("a.raw", Method.COMPRESS) == "a.raw" + CONTAINER_SUFFIX and default_output("a.raw" + CONTAINER_SUFFIX, Method.DECOMPRESS) == "a.raw"
     o = QuantOptions.from_args(["-c", "-vq", "3x3", "-b", "4", "-mp", "v.raw", "8x8x10", "2-5"])
-    assert (o.kind, o.bits, o.mode, o.planes, o.plane_count, o.output) == (Quantization.VECTOR_2D, 4, Mode.MIDDLE_PLANE, (2, 5), 4, "v.raw.QCMP")
+    assert (o.kind, o.bits, o.mode, o.planes, o.plane_count, o.output) == (Quantization.VECTOR_2D, 4, Mode.MIDDLE_PLANE, (2, 5), 4, "v.raw" + CONTAINER_SUFFIX)
     assert o.training_planes() == (5, 5) and "vector_2d" in o.report()
     assert len(QuantOptions.from_args(["-c", "-b", "x", "v.raw", "8yx", "z"]).problems) == 4
     with pytest.raises(OptionError):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quantavol.functions import arrays
 from quantavol.operators import codec, metrics, scalar, tiling, vector, volume
-from quantavol.options import Dims, Mode, QuantOptions, Wrap
+from quantavol.options import CONTAINER_SUFFIX, Dims, Mode, QuantOptions, Wrap
 from quantavol.plans import reports
 from quantavol.sources import codebooks, container, memory, raw
 
@@ -135,7 +135,7 @@ def test_codec_equals_quantizing(spark, tmp_path, tile, mode):
     planes, dims = planes_of(spark, volume_), Dims(6, 5, 7)
     o = QuantOptions(dims, 3, tile, mode)
     book = reports.shared_book(planes, o)
-    path = str(tmp_path / "v.QCMP")
+    path = str(tmp_path / "v.volume")
     head = container.Header.of_options(o)
     container.write_container(codec.compress(planes, o, book), path, head, book)
     back = data_of(reports.open_container(spark, path))
@@ -190,10 +190,10 @@ def test_store_and_commands(spark, tmp_path):
     assert codebooks.available(spark, store, "v.raw", Dims(3, 3)) == [2] and not codebooks.exists(spark, store, "v.raw", 8, Dims(3, 3))
     head = reports.run_command(spark, ["-c", "-vq", "3x3", "-b", "2", "-cbc", store, path, "6x6x5"], quiet)
     assert head.chunks == 5 and not head.book_each
-    reports.run_command(spark, ["-d", path + ".QCMP", "-o", str(tmp_path / "back.raw")], quiet)
+    reports.run_command(spark, ["-d", path + CONTAINER_SUFFIX, "-o", str(tmp_path / "back.raw")], quiet)
     assert np.fromfile(tmp_path / "back.raw", dtype=">u2").size == v.size
     lines = []
-    reports.run_command(spark, ["-i", path + ".QCMP"], lines.append)
+    reports.run_command(spark, ["-i", path + CONTAINER_SUFFIX], lines.append)
     assert "valid: yes" in lines[0]
     assert reports.run_command(spark, ["-bench", "-sq", "-b", "8", path, "6x6x5", "1"], quiet).first()["mae"] < 30
     book = codebooks.load(spark, store, "v.raw", 4, Dims(3, 3))
