@@ -8,10 +8,10 @@ import zstandard
 MESSAGE = "block long, part int, body binary"
 
 
-def squeeze(*arrays: np.ndarray) -> bytes:
+def squeeze(*arrays: np.ndarray, level: int = 3) -> bytes:
     """Arrays one after another, compressed."""
     raw = b"".join([np.array([len(arrays), *(a.nbytes for a in arrays)], dtype="<i8").tobytes(), *(a.tobytes() for a in arrays)])
-    return zstandard.ZstdCompressor(level=3).compress(raw)
+    return zstandard.ZstdCompressor(level=level).compress(raw)
 
 
 def spread(body: bytes, *dtypes: str) -> list[np.ndarray]:
@@ -46,6 +46,6 @@ def unplane(data: np.ndarray, width: int = 4) -> np.ndarray:
 
 def by_part(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     """An order of ascending keys by part, and offsets of the parts."""
-    part = (keys >> np.uint64(40)).astype(np.int64) % parts
+    part = (keys % np.uint64(parts)).astype(np.int64)
     order = np.argsort(part, kind="stable")
     return order, np.searchsorted(part[order], np.arange(parts + 1))

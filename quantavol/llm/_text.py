@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at once.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -145,8 +145,16 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
         return mix((prefix[end] - prefix[start]) * down[start] + (end - start).astype(np.uint64))
 
 
-def word_hashes(w: Words) -> np.ndarray:
-    return span_hash(prefix_hash(w.data), w.start, w.end)
+def word_hashes(w: Words, most: int = SLICE_BYTES // 2) -> np.ndarray:
+    """Hashes of all words, from prefix sums over so many bytes at once (one word at least)."""
+    out, i, n = np.empty(len(w.start), dtype=np.uint64), 0, len(w.start)
+    while i < n:
+        low = int(w.start[i])
+        j = max(i + 1, int(np.searchsorted(w.end, low + most, side="right")))
+        prefix = prefix_hash(w.data[low : w.end[j - 1]])
+        out[i:j] = span_hash(prefix, w.start[i:j] - low, w.end[i:j] - low)
+        i = j
+    return out
 
 
 def gram_hashes(h: np.ndarray, n: int, salt: int = 7) -> np.ndarray:

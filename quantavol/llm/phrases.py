@@ -30,12 +30,12 @@ from pyspark.sql import types as T
 
 from quantavol.llm import _text as t
 from quantavol.llm._blocks import MESSAGE, by_part, spread, squeeze
-from quantavol.llm._common import Stage, need, partitions
+from quantavol.llm._common import Stage, need, partitions, tidy
 
 #: Text bytes of a block; a longer document is a block of its own.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 3 << 20
 #: Phrases of one automaton, which bounds its memory.
-AUTOMATON_PHRASES = 50_000
+AUTOMATON_PHRASES = 25_000
 #: The order of a null doc_id among documents: last.
 LAST = np.iinfo(np.int64).max
 
@@ -94,9 +94,8 @@ class Block:
         return self.ids[doc], at - self.words.first[doc]
 
 
-def write_blocks(stage: Stage, docs: DataFrame, width: int, parts: int, carry: list[str]) -> DataFrame:
-    """Rows (block, part, body): part -1 holds a block's documents with the columns to carry, the
-    others its anchors."""
+def write_blocks(stage: Stage, docs: DataFrame, carry: list[str]) -> DataFrame:
+    """Rows (block, body): the documents of a block with the columns to carry."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_ids: list[pa.Array] = []
@@ -115,14 +114,8 @@ def write_blocks(stage: Stage, docs: DataFrame, width: int, parts: int, carry: l
                 for more in held_more:
                     stream.write_batch(more)
             others = np.frombuffer(sink.getvalue(), dtype=np.uint8)
-            bodies, to = [squeeze(known.astype("<i8"), at.astype("<i8"), data, absent, others)], [-1]
-            value, many = Block(known, text, width).anchors()
-            order, cut = by_part(value, parts)
-            for p in np.flatnonzero(np.diff(cut)).tolist():
-                here = order[cut[p] : cut[p + 1]]
-                bodies.append(squeeze(value[here], many[here].astype(np.uint8)))
-                to.append(p)
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(to), name, dtype=np.int64)), pa.array(to, type=pa.int32()), pa.array(bodies, type=pa.binary())], names=["block", "part", "body"])
+            body = squeeze(known.astype("<i8"), at.astype("<i8"), data, absent, others, level=9)
+            return pa.RecordBatch.from_arrays([pa.array([name], type=pa.int64()), pa.array([body], type=pa.binary())], names=["block", "body"])
 
         for batch in batches:
             for i, j in t.slices(batch.column("_text"), BLOCK_BYTES):
@@ -137,10 +130,11 @@ def write_blocks(stage: Stage, docs: DataFrame, width: int, parts: int, carry: l
                 size += n
         if held_ids:
             yield close()
+        tidy()
 
     others = need(docs, *carry).columns
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text"), *(F.col(f"`{c}`") for c in others))
-    return stage.table(rows.mapInArrow(run, MESSAGE), "blocks", "snappy")
+    return stage.table(rows.mapInArrow(run, "block long, body binary"), "blocks", "snappy")
 
 
 def _open(body: bytes, width: int) -> tuple[Block, pa.Table]:
@@ -288,10 +282,21 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, width: int = 20, joined
     if width < 2:
         raise ValueError("width must be at least 2")
     stage = Stage(spark, "phrases")
-    parts = partitions(spark)
-    rows = write_blocks(stage, docs, width, parts, list(carry))
-    blocks = rows.filter("part < 0").select("block", "body")
-    anchors = stage.table(rows.filter("part >= 0").groupBy("part").applyInArrow(answer_anchors, MESSAGE), "anchors", "snappy").withColumn("kind", F.lit(1))
+    blocks = write_blocks(stage, docs, list(carry))
+    # A part holds about as much as a block, however large the corpus.
+    parts = max(2 * partitions(spark), blocks.count())
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, body in zip(batch.column("block").to_pylist(), batch.column("body").to_pylist()):
+                value, many = _open(body, width)[0].anchors()
+                order, cut = by_part(value, parts)
+                here = [order[a:z] for a, z in zip(cut[:-1], cut[1:])]
+                yield from _reply([(name, p, squeeze(value[h], many[h].astype(np.uint8))) for p, h in enumerate(here) if len(h)]).to_batches()
+        tidy()
+
+    told_of = blocks.mapInArrow(tell, MESSAGE).groupBy("part").applyInArrow(answer_anchors, MESSAGE)
+    anchors = stage.table(told_of, "anchors", "snappy").withColumn("kind", F.lit(1))
 
     def ask(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         if not right.num_rows:
@@ -305,6 +310,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, width: int = 20, joined
         for p in np.flatnonzero(np.diff(cut)).tolist():
             here = order[cut[p] : cut[p + 1]]
             out.append((name, p, squeeze(key_[here], doc[here].astype("<i8"), start[here].astype("<i8"))))
+        tidy()
         return _reply(out)
 
     asked = blocks.groupBy("block").cogroup(anchors.groupBy("block")).applyInArrow(ask, MESSAGE)
@@ -326,7 +332,9 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, width: int = 20, joined
             confirmed = elsewhere | more
             if confirmed.any():
                 gone = covered_words(block, key_[confirmed], at[confirmed], elsewhere[confirmed])
-        return _result(block, others, _kept_texts(block, gone, joined), gone)
+        out = _result(block, others, _kept_texts(block, gone, joined), gone)
+        tidy()
+        return out
 
     added = "kept_text string, n_words long, n_removed long, span_start array<long>, span_end array<long>"
     schema = T.StructType([*(docs.schema[c] for c in carry), *T._parse_datatype_string(added).fields])

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quantavol.llm import _text as t
-from quantavol.llm._common import Stage, need
+from quantavol.llm._common import Stage, need, tidy
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Statistics that rules may test, besides those of the contract; all are ratios or lengths.
@@ -136,6 +136,7 @@ def statistics(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), prefix: st
                     [*(batch.column(c).slice(i, j - i) for c in carry), *(pa.array(got[c].astype(np.int64)) for c in COUNTS), *(pa.array(got[c].astype(np.float64)) for c in RATIOS)],
                     names=[*carry, *names],
                 )
+        tidy()
 
     return docs.select(*need(docs, *carry).columns, F.col("text").alias("_text")).mapInArrow(run, schema)
 
