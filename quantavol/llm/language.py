@@ -69,39 +69,71 @@ def characters(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return out, np.searchsorted(doc, np.arange(n + 1)), letters
 
 
-def grams(points: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text, code) of every n-gram within a text; a lone blank is none. Codes keep the order of points."""
-    docs, codes = [], []
+def counted(points: np.ndarray, at: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(group, code, count) of the n-grams within texts, by group and code; a lone blank is none.
+
+    group: a number for each text. Codes hold code points plus one in CODE_BITS each, so they are in
+    the order of length and then of points. Characters are numbered within the slice, so that group
+    and n-gram fit into one 64-bit key and one sort counts them.
+    """
+    none = np.zeros(0, dtype=np.int64)
+    if not len(points):
+        return none, none.astype(np.uint64), none
+    present = np.zeros(int(points.max()) + 1, dtype=bool)
+    present[points] = True
+    alphabet = np.flatnonzero(present).astype(np.uint64)
+    number = np.cumsum(present).astype(np.uint64)[points]  # from 1
+    bits = int(len(alphabet)).bit_length()
+    longest = max(ORDERS)
+    if bits * longest + int(group.max()).bit_length() > 63:
+        # Very many characters or groups: numbers of the distinct n-grams take their place.
+        half = np.searchsorted(at, at[-1] // 2)
+        if 0 < half < len(at) - 1:
+            parts = [counted(points[at[i] : at[j]], at[i : j + 1] - at[i], group[i:j]) for i, j in ((0, half), (half, len(at) - 1))]
+            return added(*(np.concatenate(x) for x in zip(*parts)))
+        raise ValueError("more different characters and groups than 63 bits hold")
     ends = np.repeat(at[1:], np.diff(at))
-    doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    wide = points.astype(np.uint64) + np.uint64(1)
-    for n in ORDERS:
-        if len(points) < n:
-            continue
+    owner = np.repeat(group.astype(np.uint64), np.diff(at)) << np.uint64(bits * longest)
+    keys, code = [], np.zeros(len(points), dtype=np.uint64)
+    for n in range(1, longest + 1):
         m = len(points) - n + 1
-        code = np.zeros(m, dtype=np.uint64)
-        for k in range(n):
-            code = (code << np.uint64(CODE_BITS)) | wide[k : k + m]
-        ok = np.arange(m) + n <= ends[:m]
-        if n == 1:
-            ok &= points[:m] != 0
-        docs.append(doc[:m][ok])
-        codes.append(code[ok])
-    if not docs:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
-    return np.concatenate(docs), np.concatenate(codes)
-
-
-def counted(group: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (group, code) with counts, by group and code."""
-    if not len(code):
-        return group[:0], code[:0], np.zeros(0, dtype=np.int64)
-    order = np.argsort(code, kind="stable")
-    order = order[np.argsort(group[order], kind="stable")]
-    g, c = group[order], code[order]
-    new = np.concatenate(([True], (g[1:] != g[:-1]) | (c[1:] != c[:-1])))
-    at = np.flatnonzero(new)
-    return g[at], c[at], np.diff(np.concatenate((at, [len(g)])))
+        if m < 1:
+            break
+        code = (code[:m] << np.uint64(bits)) | number[n - 1 :]
+        if n in ORDERS:
+            ok = np.arange(n, m + n) <= ends[:m]
+            if n == 1:
+                ok &= points != 0
+            keys.append((owner[:m] | code)[ok])
+    key = np.sort(np.concatenate(keys))
+    if not len(key):
+        return none, none.astype(np.uint64), none
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    key, n = key[first], np.diff(np.concatenate((first, [len(key)])))
+    mask, wide = np.uint64((1 << bits) - 1), np.zeros(len(key), dtype=np.uint64)
+    for k in range(longest - 1, -1, -1):
+        one = (key >> np.uint64(bits * k)) & mask
+        char = np.where(one > 0, alphabet[np.maximum(one, np.uint64(1)) - np.uint64(1)] + np.uint64(1), np.uint64(0))
+        wide = (wide << np.uint64(CODE_BITS)) | char
+    return (key >> np.uint64(bits * longest)).astype(np.int64), wide, n
+
+
+def added(group: np.ndarray, code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums of counts of equal (group, code), by group and code."""
+    order = np.lexsort((code, group))
+    group, code, n = group[order], code[order], n[order]
+    at = np.flatnonzero(np.concatenate(([True], (group[1:] != group[:-1]) | (code[1:] != code[:-1])))) if len(group) else np.zeros(0, dtype=np.int64)
+    return group[at], code[at], np.add.reduceat(n, at) if len(at) else n
+
+
+def by_frequency(group: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The order by group, falling count and the present order, as one sort of packed keys."""
+    rest = int(n.max()).bit_length() if len(n) else 1
+    place = len(n).bit_length()
+    if int(group.max() if len(group) else 0).bit_length() + rest + place > 63:
+        return np.lexsort((-n, group))
+    key = (group << (rest + place)) | (((1 << rest) - 1 - n) << place) | np.arange(len(n))
+    return np.sort(key) & ((1 << place) - 1)
 
 
 def _pieces(texts: pa.Array) -> Iterator[tuple[int, int]]:
@@ -123,16 +155,10 @@ def profiles(docs: DataFrame, size: int = 400) -> DataFrame:
             kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             for i, j in _pieces(batch.column("text")):
                 points, at, _ = characters(batch.column("text").slice(i, j - i))
-                doc, code = grams(points, at)
-                kept.append(counted(which[i:j][doc], code))
-            if not kept:
-                continue
-            g, c, n = (np.concatenate([k[x] for k in kept]) for x in range(3))
-            order = np.lexsort((c, g))
-            g, c, n = g[order], c[order], n[order]
-            at = np.flatnonzero(np.concatenate(([True], (g[1:] != g[:-1]) | (c[1:] != c[:-1])))) if len(g) else np.zeros(0, dtype=np.int64)
-            if len(at):
-                yield pa.RecordBatch.from_arrays([langs.dictionary.take(pa.array(g[at])), pa.array(c[at].view(np.int64)), pa.array(np.add.reduceat(n, at).astype(np.int64))], names=["lang", "code", "n"])
+                kept.append(counted(points, at, which[i:j].astype(np.int64)))
+            if kept:
+                g, c, n = added(*(np.concatenate(x) for x in zip(*kept)))
+                yield pa.RecordBatch.from_arrays([langs.dictionary.take(pa.array(g)), pa.array(c.view(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "code", "n"])
 
     rows = need(docs, "lang", "text").dropna().mapInArrow(run, "lang string, code long, n long")
     total = rows.groupBy("lang", "code").agg(F.sum("n").alias("n"))
@@ -161,8 +187,8 @@ def predict(docs: DataFrame, profile_rows: list[tuple[str, int, int]], size: int
         for batch in batches:
             for i, j in _pieces(batch.column("text")):
                 points, at, letters = characters(batch.column("text").slice(i, j - i))
-                g, c, n = counted(*grams(points, at))
-                order = np.lexsort((c, -n, g))
+                g, c, n = counted(points, at, np.arange(j - i))
+                order = by_frequency(g, n)
                 g, c = g[order], c[order]
                 first = np.searchsorted(g, np.arange(j - i + 1))
                 rank = np.arange(len(g)) - first[g]

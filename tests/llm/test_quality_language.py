@@ -73,9 +73,9 @@ def slow_grams(text):
 def test_grams():
     texts = ["Ça va? It's", "", "12 ab", "é"]
     points, at, letters = language.characters(pa.array(texts))
-    doc, code = language.grams(points, at)
+    doc, code, times = language.counted(points, at, np.arange(len(texts)))
     for i, text in enumerate(texts):
-        got = Counter(code[doc == i].tolist())
+        got = Counter(dict(zip(code[doc == i].tolist(), times[doc == i].tolist())))
         want = Counter()
         for g, n in slow_grams(text).items():
             v = 0
@@ -86,6 +86,13 @@ def test_grams():
     assert letters.tolist() == [7, 0, 2, 1]
 
 
+def test_packed_order():
+    rng = np.random.default_rng(3)
+    g, n = np.sort(rng.integers(0, 9, 500)), rng.integers(1, 6, 500)
+    assert (language.by_frequency(g, n) == np.lexsort((np.arange(500), -n, g))).all()
+    assert (language.by_frequency(g + (1 << 60), n) == np.lexsort((np.arange(500), -n, g))).all()
+
+
 def test_identify(spark, corpus):
     rng = random.Random(3)
     from conftest import words
