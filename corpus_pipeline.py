@@ -28,7 +28,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages of 20 words or more that stand earlier; those left without a word go."""
-    kept = phrases.remove_repeats(spark, docs, 20, carry=tuple(docs.columns))
+    kept = phrases.remove_repeats(spark, docs, 20, carry=tuple(c for c in docs.columns if c != "text"))
     kept = kept.filter(F.col("n_words") > F.col("n_removed"))
     new = {"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("long")}
     return kept.select(*((new[c] if c in new else F.col(f"`{c}`")).alias(c) for c in docs.columns))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quantavol.llm import _text as t
-from quantavol.llm._common import Stage, need, partitions
+from quantavol.llm._common import Stage, need, partitions, tidy
 from quantavol.llm.graph import components
 
 
@@ -112,6 +112,7 @@ def signatures(docs: DataFrame, forest: Forest, width: int = 5) -> DataFrame:
                     [batch.column("doc_id").slice(i, j - i), pa.array(count), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(sig, type=pa.binary())],
                     names=["doc_id", "n_shingles", "s1", "s2", "sig"],
                 )
+        tidy()
 
     return need(docs, "doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, s1 long, s2 long, sig binary")
 
@@ -225,7 +226,8 @@ def forest_links(stage: Stage, sets: DataFrame, forest: Forest, percent: int) ->
     sketch = F.concat(*(F.substring("sig", 4 * k + 4, 1) for k in range(forest.sketch)))
     trees = F.array(*(F.struct(F.lit(i).alias("tree"), part(i).alias("prefix")) for i in range(forest.trees)))
     rows = sets.select(F.explode(trees).alias("x"), sketch.alias("sketch"), F.col("n_shingles").alias("n"), "node").select("x.*", "sketch", "n", "node")
-    n = partitions(stage.spark)
+    # A partition is compared as a whole, so there are more of them where there are more sets.
+    n = max(partitions(stage.spark), sets.count() * forest.trees // 100_000)
     ordered = rows.repartitionByRange(n, "tree", "prefix", "node").sortWithinPartitions("tree", "prefix", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,7 +308,7 @@ def confirm(stage: Stage, groups: DataFrame, texts: DataFrame, forest: Forest, p
     where side isn't null. texts: (node, text). Many small pieces share a task's call.
     """
     spark = stage.spark
-    bins = max(partitions(spark), 1) * 4
+    bins = max(4 * partitions(spark), groups.count() // 1000)
     rows = groups.withColumn("bin", F.pmod(F.xxhash64("work"), F.lit(bins)).cast("int")).join(texts, "node").select("bin", "work", "node", "side", "text")
 
     def run(table: pa.Table) -> pa.Table:
@@ -328,6 +330,7 @@ def confirm(stage: Stage, groups: DataFrame, texts: DataFrame, forest: Forest, p
             other = roots != np.arange(hi - lo)
             out_a.append(node[lo:hi][roots[other]])
             out_b.append(node[lo:hi][other])
+        tidy()
         return pa.table({"a": np.concatenate(out_a) if out_a else np.zeros(0, dtype=np.int64), "b": np.concatenate(out_b) if out_b else np.zeros(0, dtype=np.int64)})
 
     return stage.table(rows.groupBy("bin").applyInArrow(run, "a long, b long"), f"{name}-links", "snappy")
@@ -390,10 +393,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 80, wid
                 work = now.select("node", F.col("root").alias("r"), F.col("chunk").alias("k")).join(ends, (F.col("r") == F.col("root")) & (F.col("k") == F.col("c"))).select("node", "work", "side")
                 held.append(confirm(stage, work, texts, forest, percent, width, name))
     final = components(stage, _union(held), "final")
+    # What the result doesn't read goes; of signatures and sets it needs the keys alone.
+    keys = stage.table(sig.drop("sig"), "keys")
+    sets = stage.table(sets.drop("sig"), "nodes")
+    stage.drop("signatures", "sets", "neighbours", "candidates", "texts", "chunks")
 
     nodes = sets.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(key)), "node").join(final.withColumnRenamed("node", "m"), F.col("node") == F.col("m"), "left")
     nodes = nodes.select("k0", "k1", "k2", F.coalesce("root", "node").alias("component"))
-    out = sig.drop("sig").join(nodes, (F.col("s1") == F.col("k0")) & (F.col("s2") == F.col("k1")) & (F.col("n_shingles") == F.col("k2")), "left")
+    out = keys.join(nodes, (F.col("s1") == F.col("k0")) & (F.col("s2") == F.col("k1")) & (F.col("n_shingles") == F.col("k2")), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", F.col("doc_id").cast("long")))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
