@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantavol.functions import arrays
-from quantavol.operators import codec, metrics, scalar, tiling, vector, volume
+from quantavol.operators import codec, kdtree, metrics, scalar, tiling, vector, volume
 from quantavol.operators.huffman import HuffmanCode, total_bits
 from quantavol.options import Dims, Metric, Mode, QuantOptions, Wrap
 from quantavol.plans import reports
@@ -356,6 +356,13 @@ def vq_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector.assign(vecs, row_book(vecs)).select("z", "vec_ix", "ix", F.col("d2").cast("long").alias("d2"))
 
 
+@query(f"WITH {VECS} SELECT z, vec_ix, ix, CAST(d2 AS BIGINT) AS d2 FROM best")
+def vq_assign_by_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same through a KD-tree, all leaves allowed."""
+    vecs = vectors(spark, sf_dir)
+    return kdtree.assign(vecs, row_book(vecs).vectors, bucket=2).select("z", "vec_ix", "ix", F.col("d2").cast("long").alias("d2"))
+
+
 @query(f"WITH {VECS} SELECT z, vec_ix, ix, round(sqrt(d2), 4) AS dist FROM best")
 def vq_assign_by_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     vecs = vectors(spark, sf_dir)

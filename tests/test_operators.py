@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quantavol.functions import arrays
-from quantavol.operators import codec, metrics, scalar, tiling, vector, volume
+from quantavol.operators import codec, kdtree, metrics, scalar, tiling, vector, volume
 from quantavol.options import CONTAINER_SUFFIX, Dims, Mode, QuantOptions, Wrap
 from quantavol.plans import reports
 from quantavol.sources import codebooks, container, memory, raw
@@ -99,6 +99,18 @@ def test_nearest_ties_and_brute_force():
     assert (ix == d.argmin(axis=1)).all() and (d2 == d.min(axis=1)).all()
 
 
+def test_kdtree():
+    rng = np.random.default_rng(8)
+    words, queries = rng.integers(0, 100, (64, 6)), rng.integers(0, 100, (80, 6))
+    words[5] = words[40]
+    tree = kdtree.build(words, 4)
+    ix, d2 = vector.nearest(queries, words)
+    assert [kdtree.lookup(tree, words, q) for q in queries] == list(zip(ix.tolist(), d2.astype(int).tolist()))
+    few = [kdtree.lookup(tree, words, q, 2) for q in queries]
+    assert all(d >= e for (_, d), e in zip(few, d2)) and sum(i == j for (i, _), j in zip(few, ix)) > 30
+    assert isinstance(kdtree.build(np.ones((20, 3), dtype=int), 4), np.ndarray)
+
+
 def test_few_vectors_and_split(spark):
     vecs = spark.createDataFrame([(0, 0, [1, 2]), (0, 1, [3, 4]), (0, 2, [1, 2])], "z int, vec_ix long, vec array<int>")
     got = vector.train(vecs, 4, Dims(2))
