@@ -26,11 +26,11 @@ from pyspark.sql import functions as F
 
 from quantavol.llm import _text as t
 from quantavol.llm._blocks import MESSAGE, by_part, gaps, planes, spread, squeeze, ungap, unplane
-from quantavol.llm._common import Stage, need, partitions
+from quantavol.llm._common import Stage, need, partitions, tidy
 
 #: Largest count that is discounted.
 SMALL = 5
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 10 << 20
 #: Words of a block that have the smallest numbers, the most frequent first.
 RANKED = 1 << 16
 #: Hashes of the marks before and after a text; no word has them but for chance.
@@ -173,6 +173,7 @@ def write_blocks(stage: Stage, docs: DataFrame) -> DataFrame:
                     size = 0
         if held:
             yield close()
+        tidy()
 
     return stage.table(docs.mapInArrow(run, "block long, body binary"), "blocks", "snappy")
 
@@ -196,12 +197,12 @@ class Message(NamedTuple):
 
     def pack(self) -> bytes:
         """Pairs must be in ascending order of their last words."""
-        return squeeze(gaps(self.words), planes(self.word_count, 8), gaps(self.contexts), planes(self.first), planes(gaps(self.last.astype(np.int64))), planes(self.pair_count, 8))
+        return squeeze(planes(gaps(self.words), 8), planes(self.word_count, 8), planes(gaps(self.contexts), 8), planes(self.first), planes(gaps(self.last.astype(np.int64))), planes(self.pair_count, 8))
 
     @staticmethod
     def open(body: bytes) -> Message:
-        words, n, contexts, first, last, m = spread(body, "<u8", "u1", "<u8", "u1", "u1", "u1")
-        return Message(ungap(words), unplane(n, 8), ungap(contexts), unplane(first), ungap(unplane(last).astype(np.int64)), unplane(m, 8))
+        words, n, contexts, first, last, m = spread(body, "u1", "u1", "u1", "u1", "u1", "u1")
+        return Message(ungap(unplane(words, 8)), unplane(n, 8), ungap(unplane(contexts, 8)), unplane(first), ungap(unplane(last).astype(np.int64)), unplane(m, 8))
 
 
 def message_of(block: Block, words: np.ndarray, pairs: np.ndarray) -> Message:
@@ -255,6 +256,7 @@ def count_part(table: pa.Table, parts: int) -> pa.Table:
         here = order[cut[p] : cut[p + 1]]
         out.append((SUMS, 0, p, squeeze(gaps(contexts[used][here]), *(s[here] for s in sums))))
     kind, b, p, body = zip(*out)
+    tidy()
     return pa.table({"kind": pa.array(kind, type=pa.int32()), "block": pa.array(b, type=pa.int64()), "part": pa.array(p, type=pa.int32()), "body": pa.array(body, type=pa.binary())})
 
 
@@ -332,14 +334,17 @@ def score_documents(spark: SparkSession, docs: DataFrame, held_out) -> DataFrame
     repeat count as texts of their own.
     """
     stage = Stage(spark, "katz")
-    parts = partitions(spark)
     numbered = need(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(held_out, F.lit(False)).cast("byte").alias("held"))
     known_ids = F.coalesce(F.col("doc_id"), F.lit(np.iinfo(np.int64).min).cast("long"))
     blocks = write_blocks(stage, numbered.select(known_ids.alias("doc_id"), "text", "held"))
 
-    if blocks.isEmpty():
+    n_blocks = blocks.count()
+    if not n_blocks:
         return spark.createDataFrame([], "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
+    # A part holds about as much as two blocks, however large the corpus; fewer parts repeat fewer contexts.
+    parts = max(partitions(spark), -(-n_blocks // 2))
+
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, body in zip(batch.column("block").to_pylist(), batch.column("body").to_pylist()):
@@ -367,6 +372,7 @@ def score_documents(spark: SparkSession, docs: DataFrame, held_out) -> DataFrame
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         b = Block.open(left.column("body")[0].as_py())
         got = score_block(b, right, parts, d)
+        tidy()
         ids = pa.array(b.ids, mask=b.ids == np.iinfo(np.int64).min)
         return pa.table({"doc_id": ids, "held_out": pa.array(b.held.astype(bool)), "n_tokens": got["n_tokens"], "n_known": got["n_known"], "train_tokens": np.full(len(ids), d.tokens), "base_score": got["base"], "score": got["score"]})
 
