@@ -37,9 +37,8 @@ def shared_book(planes: DataFrame, options: QuantOptions, say: Listener = _silen
 def compress_file(spark: SparkSession, options: QuantOptions, say: Listener = _silent) -> container.Header:
     """A raw volume into a container."""
     options.validate()
-    raw.register(spark)
-    planes = spark.read.format("u16raw").option("dims", str(options.dims)).load(options.path)
-    book = shared_book(planes, options, say)
+    planes = raw.read(spark, options.path, options.dims, (options.selected()[0], options.selected()[-1]))
+    book = shared_book(raw.read(spark, options.path, options.dims, options.training_planes()), options, say)
     head = container.Header.of_options(options)
     container.write_container(codec.compress(planes, options, book), options.output, head, book)
     say(f"{options.path}: {head.chunks} chunks")
@@ -191,10 +190,9 @@ def plane_error(planes: DataFrame, other: DataFrame) -> DataFrame:
 def differences_in_folder(planes: DataFrame, folder: str, plane: int, dims: Dims) -> DataFrame:
     """(file, diff, abs_diff) of one plane against that plane of every raw volume of a folder."""
     spark = planes.sparkSession
-    raw.register(spark)
     out = []
     for name in raw.files.names_in(folder, ".raw"):
-        other = spark.read.format("u16raw").option("dims", str(dims)).load(f"{folder}/{name}")
+        other = raw.read(spark, f"{folder}/{name}", dims, (plane, plane))
         pair = plane_difference(volume.select_planes(planes, plane), volume.select_planes(other, plane))
         out.append(pair.select(F.lit(name).alias("file"), "diff", "abs_diff"))
     return metrics.union(out)
@@ -235,8 +233,7 @@ def run_command(spark: SparkSession, argv: list[str], say: Listener = print) ->
     o = QuantOptions.from_args(argv)
     if o.problems:
         raise OptionError("; ".join(o.problems))
-    raw.register(spark)
-    planes = lambda: spark.read.format("u16raw").option("dims", str(o.dims)).load(o.path)
+    planes = lambda: raw.read(spark, o.path, o.dims)
     match o.method:
         case Method.COMPRESS:
             return compress_file(spark, o, say)

@@ -1,7 +1,8 @@
 """Raw volumes: headerless unsigned 16-bit samples in order z, y, x, big-endian unless told.
 
 `spark.read.format("u16raw")` gives the plane form: one partition for some planes, each read by a
-seek; a filter on z prunes partitions. `df.write.format("u16raw")` writes one file: tasks write
+seek; the option `planes` reads some planes only. (Filters aren't pushed to the reader: Spark 4.1
+keeps a reader with its filters for later scans of one DataFrame that have none.) `df.write.format("u16raw")` writes one file: tasks write
 their planes to files beside it, which the commit joins in order of z.
 """
 
@@ -13,8 +14,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from quantavol.operators.tiling import list_column
@@ -42,37 +43,10 @@ class PlaneRange(InputPartition):
     planes: list[int]
 
 
-def keeps(f: Filter, z: int) -> bool | None:
-    """Whether a pushed filter on z keeps a plane; None if it is of another kind."""
-    if getattr(f, "attribute", None) != ("z",):
-        return None
-    match f:
-        case EqualTo(value=v):
-            return z == v
-        case GreaterThan(value=v):
-            return z > v
-        case GreaterThanOrEqual(value=v):
-            return z >= v
-        case LessThan(value=v):
-            return z < v
-        case LessThanOrEqual(value=v):
-            return z <= v
-        case In(value=v):
-            return z in v
-    return None
-
-
 class RawVolumeReader(DataSourceReader):
     def __init__(self, path: str, dims: Dims, planes: list[int], little: bool):
         self.path, self.dims, self.planes, self.little = path, dims, planes, little
 
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        for f in filters:
-            if keeps(f, 0) is None:
-                yield f
-            else:
-                self.planes = [z for z in self.planes if keeps(f, z)]
-
     def partitions(self) -> list[PlaneRange]:
         each = max(1, PARTITION_BYTES // (2 * self.dims.plane))
         return [PlaneRange(self.planes[i : i + each]) for i in range(0, len(self.planes), each)] or [PlaneRange([])]
@@ -148,6 +122,12 @@ class RawVolume(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    """Makes `u16raw` known to a session, with filters on z pushed to its reader."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    """Makes `u16raw` known to a session."""
     spark.dataSource.register(RawVolume)
+
+
+def read(spark: SparkSession, path: str, dims: Dims, planes: tuple[int, int] | None = None) -> DataFrame:
+    """Planes of a raw volume: all, or a range with both ends, of which alone the bytes are read."""
+    register(spark)
+    reader = spark.read.format("u16raw").option("dims", str(dims))
+    return (reader if planes is None else reader.option("planes", f"{planes[0]}-{planes[1]}")).load(path)

@@ -183,6 +183,7 @@ def test_raw_files(spark, tmp_path):
     assert open(path, "rb").read().hex() == "".join(f"{i:04x}" for i in range(24))
     got = spark.read.format("u16raw").option("dims", "4x2x3").load(path)
     assert (data_of(got.filter("z >= 1")) == np.arange(8, 24).reshape(2, 8)).all()
+    assert got.count() == 3 and data_of(raw.read(spark, path, Dims(4, 2, 3), (1, 2))).tolist() == np.arange(8, 24).reshape(2, 8).tolist()
     assert data_of(got.filter(F.col("z").isin(2, 0)))[1].tolist() == list(range(16, 24))
     assert spark.read.format("u16raw").option("dims", "4x2x3").option("planes", "1-1").load(path).count() == 1
     with pytest.raises(Exception):
