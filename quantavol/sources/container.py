@@ -27,7 +27,6 @@ MAGIC = b"QCMPFILE"
 FIXED = ">8sBB?6H"
 SIZES_AT = struct.calcsize(FIXED)
 CHUNK_ROWS = "chunk int, n_bytes long, payload binary, book binary"
-PARTITION_BYTES = 32 << 20
 
 
 @dataclass
@@ -145,10 +144,12 @@ class ContainerReader(DataSourceReader):
 
     def partitions(self) -> list[Spans]:
         out, held, size = [], [], 0
+        # Payloads unpack to several times their size.
+        most = files.partition_bytes(2 * self.head.dims.count) // 4
         for s in spans(self.head):
             held.append(s)
             size += s.n
-            if size >= PARTITION_BYTES:
+            if size >= most:
                 out.append(Spans(held))
                 held, size = [], 0
         return [*out, Spans(held)] if held or not out else out

@@ -7,6 +7,11 @@ import os
 import pyarrow.fs as pafs
 
 
+def partition_bytes(total: int) -> int:
+    """Bytes of one partition: a 256th of all, but 1 MB at least and 128 MB at most."""
+    return min(128 << 20, max(1 << 20, total // 256))
+
+
 def locate(uri: str) -> tuple[pafs.FileSystem, str]:
     """The file system of a URI and the path in it."""
     for hadoop in ("s3a://", "s3n://"):

@@ -23,8 +23,6 @@ from quantavol.options import Dims, OptionError, parse_dims, parse_range
 from quantavol.sources import files
 
 PLANES = "z int, data array<int>"
-#: Bytes of planes in one partition, about.
-PARTITION_BYTES = 32 << 20
 
 
 def planes_text(text: str | None, depth: int) -> list[int]:
@@ -48,7 +46,7 @@ class RawVolumeReader(DataSourceReader):
         self.path, self.dims, self.planes, self.little = path, dims, planes, little
 
     def partitions(self) -> list[PlaneRange]:
-        each = max(1, PARTITION_BYTES // (2 * self.dims.plane))
+        each = max(1, files.partition_bytes(2 * self.dims.plane * len(self.planes)) // (2 * self.dims.plane))
         return [PlaneRange(self.planes[i : i + each]) for i in range(0, len(self.planes), each)] or [PlaneRange([])]
 
     def read(self, partition: PlaneRange) -> Iterator[pa.RecordBatch]:
