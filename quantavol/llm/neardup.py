@@ -2,11 +2,11 @@
 
 Equal shingle sets are collapsed first. Every remaining set has a MinHash signature, cut into
 several trees: a tree is the order of all sets by its part of the signature, range-partitioned and
-sorted, so crowded regions are split like any other. Candidates are neighbours in these orders
-with a longest common prefix of some values; where many sets share a prefix, a region is compared
-as a whole, and regions that are too crowded for that are cut at a deeper prefix. A short sketch
-drops most false candidates. Candidates only group sets; within each group the links are
-confirmed on full shingle sets.
+sorted, so crowded regions are split like any other. A region is what shares the first values of a
+tree: all its sets are compared with each other, block by block however many they are, but for
+those that are in one group already. Regions that partitions cut are compared by pairs of
+partitions as well. A short sketch drops most false candidates. Candidates only group sets; within
+each group the links are confirmed on full shingle sets.
 """
 
 from __future__ import annotations
@@ -28,9 +28,9 @@ from quantavol.llm.graph import components
 class Forest(NamedTuple):
     """trees of `depth` signature values; candidates share at least `least` values of a tree.
 
-    near: following neighbours that are compared; region: sets of a shared prefix that are compared
-    all with all; sketch: signature bytes that travel with a set; slack: how far the sketch's
-    estimate may lie below the wanted similarity; chunk: sets whose links are confirmed at once.
+    near: following neighbours that are compared first; region: sets of a region that are compared
+    at once; sketch: signature bytes that travel with a set; slack: how far the sketch's estimate
+    may lie below the wanted similarity; chunk: sets whose links are confirmed at once.
     """
 
     trees: int = 16
@@ -73,14 +73,17 @@ def shingle_sets(column: pa.Array, width: int = 5) -> tuple[np.ndarray, np.ndarr
 
 
 def min_hashes(grams: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
-    """(texts, n) MinHash values of 32 bits; texts without shingles have zeros."""
+    """(texts, n) MinHash values of 32 bits; texts without shingles have zeros.
+
+    The minima of large sets are small numbers, so all their bits are mixed before 32 are kept.
+    """
     out = np.zeros((len(at) - 1, n), dtype=np.uint32)
     full = np.flatnonzero(np.diff(at))
     if len(full):
         starts = at[:-1][full]
         with np.errstate(over="ignore"):
             for i, (a, b) in enumerate(zip(t.seeds(n, 21) | np.uint64(1), t.seeds(n, 22))):
-                out[full, i] = np.minimum.reduceat(grams * a + b, starts) >> np.uint64(32)
+                out[full, i] = t.mix(np.minimum.reduceat(grams * a + b, starts)) >> np.uint64(32)
     return out
 
 
@@ -167,12 +170,18 @@ def _rows(table: pa.Table, forest: Forest) -> _Rows:
     return _Rows(table.column("tree").to_numpy(), binary("prefix", forest.depth, ">u2"), binary("sketch", forest.sketch, "u1"), table.column("n").to_numpy(), table.column("node").to_numpy())
 
 
-def candidate_sets(r: _Rows, forest: Forest, percent: int) -> _Sets:
-    """Groups of rows that neighbourhood in their tree's order makes candidates."""
+def candidate_sets(r: _Rows, forest: Forest, percent: int, side: np.ndarray | None = None, known: np.ndarray | None = None) -> _Sets:
+    """Groups of rows that are candidates: rows of one region whose sizes and sketches allow it.
+
+    side: only rows of different sides are compared. known: rows of equal numbers are one group.
+    """
     m = len(r.node)
     sets = _Sets(m)
     if m < 2:
         return sets
+    if known is not None:
+        _, first, which = np.unique(known, return_index=True, return_inverse=True)
+        sets.up = first[which]
     # How many leading values each row shares with the next one (of the same tree).
     same = (r.prefix[1:] == r.prefix[:-1]) & (r.tree[1:] == r.tree[:-1])[:, None]
     shared = np.logical_and.accumulate(same, axis=1).sum(axis=1)
@@ -184,36 +193,42 @@ def candidate_sets(r: _Rows, forest: Forest, percent: int) -> _Sets:
         hit = r.close(a, a + step, percent, forest.slack)
         sets.join(a[hit], a[hit] + step)
 
-    def region(lo: int, hi: int, depth: int) -> None:
-        """Rows lo .. hi share `depth` values: compares those that aren't in one group yet."""
-        if hi - lo <= forest.near + 1:
-            return
-        if hi - lo > forest.region and depth < forest.depth:
-            cut = np.flatnonzero(shared[lo : hi - 1] <= depth) + lo + 1
-            for x, y in zip([lo, *cut], [*cut, hi]):
-                region(x, y, depth + 1)
-            return
-        for x in range(lo, hi, forest.region // 2):
-            y = min(x + forest.region, hi)
-            roots = np.array([sets.root(i) for i in range(x, y)])
-            names, counts = np.unique(roots, return_counts=True)
-            if len(names) > 1:
-                # All rows but those of the largest group, against all rows.
-                few = np.flatnonzero(roots != names[counts.argmax()]) + x
-                for at in range(0, len(few), 64):
-                    some = few[at : at + 64]
-                    a, b = np.repeat(some, y - x), np.tile(np.arange(x, y), len(some))
-                    other = roots[a - x] != roots[b - x]
-                    a, b = a[other], b[other]
-                    hit = r.close(a, b, percent, forest.slack)
-                    sets.join(a[hit], b[hit])
-            if y == hi:
-                break
+    def roots(lo: int, hi: int) -> np.ndarray:
+        at = sets.up[lo:hi]
+        while (at != sets.up[at]).any():
+            at = sets.up[at]
+        return at
+
+    def region(lo: int, hi: int) -> None:
+        """Compares rows lo .. hi that aren't in one group yet, a block of rows with a block of rows."""
+        done = np.zeros(hi - lo, dtype=bool)
+        while True:
+            # Rows outside the largest group against all rows; pairs within it need no look.
+            now = roots(lo, hi)
+            names, counts = np.unique(now, return_counts=True)
+            some = np.flatnonzero((now != names[counts.argmax()]) & ~done)[:64]
+            if not len(some):
+                return
+            rest = np.flatnonzero(~done)
+            for x in range(0, len(rest), forest.region):
+                block = rest[x : x + forest.region]
+                a, b = np.repeat(some, len(block)), np.tile(block, len(some))
+                other = now[a] != now[b]
+                if side is not None:
+                    other &= side[a + lo] != side[b + lo]
+                a, b = a[other], b[other]
+                hit = r.close(a + lo, b + lo, percent, forest.slack)
+                if hit.any():
+                    met = np.unique(np.column_stack((now[a[hit]], now[b[hit]])), axis=0)
+                    sets.join(met[:, 0], met[:, 1])
+                    now = roots(lo, hi)
+            done[some] = True
 
     cut = np.flatnonzero(shared < forest.least) + 1
     begins, ends = np.concatenate(([0], cut)), np.concatenate((cut, [m]))
-    for lo, hi in zip(begins[ends - begins > forest.near + 1], ends[ends - begins > forest.near + 1]):
-        region(int(lo), int(hi), forest.least)
+    far = ends - begins > forest.near + 1
+    for lo, hi in zip(begins[far].tolist(), ends[far].tolist()):
+        region(lo, hi)
     return sets
 
 
@@ -235,36 +250,46 @@ def forest_links(stage: Stage, sets: DataFrame, forest: Forest, percent: int) ->
         if not held:
             return
         table = pa.Table.from_batches(held)
-        part_id, m = TaskContext.get().partitionId(), table.num_rows
-        a, b = _stars(_rows(table, forest), forest, percent)
+        r = _rows(table, forest)
+        roots = candidate_sets(r, forest, percent).roots()
+        a, b = _stars(roots, r.node)
         none = pa.nulls(len(a))
-        blank = [none.cast(pa.int32()), none.cast(pa.int32()), none.cast(pa.binary()), none.cast(pa.binary()), none.cast(pa.int64()), none.cast(pa.int64())]
-        names = ["a", "b", "seam", "tree", "prefix", "sketch", "n", "node"]
+        blank = [none.cast(kind) for kind in (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64())]
+        names = ["a", "b", "part", "root", "tree", "prefix", "sketch", "n", "node"]
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *blank], names=names)
-        # The rows at both ends meet those of the neighbouring partitions.
-        for seam, edge in ((part_id - 1, table.slice(0, forest.near)), (part_id, table.slice(max(0, m - forest.near)))):
-            k = edge.num_rows
-            empty = pa.nulls(k).cast(pa.int64())
-            yield from pa.table([empty, empty, pa.array(np.full(k, seam, dtype=np.int32)), *(edge.column(c) for c in names[3:])], names=names).to_batches()
+        # The regions at both ends may go on in other partitions: their rows and groups are kept.
+        key = np.column_stack((r.tree, r.prefix[:, : forest.least]))
+        edge = (key == key[0]).all(axis=1) | (key == key[-1]).all(axis=1)
+        k, ends = int(edge.sum()), table.filter(pa.array(edge))
+        empty = pa.nulls(k).cast(pa.int64())
+        part_ = np.full(k, TaskContext.get().partitionId(), dtype=np.int32)
+        yield from pa.table([empty, empty, pa.array(part_), pa.array(r.node[roots[edge]]), *(ends.column(c) for c in names[4:])], names=names).to_batches()
 
-    found = stage.table(ordered.mapInArrow(run, f"a long, b long, seam int, {ROW_SCHEMA}"), "neighbours")
+    found = stage.table(ordered.mapInArrow(run, f"a long, b long, part int, root long, {ROW_SCHEMA}"), "neighbours")
 
     def over_seam(table: pa.Table) -> pa.Table:
-        a, b = _stars(_rows(table.sort_by([("tree", "ascending"), ("prefix", "ascending"), ("node", "ascending")]), forest), forest, percent)
+        table = table.sort_by([("prefix", "ascending"), ("node", "ascending")])
+        r = _rows(table, forest)
+        a, b = _stars(candidate_sets(r, forest, percent, table.column("part").to_numpy(), table.column("root").to_numpy()).roots(), r.node)
         return pa.table({"a": a, "b": b})
 
-    seams = found.filter(F.col("seam").isNotNull()).groupBy("seam").applyInArrow(over_seam, "a long, b long")
-    return found.filter(F.col("seam").isNull()).select("a", "b").unionAll(seams)
+    # A region in several partitions: each pair of them is a piece of work.
+    ends = found.filter(F.col("part").isNotNull()).drop("a", "b").withColumn("key", F.substring("prefix", 1, 2 * forest.least))
+    held = ends.select("tree", "key", "part").distinct()
+    other = held.select(F.col("tree").alias("t2"), F.col("key").alias("k2"), F.col("part").alias("high"))
+    pairs = held.join(other, (F.col("tree") == F.col("t2")) & (F.col("key") == F.col("k2")) & (F.col("part") < F.col("high")))
+    pairs = pairs.select(F.col("tree").alias("t"), F.col("key").alias("k"), F.col("part").alias("low"), "high").withColumn("p", F.explode(F.array("low", "high")))
+    pieces = ends.join(pairs, (F.col("tree") == F.col("t")) & (F.col("key") == F.col("k")) & (F.col("part") == F.col("p")))
+    seams = pieces.select("low", "high", "key", "part", "root", *(c.split()[0] for c in ROW_SCHEMA.split(", "))).groupBy("tree", "key", "low", "high").applyInArrow(over_seam, "a long, b long")
+    return found.filter(F.col("part").isNull()).select("a", "b").unionAll(seams)
 
 
-def _stars(r: _Rows, forest: Forest, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def _stars(roots: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each group its smallest node with every other one."""
-    roots = candidate_sets(r, forest, percent).roots()
-    order = np.lexsort((r.node, roots))
-    g = roots[order]
+    order = np.lexsort((node, roots))
+    g, node = roots[order], node[order]
     first = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1]))) if len(g) else np.zeros(0, dtype=np.int64)
-    low = np.repeat(r.node[order][first], np.diff(np.concatenate((first, [len(g)]))))
-    node = r.node[order]
+    low = np.repeat(node[first], np.diff(np.concatenate((first, [len(g)]))))
     keep = low != node
     pairs = np.unique(np.column_stack((low[keep], node[keep])), axis=0) if keep.any() else np.zeros((0, 2), dtype=np.int64)
     return pairs[:, 0], pairs[:, 1]

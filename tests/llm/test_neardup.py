@@ -5,6 +5,7 @@ import numpy as np
 import pyarrow as pa
 
 from quantavol.llm import neardup
+from quantavol.llm._common import Stage
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -63,6 +64,39 @@ def test_edges(spark, no_docs):
     assert got == sorted([(2, 2, True), (3, 2, False), (3, 2, False), (5, 5, True), (6, 6, True), (None, None, True)], key=str)
 
 
+def test_long_texts_have_own_prefixes():
+    """Minima of very large sets are small numbers; prefixes still tell the sets apart."""
+    rng = np.random.default_rng(1)
+    grams = rng.integers(0, 1 << 63, 1_600_000, dtype=np.uint64)
+    top = neardup.min_hashes(grams, np.array([0, 800_000, 1_600_000]), 12) >> np.uint32(16)
+    assert (top[0] != top[1]).all() and len(np.unique(top)) > 20
+
+
+def crowd(n):
+    """(prefix, sketch) of n sets of one region, of which only the first and the last are alike."""
+    sketch = np.random.default_rng(2).integers(0, 256, (n, 64), dtype=np.uint8)
+    sketch[-1] = sketch[0]
+    return np.zeros((n, 6), dtype=">u2"), sketch
+
+
+def test_crowded_region_is_compared_as_a_whole():
+    prefix, sketch = crowd(300)
+    n = len(prefix)
+    r = neardup._Rows(np.zeros(n, dtype=np.int32), prefix, sketch, np.full(n, 50), np.arange(n))
+    roots = neardup.candidate_sets(r, neardup.Forest(region=16), 80).roots()
+    assert roots[-1] == 0 and len(np.unique(roots)) == n - 1
+
+
+def test_region_over_partitions(spark):
+    """Copies at the ends of a region that several partitions share meet."""
+    _, sketch = crowd(400)
+    values = np.zeros((400, 96, 4), dtype=np.uint8)
+    values[:, :64, 3] = sketch
+    sets = spark.createDataFrame([(i, 50, v.tobytes()) for i, v in enumerate(values)], "node long, n_shingles long, sig binary")
+    links = neardup.forest_links(Stage(spark, "test-links"), sets, neardup.Forest(trees=1), 80).collect()
+    assert {(r["a"], r["b"]) for r in links} == {(0, 399)}
+
+
 def test_confirmed_counts():
     a, b = np.arange(10, dtype=np.uint64), np.arange(2, 11, dtype=np.uint64)
     assert list(zip(*neardup.confirmed([a, b], 72))) == [(0, 1)]
