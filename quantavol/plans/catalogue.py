@@ -524,6 +524,13 @@ def voxel_codec_lossless(spark: SparkSession, sf_dir: str) -> DataFrame:
     return volume.pixels(decoded, options.dims)
 
 
+@query()
+def voxel_codec_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors over all planes, of more different boxes than codewords."""
+    planes = volume8(spark, sf_dir)
+    return _rounded_errors(reports.roundtrip(planes, QuantOptions(Dims(8, 8, depth(planes)), 8, Dims(4, 4, 4), Mode.GLOBAL)))
+
+
 @query(f"WITH {px_sql(16)} SELECT z, y, x, v FROM px WHERE z BETWEEN 30 AND 69")
 def individual_codec_lossless(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A codebook for each plane; planes of fewer different tiles than codewords come back unchanged."""
@@ -533,6 +540,15 @@ def individual_codec_lossless(spark: SparkSession, sf_dir: str) -> DataFrame:
     return volume.pixels(decoded, options.dims)
 
 
+@query(f"WITH {px_sql(16)} SELECT z, y, x, v FROM px")
+def individual_codec_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All planes: each has 8 tiles at most, fewer than its codebook's words."""
+    planes = volume8(spark, sf_dir)
+    options = QuantOptions(Dims(16, 4, depth(planes)), 5, Dims(5, 3))
+    decoded = codec.decompress(codec.compress(planes, options), options.dims, options.tile, 32)
+    return volume.pixels(decoded, options.dims)
+
+
 @query(SQ_ERRORS)
 def container_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     planes, path = volume8(spark, sf_dir), scratch(spark, "container") + "/v.volume"
@@ -552,6 +568,15 @@ def raw_volume_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return volume.pixels(back.filter((F.col("z") >= 20) & (F.col("z") < 50)), dims)
 
 
+@query(f"WITH {px_sql(16)} SELECT z, y, x, v FROM px")
+def raw_volume_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planes, path = volume8(spark, sf_dir), scratch(spark, "raw") + "/v.raw"
+    raw.register(spark)
+    planes.write.format("u16raw").mode("append").save(path)
+    dims = Dims(16, 4, depth(planes))
+    return volume.pixels(spark.read.format("u16raw").option("dims", str(dims)).load(path), dims)
+
+
 @query("SELECT CAST(i AS INTEGER) AS ix, CAST(4096+8192*i AS INTEGER) AS centroid, CAST(1 AS BIGINT) AS freq FROM range(8) t(i)")
 def codebook_store_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = scratch(spark, "store")
@@ -614,6 +639,11 @@ def i32_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planes.select("z", F.hex(arrays.bytes_of_ints(F.transform("data", lambda v: v - 32768))).alias("big"))
 
 
+@query(f"WITH {px_sql(8)} SELECT z, string_agg(printf('%08X', CASE WHEN v-32768 < 0 THEN 4294967296+v-32768 ELSE CAST(v-32768 AS BIGINT) END), '' ORDER BY y, x) AS big FROM px GROUP BY z")
+def i32_bytes_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return volume8(spark, sf_dir).select("z", F.hex(arrays.bytes_of_ints(F.transform("data", lambda v: v - 32768))).alias("big"))
+
+
 @query("""SELECT p_partkey, CASE WHEN p_size%4 > 1 THEN 'VECTOR_3D' WHEN p_size%3 > 0 THEN 'VECTOR_2D' WHEN p_size > 1 THEN 'VECTOR_1D' ELSE 'SCALAR' END AS kind,
  CAST(floor(log2(p_size)) AS INTEGER) AS bits, CAST(p_size%7 AS INTEGER) AS y, printf('%d:%02d:%02d.%03d', (p_partkey*p_size)//3600000, (p_partkey*p_size)//60000%60, (p_partkey*p_size)//1000%60, (p_partkey*p_size)%1000) AS elapsed FROM part""")
 def scalar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -680,6 +710,13 @@ def codebook_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prices(spark, sf_dir).join(store, "z", "left_semi").groupBy("z").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("""SELECT CAST(l_linenumber-1 AS INTEGER) AS z, count(*) AS n FROM lineitem WHERE l_linenumber-1 IN (SELECT vec_id FROM embeddings) GROUP BY 1""")
+def codebook_exists_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The semi join with the keys of all vectors."""
+    store = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("int").alias("z")).distinct()
+    return prices(spark, sf_dir).join(store, "z", "left_semi").groupBy("z").agg(F.count(F.lit(1)).alias("n"))
+
+
 # Streams
 
 
@@ -727,6 +764,19 @@ def stream_boxes_lossless(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("id", F.aggregate("data", F.lit(0).cast("long"), lambda s, v: s + v).alias("total"), F.size("data").cast("long").alias("n"))
 
 
+@query()
+def stream_boxes_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, sq_sum, n): squared errors of all planes in boxes of four or, at the end, what is left."""
+    planes = volume8(spark, sf_dir)
+    book = codec.train(planes, QuantOptions(Dims(8, 8, depth(planes)), 8, Dims(4, 4, 2), Mode.GLOBAL))
+    rows = planes.groupBy(F.expr("z div 4").alias("id")).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("z", "data"))), lambda s: s["data"])).alias("data"))
+    boxes = rows.select("id", F.lit(8).alias("x"), F.lit(8).alias("y"), F.expr("size(data) div 64").cast("int").alias("z"), "data")
+    back = streams.decode_boxes(streams.encode_boxes(boxes, Dims(4, 4, 2), book), Dims(4, 4, 2), book)
+    both = back.select("id", F.col("data").alias("decoded")).join(rows, "id")
+    off = F.zip_with("data", "decoded", lambda a, b: (a - b).cast("long"))
+    return both.select("id", F.aggregate(off, F.lit(0).cast("long"), lambda s, d: s + d * d).alias("sq_sum"), F.size("decoded").cast("long").alias("n"))
+
+
 # Whole reports
 
 
@@ -746,8 +796,8 @@ def codec_middle_plane_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def codec_error_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    planes = volume.select_planes(volume8(spark, sf_dir), planes=(0, 15))
-    return reports.error_grid(planes, Dims(8, 8, 16), [2, 3], [None, Dims(9), Dims(3, 3), Dims(3, 3, 3)], [Mode.GLOBAL, Mode.INDIVIDUAL, Mode.MIDDLE_PLANE])
+    planes = volume8(spark, sf_dir)
+    return reports.error_grid(planes, Dims(8, 8, depth(planes)), list(range(2, 9)), [None, Dims(9), Dims(3, 3), Dims(3, 3, 3)], [Mode.GLOBAL, Mode.INDIVIDUAL, Mode.MIDDLE_PLANE])
 
 
 @query()
