@@ -82,7 +82,7 @@ class Block:
         at = self.place[recurring[found] == self.anchor]
         key = t.gram_hashes(self.h, self.width)[at]
         doc = np.searchsorted(self.words.first, at, side="right") - 1
-        order = np.lexsort((at, self.ids[doc], key))
+        order = np.lexsort((at - self.words.first[doc], self.ids[doc], key))
         key, at = key[order], at[order]
         new = np.concatenate(([True], key[1:] != key[:-1])) if len(key) else np.zeros(0, dtype=bool)
         begin = np.flatnonzero(new)
@@ -234,7 +234,9 @@ def covered_words(block: Block, key: np.ndarray, first: np.ndarray, elsewhere: n
     at = block.place[hits[block.place + block.reach] > hits[block.place]]
     found = t.gram_hashes(block.h, block.width)[at]
     which = np.minimum(np.searchsorted(key, found), len(key) - 1)
-    gone = (key[which] == found) & (elsewhere[which] | (first[which] != at))
+    # Rows that repeat a doc_id stand at one place, in one block as in several.
+    (doc, start), (head, begin) = block.position(at), block.position(first)
+    gone = (key[which] == found) & (elsewhere[which] | (head[which] != doc) | (begin[which] != start))
     edge = np.zeros(len(block.h) + 1, dtype=np.int32)
     np.add.at(edge, at[gone], 1)
     np.add.at(edge, at[gone] + block.width, -1)
@@ -275,8 +277,8 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, width: int = 20, joined
     A word goes if a window of `width` words that covers it also starts earlier: in a document of
     smaller doc_id, or earlier in the same one. Windows are judged on the input. Spans are word
     numbers of the removed runs, from and to (exclusive). Null texts are empty. doc_id is an
-    integer; null ids come last. Rows that repeat a doc_id with one text stand at one place, so
-    none of them is earlier than the other. joined: kept words joined by one space; else the text
+    integer; null ids come last. Rows that repeat a doc_id, or have none, with one text
+    stand at one place, so none of them is earlier than the other. joined: kept words joined by one space; else the text
     as it stood, with removed runs and the white space before them cut out.
     """
     if width < 2:

@@ -36,3 +36,16 @@ def test_kept_text_and_spans(spark):
 
 def test_empty(spark, no_docs):
     assert phrases.remove_repeats(spark, no_docs).count() == 0
+
+
+def test_repeated_rows_in_one_block_and_across(spark, monkeypatch):
+    """A doc_id with one text stands at one place; with other texts, the smallest start is first."""
+    w = " ".join(f"w{i}" for i in range(8))
+    rows = [(3, w + " a"), (3, w + " a"), (5, "x y " + w), (5, "x y " + w), (None, w + " n"), (None, w + " n"), (7, "p q r s t u v"), (7, "k p q r s t u v"), (None, "n1 n2 n3 n4"), (None, "n1 n2 n3 n4")]
+    want = sorted([(3, 0), (3, 0), (5, 8), (5, 8), (None, 8), (None, 8), (7, 0), (7, 7), (None, 0), (None, 0)], key=str)
+    for order in (rows, rows[::-1]):
+        for most in (4 << 20, 10):
+            monkeypatch.setattr(phrases, "BLOCK_BYTES", most)
+            df = spark.createDataFrame(order, "doc_id long, text string").coalesce(1)
+            got = sorted(((r["doc_id"], r["n_removed"]) for r in phrases.remove_repeats(spark, df, 4).collect()), key=str)
+            assert got == want, most
