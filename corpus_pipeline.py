@@ -1,13 +1,14 @@
 """From raw documents to packed training sequences, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns
-of documents. doc_id is taken to name one row of the input.
+of documents. Rows that repeat a doc_id and its text are one document, of which near dedup keeps one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quantavol.llm import mixing, neardup, packing, phrases, quality
 from quantavol.llm._common import Stage, n_words
@@ -20,10 +21,21 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id of each group linked by a similarity of 0.8 or more."""
-    groups = neardup.near_duplicates(spark, docs, 80)
-    gone = groups.filter(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """The document of smallest doc_id of each group linked by a similarity of 0.8 or more.
+
+    Of rows with equal doc_id and text one stays; rows without a doc_id all stay.
+    """
+    stage = Stage(spark, "near-dedup")
+    ids = neardup.near_duplicates(spark, docs, 80).filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id"))
+    marked = stage.table(ids.agg(F.min("kept").alias("_kept"), F.count(F.lit(1)).alias("_rows")).filter("not _kept or _rows > 1"), "marked", "snappy")
+    repeated = marked.filter("_kept")
+    if repeated.isEmpty():
+        return docs.join(marked, F.col("doc_id") == F.col("_id"), "left_anti")
+    rows = docs.join(marked, F.col("doc_id") == F.col("_id"), "left_anti")
+    others = [F.col(f"`{f.name}`") for f in docs.schema if isinstance(f.dataType, T.AtomicType) and f.name not in ("doc_id", "text")]
+    w = Window.partitionBy("doc_id", "text").orderBy(*(others or ["doc_id"]))
+    one = docs.join(repeated, F.col("doc_id") == F.col("_id"), "left_semi").withColumn("_at", F.row_number().over(w)).filter("_at = 1").drop("_at")
+    return rows.unionAll(one)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,3 +30,13 @@ def test_stages(spark, tmp_path, corpus):
     assert sum(len(x.split()) for x in texts) < whole and len(grams) - len(set(grams)) < 40
     assert 0.8 < sum(len(r["text"].split()) for r in mixed.collect()) / sum(len(x.split()) for x in texts) < 1.1
     assert {r["doc_id"] for r in packed.collect()} == {r["doc_id"] for r in mixed.collect()}
+
+
+def test_near_dedup_of_repeated_rows(spark):
+    """Copies with one doc_id leave one row; other texts of that doc_id and rows without one stay."""
+    text, other = "a b c d e f g", "p q r s t u v w"
+    rows = [(1, text, "x"), (1, text, "y"), (1, text, "x"), (2, text, "x"), (3, other, "x"), (4, None, "x"), (4, None, "x"), (5, "k l m n o p", "x"), (5, "z y x w v u", "x"), (None, "m n", "x"), (None, "m n", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = sorted((tuple(r) for r in corpus_pipeline.near_dedup(spark, df, "").collect()), key=str)
+    want = [(1, text, "x"), (3, other, "x"), (4, None, "x"), (5, "k l m n o p", "x"), (5, "z y x w v u", "x"), (None, "m n", "x"), (None, "m n", "x")]
+    assert got == sorted(want, key=str)
