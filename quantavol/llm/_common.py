@@ -60,6 +60,17 @@ def need(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*(F.col(f"`{n}`") for n in names))
 
 
+def fresh(taken: DataFrame | list[str], *wanted: str) -> tuple[str, ...]:
+    """Names like the wanted ones that no column has, whatever the case."""
+    used, out = {c.lower() for c in (taken.columns if isinstance(taken, DataFrame) else taken)}, []
+    for name in wanted:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return tuple(out)
+
+
 def n_words(text: Column) -> Column:
     """Words of a text without Python: runs outside [\\x20\\x09-\\x0D]; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")

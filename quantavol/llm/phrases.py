@@ -1,43 +1,56 @@
 """Removal of passages that stand earlier in the corpus, by repeated-phrase automata.
 
-Texts travel as compressed blocks of some megabytes, written once. Blocks and hash parts exchange
-short messages instead of rows for words:
+Texts travel as compressed blocks of some megabytes, written once; blocks of one task form groups.
+Groups and hash parts exchange packed messages:
 
 1. Every window of `width` words names its smallest hash of half as many words (winnowing), so equal
-   windows name equal anchors. A block sends its anchors to the parts by hash; a part answers which
-   of them stand in two places or more.
-2. A block sends the windows of recurring anchors, each with its first place in the block; a part
-   confirms which windows recur and answers which blocks don't hold the first place of all.
-3. A block compiles the anchor phrases of its confirmed windows to Aho-Corasick automata, of a
-   bounded number of phrases each, over its words as characters, and streams its documents through
-   them. Windows around an occurrence are looked up among the confirmed ones: all but the first
-   are removed.
-
-A passage that is everywhere costs each block one entry, so no key is hot.
+   windows name equal anchors. A part answers which anchors stand in two places or more.
+2. Groups send the windows of recurring anchors. A part confirms which windows recur, which word
+   comes before and after all their occurrences, and which block holds the first one. Windows that
+   always follow each other are one passage: all its occurrences are those of its first window,
+   shifted, so the group that holds the first occurrence writes that window as the passage's phrase.
+3. Phrases are dealt to the parts by anchor. A part compiles its shard of all phrases of the corpus to
+   Aho-Corasick automata of a bounded number of phrases, over words as characters. Documents are
+   streamed through them: every stretch with a recurring anchor goes to the part of that anchor, as
+   any occurrence of a phrase lies in a stretch with the phrase's anchor. What an automaton finds,
+   and nothing else, is an occurrence; words are compared as they are, not by hash.
+4. Each occurrence of a passage but the first is removed as a whole.
+
+A block sends equal stretches, windows and anchors once, so a passage that is everywhere costs each
+block one entry and no key is hot. A message is a row for (group, part): rows are at most as many as
+entries, and parts hold about as much as two groups.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quantavol.llm import _text as t
-from quantavol.llm._blocks import MESSAGE, by_part, spread, squeeze
-from quantavol.llm._common import Stage, need, partitions, tidy
+from quantavol.llm._blocks import by_part, spread, squeeze
+from quantavol.llm._common import Stage, fresh, need, partitions, tidy
 
 #: Text bytes of a block; a longer document is a block of its own.
 BLOCK_BYTES = 3 << 20
+#: Blocks of a group, which share messages: so many at most, fewer where groups are fewer than 4 a partition.
+GROUP_BLOCKS = 32
 #: Phrases of one automaton, which bounds its memory.
 AUTOMATON_PHRASES = 25_000
-#: The order of a null doc_id among documents: last.
-LAST = np.iinfo(np.int64).max
+#: The order of a null doc_id among documents: behind the largest long, as its starts are raised.
+LAST, RAISED = np.iinfo(np.int64).max, 1 << 62
+#: Flags of a window: it recurs; one word comes before, after all occurrences; its first one is here.
+RECURS, ONE_BEFORE, ONE_AFTER, FIRST_HERE = 1, 2, 4, 8
+MESSAGE = "grp long, part int, body binary"
+ADDED = {"kept_text": T.StringType(), "n_words": T.LongType(), "n_removed": T.LongType(), "span_start": T.ArrayType(T.LongType()), "span_end": T.ArrayType(T.LongType())}
 
 
 def _sliding(values: np.ndarray, n: int, least: np.ufunc) -> np.ndarray:
@@ -48,11 +61,40 @@ def _sliding(values: np.ndarray, n: int, least: np.ufunc) -> np.ndarray:
     return least(out[: len(out) - (n - have)], out[n - have :]) if n > have else out
 
 
+def _member(values: np.ndarray, ascending: np.ndarray) -> np.ndarray:
+    if not len(ascending):
+        return np.zeros(len(values), dtype=bool)
+    return ascending[np.minimum(np.searchsorted(ascending, values), len(ascending) - 1)] == values
+
+
+class Windows(NamedTuple):
+    """Distinct windows, by ascending hash: first place, whether there are more, and what comes
+    before and after all of them (0: nothing, or several words). place, which: all occurrences."""
+
+    key: np.ndarray
+    first: np.ndarray
+    many: np.ndarray
+    before: np.ndarray
+    after: np.ndarray
+    place: np.ndarray
+    which: np.ndarray
+
+
+class Stretches(NamedTuple):
+    """Distinct runs of words whose windows name one anchor, by part; begin, which: all occurrences."""
+
+    first: np.ndarray
+    length: np.ndarray
+    cut: np.ndarray
+    begin: np.ndarray
+    which: np.ndarray
+
+
 class Block:
-    """Documents of a block with the hashes that all three steps need."""
+    """Documents of a block with the hashes that all steps need."""
 
-    def __init__(self, ids: np.ndarray, column: pa.Array, width: int):
-        self.ids, self.width = ids, width
+    def __init__(self, ids: np.ndarray, absent: np.ndarray, column: pa.Array, width: int):
+        self.ids, self.absent, self.width = ids, absent.astype(np.int64), width
         self.words = w = t.split_words(column)
         self.h = t.word_hashes(w) if len(w.start) else np.zeros(0, dtype=np.uint64)
         self.place = np.flatnonzero(t.whole_gram_mask(w.first, width))
@@ -70,42 +112,70 @@ class Block:
         value, count = np.unique(self.grams[_sliding(over, self.reach, np.maximum) == self.grams], return_counts=True)
         return value, count > 1
 
-    def windows(self, recurring: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(hash, first place, whether there are more) of the distinct windows with a recurring anchor.
-
-        recurring: ascending anchors. The first place is that of the smallest (doc_id, start).
-        """
-        none = np.zeros(0, dtype=np.int64)
-        if not len(recurring) or not len(self.place):
-            return np.zeros(0, dtype=np.uint64), none, np.zeros(0, dtype=bool)
-        found = np.minimum(np.searchsorted(recurring, self.anchor), len(recurring) - 1)
-        at = self.place[recurring[found] == self.anchor]
-        key = t.gram_hashes(self.h, self.width)[at]
+    def position(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """doc_id and start within the document of places, in the order of documents."""
         doc = np.searchsorted(self.words.first, at, side="right") - 1
-        order = np.lexsort((at - self.words.first[doc], self.ids[doc], key))
+        return self.ids[doc], at - self.words.first[doc] + RAISED * self.absent[doc]
+
+    def windows(self, recurring: np.ndarray) -> Windows:
+        """The windows with a recurring anchor (ascending); the first is that of smallest position."""
+        at = self.place[_member(self.anchor, recurring)]
+        key = t.gram_hashes(self.h, self.width)[at] if len(at) else np.zeros(0, dtype=np.uint64)
+        doc, start = self.position(at)
+        order = np.lexsort((start, doc, key))
         key, at = key[order], at[order]
         new = np.concatenate(([True], key[1:] != key[:-1])) if len(key) else np.zeros(0, dtype=bool)
-        begin = np.flatnonzero(new)
-        return key[begin], at[begin], np.diff(np.concatenate((begin, [len(key)]))) > 1
-
-    def position(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """doc_id and start within the document of places."""
-        doc = np.searchsorted(self.words.first, at, side="right") - 1
-        return self.ids[doc], at - self.words.first[doc]
+        begin, which = np.flatnonzero(new), np.cumsum(new) - 1
+        owner = np.searchsorted(self.words.first, at, side="right") - 1
+        # 32 bits of the neighbours' hashes, never 0; 0 at the edges of documents.
+        near = np.concatenate(([0], np.maximum(self.h >> np.uint64(32), np.uint64(1)), [0])).astype(np.uint32)
+        sides = []
+        for value, edge in ((near[at], at == self.words.first[owner]), (near[at + self.width + 1], at + self.width == self.words.first[owner + 1])):
+            value = np.where(edge, np.uint32(0), value)
+            sides.append(_one_value(value, begin))
+        return Windows(key[begin], at[begin], np.diff(np.concatenate((begin, [len(key)]))) > 1, *sides, at, which)
+
+    def stretches(self, recurring: np.ndarray, parts: int) -> Stretches:
+        """Runs of neighbouring windows of one recurring anchor; each goes to its anchor's part."""
+        keep = _member(self.anchor, recurring)
+        at, anchor = self.place[keep], self.anchor[keep]
+        none = np.zeros(0, dtype=np.int64)
+        if not len(at):
+            return Stretches(none, none, np.zeros(parts + 1, dtype=np.int64), none, none)
+        begin = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1] + 1) | (anchor[1:] != anchor[:-1]))))
+        last = np.concatenate((begin[1:], [len(at)])) - 1
+        window = t.gram_hashes(self.h, self.width)
+        start, stop, part = at[begin], at[last], (anchor[begin] % np.uint64(parts)).astype(np.int64)
+        length = stop - start + self.width
+        order = np.lexsort((start, length, window[stop], window[start], part))
+        s, e, n, p = start[order], stop[order], length[order], part[order]
+        new = np.concatenate(([True], (p[1:] != p[:-1]) | (n[1:] != n[:-1]) | (window[s[1:]] != window[s[:-1]]) | (window[e[1:]] != window[e[:-1]])))
+        head = np.flatnonzero(new)
+        return Stretches(s[head], n[head], np.searchsorted(p[head], np.arange(parts + 1)), s, np.cumsum(new) - 1)
+
+
+def _one_value(value: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """The value that all entries of a run have; 0 if they differ."""
+    if not len(begin):
+        return value[:0]
+    low, high = np.minimum.reduceat(value, begin), np.maximum.reduceat(value, begin)
+    return np.where(low == high, low, value.dtype.type(0))
 
 
 def write_blocks(stage: Stage, docs: DataFrame, carry: list[str]) -> DataFrame:
-    """Rows (block, body): the documents of a block with the columns to carry."""
+    """Rows (grp, block, body): the documents of a block with the columns to carry; grp: the task, block: a number in it."""
+    id_, text_ = fresh(carry, "id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_ids: list[pa.Array] = []
         held_text: list[pa.Array] = []
         held_more: list[pa.RecordBatch] = []
-        size = 0
+        size, made, source = 0, 0, uuid.uuid4().int >> 65
 
         def close() -> pa.RecordBatch:
+            nonlocal made
             ids, text = pa.concat_arrays(held_ids), pa.concat_arrays(held_text)
-            name = uuid.uuid4().int >> 65
+            made += 1
             known = ids.fill_null(LAST).to_numpy()
             data, at = t.flat_bytes(text)
             absent = ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint8)
@@ -115,16 +185,16 @@ def write_blocks(stage: Stage, docs: DataFrame, carry: list[str]) -> DataFrame:
                     stream.write_batch(more)
             others = np.frombuffer(sink.getvalue(), dtype=np.uint8)
             body = squeeze(known.astype("<i8"), at.astype("<i8"), data, absent, others, level=9)
-            return pa.RecordBatch.from_arrays([pa.array([name], type=pa.int64()), pa.array([body], type=pa.binary())], names=["block", "body"])
+            return pa.RecordBatch.from_arrays([pa.array([source], type=pa.int64()), pa.array([made - 1], type=pa.int32()), pa.array([body], type=pa.binary())], names=["grp", "block", "body"])
 
         for batch in batches:
-            for i, j in t.slices(batch.column("_text"), BLOCK_BYTES):
-                text = batch.column("_text").slice(i, j - i)
+            for i, j in t.slices(batch.column(text_), BLOCK_BYTES):
+                text = batch.column(text_).slice(i, j - i)
                 n = len(t.flat_bytes(text)[0])
                 if held_ids and size + n > BLOCK_BYTES:
                     yield close()
                     held_ids, held_text, held_more, size = [], [], [], 0
-                held_ids.append(batch.column("_id").slice(i, j - i))
+                held_ids.append(batch.column(id_).slice(i, j - i))
                 held_more.append(batch.select(carry).slice(i, j - i))
                 held_text.append(text)
                 size += n
@@ -133,113 +203,268 @@ def write_blocks(stage: Stage, docs: DataFrame, carry: list[str]) -> DataFrame:
         tidy()
 
     others = need(docs, *carry).columns
-    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text"), *(F.col(f"`{c}`") for c in others))
-    return stage.table(rows.mapInArrow(run, "block long, body binary"), "blocks", "snappy")
+    rows = docs.select(F.col("doc_id").cast("long").alias(id_), F.col("text").cast("string").alias(text_), *(F.col(f"`{c}`") for c in others))
+    return stage.table(rows.mapInArrow(run, "grp long, block int, body binary"), "blocks", "snappy")
 
 
 def _open(body: bytes, width: int) -> tuple[Block, pa.Table]:
     ids, at, data, absent, others = spread(body, "<i8", "<i8", "u1", "u1", "u1")
     text = pa.Array.from_buffers(pa.large_string(), len(ids), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(data.tobytes())])
-    return Block(ids, text, width), pa.ipc.open_stream(pa.py_buffer(others)).read_all()
+    return Block(ids, absent, text, width), pa.ipc.open_stream(pa.py_buffer(others)).read_all()
 
 
-def _recurring(block: Block, answers: dict[int, bytes], parts: int) -> np.ndarray:
-    value, _ = block.anchors()
-    order, cut = by_part(value, parts)
-    keep = np.zeros(len(value), dtype=bool)
-    for p, body in answers.items():
-        here = order[cut[p] : cut[p + 1]]
-        keep[here] = np.unpackbits(spread(body, "u1")[0], count=len(here)).astype(bool)
-    return value[keep]
+def _blocks(table: pa.Table) -> Iterator[tuple[int, bytes]]:
+    """Blocks of a group by number."""
+    numbers = table.column("block").to_pylist()
+    for i in np.argsort(numbers).tolist():
+        yield numbers[i], table.column("body")[i].as_py()
+
+
+class Outbox:
+    """Messages of a group's blocks: one body for each part, with the blocks' entries one after another."""
+
+    def __init__(self, group: int):
+        self.group, self.held = group, {}
+
+    def add(self, block: int, part: int, *arrays: np.ndarray) -> None:
+        """The first array has an entry for each thing that is answered."""
+        self.held.setdefault(part, []).append((block, arrays))
 
+    def rows(self) -> pa.Table:
+        bodies = []
+        for held in self.held.values():
+            numbers = np.array([b for b, _ in held], dtype="<u4")
+            counts = np.array([len(a[0]) for _, a in held], dtype="<u4")
+            bodies.append(squeeze(numbers, counts, *(np.concatenate(c) for c in zip(*(a for _, a in held)))))
+        return _messages([self.group] * len(bodies), list(self.held), bodies)
 
-def _answers(table: pa.Table, kind: int) -> dict[int, bytes]:
-    return {p: b for p, b, k in zip(table.column("part").to_pylist(), table.column("body").to_pylist(), table.column("kind").to_pylist()) if k == kind}
 
+def _messages(groups: list[int], parts: list[int], bodies: list[bytes]) -> pa.Table:
+    return pa.table({"grp": pa.array(groups, type=pa.int64()), "part": pa.array(parts, type=pa.int32()), "body": pa.array(bodies, type=pa.binary())})
 
-def _reply(rows: list[tuple[int, int, bytes]]) -> pa.Table:
-    b, p, body = zip(*rows) if rows else ((), (), ())
-    return pa.table({"block": pa.array(b, type=pa.int64()), "part": pa.array(p, type=pa.int32()), "body": pa.array(body, type=pa.binary())})
+
+def _gather(table: pa.Table, *kinds: str) -> tuple[list[list[np.ndarray]], list[np.ndarray], np.ndarray]:
+    """The messages of a part, their arrays one after another, and where each message's entries begin."""
+    got = [spread(b, "<u4", "<u4", *kinds) for b in table.column("body").to_pylist()]
+    return got, [np.concatenate([g[2 + i] for g in got]) for i in range(len(kinds))], np.concatenate(([0], np.cumsum([len(g[2]) for g in got])))
+
+
+def _reply(table: pa.Table, got: list[list[np.ndarray]], cut: np.ndarray, answer: np.ndarray) -> pa.Table:
+    """A byte for each entry goes back to those that sent it; messages without any answer get none."""
+    part, groups, out = table.column("part")[0].as_py(), table.column("grp").to_pylist(), []
+    for g, m, a, z in zip(groups, got, cut[:-1], cut[1:]):
+        if answer[a:z].any():
+            out.append((g, squeeze(m[0], m[1], answer[a:z])))
+    return _messages([g for g, _ in out], [part] * len(out), [b for _, b in out])
+
+
+def _answers(table: pa.Table) -> dict[int, dict[int, np.ndarray]]:
+    """Of each block the bytes that each part answered."""
+    out: dict[int, dict[int, np.ndarray]] = {}
+    for part, body in zip(table.column("part").to_pylist(), table.column("body").to_pylist()):
+        numbers, counts, answer = spread(body, "<u4", "<u4", "u1")
+        at = np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))
+        for b, a, z in zip(numbers.tolist(), at[:-1], at[1:]):
+            out.setdefault(b, {})[part] = answer[a:z]
+    return out
+
+
+def _in_order(answers: dict[int, np.ndarray], order: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """Answers of all parts in the order of the block's entries."""
+    out = np.zeros(len(order), dtype=np.uint8)
+    for p, a in answers.items():
+        out[order[cut[p] : cut[p + 1]]] = a
+    return out
+
+
+def _recurring(block: Block, answers: dict[int, np.ndarray], parts: int) -> np.ndarray:
+    if not answers:
+        return np.zeros(0, dtype=np.uint64)
+    value, _ = block.anchors()
+    return value[_in_order(answers, *by_part(value, parts)) > 0]
+
+
+def tell_anchors(outbox: Outbox, number: int, block: Block, parts: int) -> None:
+    value, many = block.anchors()
+    order, cut = by_part(value, parts)
+    for p in np.flatnonzero(np.diff(cut)).tolist():
+        here = order[cut[p] : cut[p + 1]]
+        outbox.add(number, p, value[here], many[here].astype(np.uint8))
 
 
 def answer_anchors(table: pa.Table) -> pa.Table:
-    """For each message of a part: bits of the anchors that stand in two places or more."""
-    blocks, part, bodies = table.column("block").to_pylist(), table.column("part")[0].as_py(), table.column("body").to_pylist()
-    got = [spread(b, "<u8", "u1") for b in bodies]
-    key = np.concatenate([g[0] for g in got])
-    weight = np.concatenate([g[1] for g in got]).astype(np.int64) + 1
+    """For each anchor of a part whether it stands in two places or more."""
+    got, (key, many), cut = _gather(table, "<u8", "u1")
     order = np.argsort(key, kind="stable")
     new = np.concatenate(([True], key[order][1:] != key[order][:-1]))
-    total = np.add.reduceat(weight[order], np.flatnonzero(new))
-    twice = np.empty(len(key), dtype=bool)
+    total = np.add.reduceat(many[order].astype(np.int64) + 1, np.flatnonzero(new))
+    twice = np.empty(len(key), dtype=np.uint8)
     twice[order] = (total > 1)[np.cumsum(new) - 1]
-    cut = np.concatenate(([0], np.cumsum([len(g[0]) for g in got])))
-    return _reply([(b, part, squeeze(np.packbits(twice[x:y]))) for b, x, y in zip(blocks, cut[:-1], cut[1:]) if twice[x:y].any()])
+    return _reply(table, got, cut, twice)
+
+
+def tell_windows(outbox: Outbox, number: int, block: Block, w: Windows, parts: int) -> None:
+    doc, start = block.position(w.first)
+    order, cut = by_part(w.key, parts)
+    for p in np.flatnonzero(np.diff(cut)).tolist():
+        here = order[cut[p] : cut[p + 1]]
+        outbox.add(number, p, w.key[here], doc[here].astype("<i8"), start[here].astype("<i8"), w.many[here].astype(np.uint8), w.before[here], w.after[here])
 
 
 def answer_windows(table: pa.Table) -> pa.Table:
-    """For each message of a part: bits of the windows whose first place of all is in another block."""
-    blocks, part, bodies = table.column("block").to_pylist(), table.column("part")[0].as_py(), table.column("body").to_pylist()
-    got = [spread(b, "<u8", "<i8", "<i8") for b in bodies]
-    key, doc, start = (np.concatenate([g[i] for g in got]) for i in range(3))
+    """For each window of a part its flags."""
+    got, (key, doc, start, many, before, after), cut = _gather(table, "<u8", "<i8", "<i8", "u1", "<u4", "<u4")
     order = np.lexsort((start, doc, key))
-    k, d, s = key[order], doc[order], start[order]
+    k = key[order]
     new = np.concatenate(([True], k[1:] != k[:-1]))
-    head = np.flatnonzero(new)[np.cumsum(new) - 1]
-    later = np.empty(len(key), dtype=bool)
-    later[order] = (d != d[head]) | (s != s[head])
-    cut = np.concatenate(([0], np.cumsum([len(g[0]) for g in got])))
-    return _reply([(b, part, squeeze(np.packbits(later[x:y]))) for b, x, y in zip(blocks, cut[:-1], cut[1:]) if later[x:y].any()])
-
-
-def phrases_of(block: Block, first: np.ndarray) -> np.ndarray:
-    """Places of the distinct anchor phrases of windows: each is half a window long."""
-    anchor, index = np.unique(block.anchor[np.searchsorted(block.place, first)], return_index=True)
-    reach = first[index][:, None] + np.arange(block.reach)
-    return first[index] + (block.grams[reach] == anchor[:, None]).argmax(axis=1)
-
-
-def locate(block: Block, phrases: np.ndarray, length: int) -> np.ndarray:
-    """Which words of a block begin an occurrence of one of the phrases, by automata over words as characters."""
-    hit = np.zeros(len(block.h), dtype=bool)
-    within = np.concatenate((t.whole_gram_mask(block.words.first, length), np.zeros(length, dtype=bool)))
-    _, code = np.unique(block.h, return_inverse=True)
-    for lo in range(0, len(phrases), AUTOMATON_PHRASES):
-        cells = phrases[lo : lo + AUTOMATON_PHRASES, None] + np.arange(length)
-        known = np.unique(code[cells])
+    begin, which = np.flatnonzero(new), np.cumsum(new) - 1
+    flags = np.where(np.add.reduceat(many[order].astype(np.int64) + 1, begin) > 1, RECURS, 0)
+    flags |= np.where(_one_value(before[order], begin) > 0, ONE_BEFORE, 0) | np.where(_one_value(after[order], begin) > 0, ONE_AFTER, 0)
+    out = np.empty(len(key), dtype=np.uint8)
+    # Of equal first positions (rows that repeat) one is marked.
+    out[order] = np.where(flags[which] & RECURS, flags[which] | np.where(new, FIRST_HERE, 0), 0)
+    return _reply(table, got, cut, out)
+
+
+def passages(block: Block, w: Windows, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and lengths of the passages whose first occurrence of all is in this block."""
+    at = np.zeros(len(block.h) + 2, dtype=np.uint8)
+    at[w.place + 1] = flags[w.which]
+    recurs = (at & RECURS) > 0
+    # A window goes on with the one before it if both have no other neighbour there.
+    follows = np.zeros(len(at), dtype=bool)
+    follows[1:] = recurs[1:] & recurs[:-1] & ((at[1:] & ONE_BEFORE) > 0) & ((at[:-1] & ONE_AFTER) > 0)
+    chosen = (flags & FIRST_HERE) > 0
+    start = np.sort(w.first[chosen]) + 1
+    start = start[~follows[start]]
+    ends = np.flatnonzero(~follows)
+    return start - 1, ends[np.searchsorted(ends, start, side="right")] - start + block.width - 1
+
+
+def tell_phrases(outbox: Outbox, number: int, block: Block, s: Stretches, place: np.ndarray, length: np.ndarray, parts: int) -> None:
+    """To each part its stretches and phrases, and the words in them as they are."""
+    if not len(s.first):
+        return
+    _, index, code = np.unique(block.h, return_index=True, return_inverse=True)
+    anchor = block.anchor[np.searchsorted(block.place, place)]
+    order, cut = by_part(anchor, parts)
+    doc, start = block.position(place)
+    raw = block.words.data
+    for p in np.flatnonzero(np.diff(s.cut)).tolist():
+        a, z = int(s.cut[p]), int(s.cut[p + 1])
+        mine = order[cut[p] : cut[p + 1]]
+        cells = code[t.ragged(s.first[a:z], s.length[a:z])]
+        phrase = code[place[mine][:, None] + np.arange(block.width)].reshape(-1)
+        # Each word that occurs once: its bytes behind a length.
+        used, back = np.unique(np.concatenate((cells, phrase)), return_inverse=True)
+        w = index[used]
+        size = block.words.end[w] - block.words.start[w]
+        outbox.add(
+            number, p, s.length[a:z].astype("<u4"),
+            np.array([len(mine), len(used), int(size.sum()), len(cells)], dtype="<u8"), size.astype("<u4"), raw[t.ragged(block.words.start[w], size)], back.astype("<u4"),
+            length[mine].astype("<u8"), doc[mine].astype("<i8"), start[mine].astype("<i8"),
+        )
+
+
+class Automaton:
+    """Aho-Corasick automaton over words as characters: phrases are rows of equally many word numbers."""
+
+    def __init__(self, phrases: np.ndarray, words: int):
+        known = np.unique(phrases)
         # A node's children are searched one by one, so a word is two characters of two alphabets,
         # each of about the root of the number of words; words that no phrase has are number 0.
-        number = np.zeros(int(code.max()) + 1, dtype=np.int64)
-        number[known] = np.arange(1, len(known) + 1)
-        base = int(np.ceil(np.sqrt(len(known) + 1)))
-        stream = np.column_stack((number // base, base + number % base)).astype("<u4")[code]
-        keys = stream[cells].tobytes().decode("utf-32-le")
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-        for k in range(0, len(keys), 2 * length):
-            automaton.add_word(keys[k : k + 2 * length])
-        automaton.make_automaton()
-        # One stream over all documents; what crosses from one into the next is no occurrence.
-        ends = np.fromiter((end for end, _ in automaton.iter(stream.tobytes().decode("utf-32-le"))), dtype=np.int64)
-        hit[ends // 2 - (length - 1)] = True
-    return hit & within[: len(hit)]
-
-
-def covered_words(block: Block, key: np.ndarray, first: np.ndarray, elsewhere: np.ndarray) -> np.ndarray:
-    """Which words of a block are covered by an occurrence of a confirmed window that isn't its first.
-
-    key: hashes of the windows, ascending; first: places of their first occurrences in the block;
-    elsewhere: whether an earlier one stands in another block, so that all occurrences here go.
+        self.number = np.zeros(words, dtype=np.int64)
+        self.number[known] = np.arange(1, len(known) + 1)
+        self.base = int(np.ceil(np.sqrt(len(known) + 1)))
+        self.length = phrases.shape[1]
+        keys = self._characters(self.number[phrases.reshape(-1)])
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for i, k in enumerate(range(0, len(keys), 2 * self.length)):
+            self.automaton.add_word(keys[k : k + 2 * self.length], i)
+        self.automaton.make_automaton()
+
+    def _characters(self, number: np.ndarray) -> str:
+        # Characters from U+0100 on: clear of surrogates as long as an alphabet has under 50,000.
+        if self.base > 25_000:
+            raise ValueError("too many words for one automaton")
+        pair = np.column_stack((number // self.base, self.base + number % self.base)) + 0x100
+        return pair.astype("<u4").tobytes().decode("utf-32-le")
+
+    def locate(self, stream: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, phrase) of every occurrence in a stream of word numbers (below 0: no word)."""
+        text = self._characters(np.where(stream < 0, 0, self.number[stream]))
+        hits = np.fromiter((x for hit in self.automaton.iter(text) for x in hit), dtype=np.int64).reshape(-1, 2)
+        return hits[:, 0] // 2 - (self.length - 1), hits[:, 1]
+
+
+def find_phrases(table: pa.Table, width: int) -> pa.Table:
+    """Compiles a part's phrases, streams its stretches through the automata, and answers occurrences.
+
+    To each block: stretch, offset in it, length of the passage and position of its first occurrence.
     """
-    hits = np.concatenate(([0], np.cumsum(locate(block, phrases_of(block, first), block.width // 2))))
-    at = block.place[hits[block.place + block.reach] > hits[block.place]]
-    found = t.gram_hashes(block.h, block.width)[at]
-    which = np.minimum(np.searchsorted(key, found), len(key) - 1)
-    # Rows that repeat a doc_id stand at one place, in one block as in several.
-    (doc, start), (head, begin) = block.position(at), block.position(first)
-    gone = (key[which] == found) & (elsewhere[which] | (head[which] != doc) | (begin[which] != start))
-    edge = np.zeros(len(block.h) + 1, dtype=np.int32)
-    np.add.at(edge, at[gone], 1)
-    np.add.at(edge, at[gone] + block.width, -1)
+    part, groups = table.column("part")[0].as_py(), table.column("grp").to_pylist()
+    got, (lengths, facts, sizes, raw, codes, long_, doc, start), cut = _gather(table, "<u4", "<u8", "<u4", "u1", "<u4", "<u8", "<i8", "<i8")
+    facts = facts.astype(np.int64).reshape(-1, 4)
+    # Words of all blocks get numbers by their bytes.
+    at = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+    words = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(raw.tobytes())]).dictionary_encode()
+    number, n_words = words.indices.to_numpy().astype(np.int64), len(words.dictionary)
+    word_at = np.concatenate(([0], np.cumsum(facts[:, 1])))[:-1]
+    in_block = facts[:, 3] + facts[:, 0] * width
+    code = number[codes.astype(np.int64) + np.repeat(word_at, in_block)]
+    ends = np.cumsum(in_block)
+    is_phrase = np.zeros(len(code), dtype=bool)
+    is_phrase[t.ragged(ends - facts[:, 0] * width, facts[:, 0] * width)] = True
+    phrases, cells = code[is_phrase].reshape(-1, width), code[~is_phrase]
+    # One stream of all stretches, with no word between them.
+    n = lengths.astype(np.int64)
+    begin = np.concatenate(([0], np.cumsum(n + 1)))
+    stream = np.full(int(begin[-1]), -1, dtype=np.int64)
+    stream[t.ragged(begin[:-1], n)] = cells
+    found = []
+    for lo in range(0, len(phrases), AUTOMATON_PHRASES):
+        place, which = Automaton(phrases[lo : lo + AUTOMATON_PHRASES], n_words).locate(stream)
+        found.append((place, which + lo))
+    place, which = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
+    order = np.argsort(place, kind="stable")
+    place, which = place[order], which[order]
+    stretch = np.searchsorted(begin, place, side="right") - 1
+    out = []
+    for g, m, a, z in zip(groups, got, cut[:-1], cut[1:]):
+        i, j = np.searchsorted(stretch, (a, z))
+        if i < j:
+            own = np.concatenate(([0], np.cumsum(m[1], dtype=np.int64)))
+            block = np.searchsorted(own, stretch[i:j] - a, side="right") - 1
+            w = which[i:j]
+            columns = [stretch[i:j] - a - own[block], place[i:j] - begin[stretch[i:j]], long_[w], doc[w], start[w]]
+            out.append((g, squeeze(m[0], np.bincount(block, minlength=len(m[0])).astype("<u4"), *(c.astype("<i8") for c in columns))))
+    tidy()
+    return _messages([g for g, _ in out], [part] * len(out), [b for _, b in out])
+
+
+def _found(table: pa.Table) -> dict[int, list[tuple[int, list[np.ndarray]]]]:
+    """Of each block the parts' occurrences."""
+    out: dict[int, list[tuple[int, list[np.ndarray]]]] = {}
+    for part, body in zip(table.column("part").to_pylist(), table.column("body").to_pylist()):
+        numbers, counts, *columns = spread(body, "<u4", "<u4", *["<i8"] * 5)
+        at = np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))
+        for b, a, z in zip(numbers.tolist(), at[:-1], at[1:]):
+            out.setdefault(b, []).append((part, [c[a:z] for c in columns]))
+    return out
+
+
+def covered_words(block: Block, s: Stretches, found: list[tuple[int, list[np.ndarray]]]) -> np.ndarray:
+    """Which words of a block belong to an occurrence of a passage that isn't its first."""
+    edge = np.zeros(len(block.h) + 1, dtype=np.int64)
+    by_stretch = np.searchsorted(s.which, np.arange(len(s.first) + 1))
+    for part, (stretch, offset, length, doc, start) in found:
+        stretch = stretch + s.cut[part]
+        times = by_stretch[stretch + 1] - by_stretch[stretch]
+        at = s.begin[t.ragged(by_stretch[stretch], times)] + np.repeat(offset, times)
+        own, place = block.position(at)
+        gone = (own != np.repeat(doc, times)) | (place != np.repeat(start, times))
+        np.add.at(edge, at[gone], 1)
+        np.add.at(edge, at[gone] + np.repeat(length, times)[gone], -1)
     return np.cumsum(edge[:-1]) > 0
 
 
@@ -271,79 +496,97 @@ def _kept_texts(block: Block, gone: np.ndarray, joined: bool) -> list[bytes]:
     return out
 
 
-def remove_repeats(spark: SparkSession, docs: DataFrame, width: int = 20, joined: bool = False, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def remove_repeats(spark: SparkSession, docs: DataFrame, width: int = 20, joined: bool = False, carry: tuple[str, ...] = ("doc_id",), prefix: str = "") -> DataFrame:
     """The carried columns, kept_text, n_words, n_removed, span_start and span_end of every row.
 
     A word goes if a window of `width` words that covers it also starts earlier: in a document of
     smaller doc_id, or earlier in the same one. Windows are judged on the input. Spans are word
-    numbers of the removed runs, from and to (exclusive). Null texts are empty. doc_id is an
-    integer; null ids come last. Rows that repeat a doc_id, or have none, with one text
-    stand at one place, so none of them is earlier than the other. joined: kept words joined by one space; else the text
-    as it stood, with removed runs and the white space before them cut out.
+    numbers of the removed runs, from and to (exclusive). Null texts are empty and stay. doc_id is an
+    integer; null ids come last. Rows that repeat a doc_id, or have none, with one text stand at
+    one place, so none of them is earlier than the other. joined: kept words joined by one space; else the
+    text as it stood, with removed runs and the white space before them cut out. prefix: before
+    the names of the added columns, where carried columns have the same. No rows give no rows.
     """
     if width < 2:
         raise ValueError("width must be at least 2")
+    added = {prefix + c: k for c, k in ADDED.items()}
+    if clash := {c.lower() for c in added} & {c.lower() for c in carry}:
+        raise ValueError(f"carried columns have the names of added ones, give a prefix: {', '.join(sorted(clash))}")
     stage = Stage(spark, "phrases")
     blocks = write_blocks(stage, docs, list(carry))
-    # A part holds about as much as a block, however large the corpus.
-    parts = max(2 * partitions(spark), blocks.count())
+    # Groups are neighbouring blocks of one task. A part holds about as much as two of the largest groups.
+    n_blocks, p = blocks.count(), partitions(spark)
+    parts = max(2 * p, -(-n_blocks // (2 * GROUP_BLOCKS)))
+    blocks = blocks.withColumn("grp", F.xxhash64("grp", F.floor(F.col("block") / min(GROUP_BLOCKS, max(1, -(-n_blocks // (4 * p)))))))
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        outbox = None
         for batch in batches:
-            for name, body in zip(batch.column("block").to_pylist(), batch.column("body").to_pylist()):
-                value, many = _open(body, width)[0].anchors()
-                order, cut = by_part(value, parts)
-                here = [order[a:z] for a, z in zip(cut[:-1], cut[1:])]
-                yield from _reply([(name, p, squeeze(value[h], many[h].astype(np.uint8))) for p, h in enumerate(here) if len(h)]).to_batches()
+            for group, number, body in zip(*(batch.column(c).to_pylist() for c in ("grp", "block", "body"))):
+                if outbox is None or outbox.group != group:
+                    if outbox is not None:
+                        yield from outbox.rows().to_batches()
+                    outbox = Outbox(group)
+                tell_anchors(outbox, number, _open(body, width)[0], parts)
+        if outbox is not None:
+            yield from outbox.rows().to_batches()
         tidy()
 
-    told_of = blocks.mapInArrow(tell, MESSAGE).groupBy("part").applyInArrow(answer_anchors, MESSAGE)
-    anchors = stage.table(told_of, "anchors", "snappy").withColumn("kind", F.lit(1))
-
-    def ask(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        if not right.num_rows:
-            return _reply([])
-        name = left.column("block")[0].as_py()
-        block, _ = _open(left.column("body")[0].as_py(), width)
-        key_, at, _ = block.windows(_recurring(block, _answers(right, 1), parts))
-        doc, start = block.position(at)
-        order, cut = by_part(key_, parts)
-        out = []
-        for p in np.flatnonzero(np.diff(cut)).tolist():
-            here = order[cut[p] : cut[p + 1]]
-            out.append((name, p, squeeze(key_[here], doc[here].astype("<i8"), start[here].astype("<i8"))))
+    def by_kind(table: pa.Table) -> tuple[pa.Table, pa.Table]:
+        kinds = table.column("kind")
+        return table.filter(pc.equal(kinds, 1)), table.filter(pc.equal(kinds, 2))
+
+    anchors = stage.table(blocks.mapInArrow(tell, MESSAGE).groupBy("part").applyInArrow(answer_anchors, MESSAGE), "anchors", "snappy")
+
+    def ask(left: pa.Table, right: pa.Table) -> pa.Table:
+        outbox, one = Outbox(left.column("grp")[0].as_py()), _answers(right)
+        for number, body in _blocks(left):
+            if number in one:
+                block, _ = _open(body, width)
+                tell_windows(outbox, number, block, block.windows(_recurring(block, one[number], parts)), parts)
+        tidy()
+        return outbox.rows()
+
+    asked = blocks.groupBy("grp").cogroup(anchors.groupBy("grp")).applyInArrow(ask, MESSAGE)
+    windows = stage.table(asked.groupBy("part").applyInArrow(answer_windows, MESSAGE), "windows", "snappy")
+    told = anchors.withColumn("kind", F.lit(1)).unionByName(windows.withColumn("kind", F.lit(2)))
+
+    def send(left: pa.Table, right: pa.Table) -> pa.Table:
+        outbox = Outbox(left.column("grp")[0].as_py())
+        one, two = (_answers(x) for x in by_kind(right))
+        for number, body in _blocks(left):
+            if number in one:
+                block, _ = _open(body, width)
+                recurring = _recurring(block, one[number], parts)
+                w = block.windows(recurring)
+                flags = _in_order(two.get(number, {}), *by_part(w.key, parts))
+                tell_phrases(outbox, number, block, block.stretches(recurring, parts), *passages(block, w, flags), parts)
         tidy()
-        return _reply(out)
-
-    asked = blocks.groupBy("block").cogroup(anchors.groupBy("block")).applyInArrow(ask, MESSAGE)
-    later = stage.table(asked.groupBy("part").applyInArrow(answer_windows, MESSAGE), "windows", "snappy").withColumn("kind", F.lit(2))
-    # Blocks that gave and got no answer still return their documents.
-    told = anchors.unionByName(later)
-
-    def finish(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        block, others = _open(left.column("body")[0].as_py(), width)
-        gone = np.zeros(len(block.h), dtype=bool)
-        one = _answers(right, 1)
-        if one:
-            key_, at, more = block.windows(_recurring(block, one, parts))
-            order, cut = by_part(key_, parts)
-            elsewhere = np.zeros(len(key_), dtype=bool)
-            for p, body in _answers(right, 2).items():
-                here = order[cut[p] : cut[p + 1]]
-                elsewhere[here] = np.unpackbits(spread(body, "u1")[0], count=len(here)).astype(bool)
-            confirmed = elsewhere | more
-            if confirmed.any():
-                gone = covered_words(block, key_[confirmed], at[confirmed], elsewhere[confirmed])
-        out = _result(block, others, _kept_texts(block, gone, joined), gone)
+        return outbox.rows()
+
+    sent = blocks.groupBy("grp").cogroup(told.groupBy("grp")).applyInArrow(send, MESSAGE)
+    hits = stage.table(sent.groupBy("part").applyInArrow(lambda table: find_phrases(table, width), MESSAGE), "occurrences", "snappy")
+    last = anchors.withColumn("kind", F.lit(1)).unionByName(hits.withColumn("kind", F.lit(2)))
+    schema = T.StructType([*(docs.schema[c] for c in carry), *(T.StructField(c, k) for c, k in added.items())])
+    names = schema.names
+
+    def finish(left: pa.Table, right: pa.Table) -> pa.Table:
+        one, found = by_kind(right)
+        one, found = _answers(one), _found(found)
+        out = []
+        for number, body in _blocks(left):
+            block, others = _open(body, width)
+            gone = np.zeros(len(block.h), dtype=bool)
+            if number in found:
+                gone = covered_words(block, block.stretches(_recurring(block, one[number], parts), parts), found[number])
+            out.append(_result(block, others, _kept_texts(block, gone, joined), gone, names))
         tidy()
-        return out
+        return pa.concat_tables(out)
 
-    added = "kept_text string, n_words long, n_removed long, span_start array<long>, span_end array<long>"
-    schema = T.StructType([*(docs.schema[c] for c in carry), *T._parse_datatype_string(added).fields])
-    return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(finish, schema)
+    return blocks.groupBy("grp").cogroup(last.groupBy("grp")).applyInArrow(finish, schema)
 
 
-def _result(block: Block, others: pa.Table, texts: list[bytes], gone: np.ndarray) -> pa.Table:
+def _result(block: Block, others: pa.Table, texts: list[bytes], gone: np.ndarray, names: list[str]) -> pa.Table:
     first = block.words.first
     total = np.concatenate(([0], np.cumsum(gone)))
     doc = block.words.doc_of()
@@ -359,5 +602,5 @@ def _result(block: Block, others: pa.Table, texts: list[bytes], gone: np.ndarray
         at = np.searchsorted(owner, np.arange(len(first)))
         lists.append(pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(places - first[owner] + shift)))
     removed = total[first[1:]] - total[first[:-1]]
-    added = {"kept_text": pa.array(texts, type=pa.binary()).cast(pa.string()), "n_words": pa.array(block.words.counts), "n_removed": pa.array(removed), "span_start": lists[0], "span_end": lists[1]}
-    return pa.table([*others.columns, *added.values()], names=[*others.column_names, *added])
+    added = [pa.array(texts, type=pa.binary()).cast(pa.string()), pa.array(block.words.counts), pa.array(removed), *lists]
+    return pa.table([*others.columns, *added], names=names)
