@@ -8,14 +8,17 @@ in a bit with probability 1 - angle / pi. (LSH forest: Bawa, Condie and Ganesan,
 inner product becomes smallest angle by one more component that lifts all vectors to the same
 norm (Neyshabur and Srebro, 2015).
 
-Arrays are split over tasks by (tree, leading bits), so a query meets only the parts whose leading
-bits it shares, unless it must ascend above those bits. If the trees together would visit more
-rows than there are, as happens where the data have no structure, one tree is visited whole.
+The index holds strings and places, not vectors: a tree's array is cut into parts by its leading
+bits, and a query meets only the parts whose leading bits it shares, unless it ascends above them.
+Vectors are stored once, in blocks. A part tells each block which of its rows are candidates of
+which queries, a range of the array once for all queries that share it; the block scores these
+rows and no others.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -24,20 +27,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quantavol.llm._common import Stage, need
+from quantavol.llm._blocks import spread, squeeze
+from quantavol.llm._common import Stage, need, tidy
 from quantavol.llm._text import ragged, seeds
 
 BITS = 32
 
 
 class Forest(NamedTuple):
-    """trees: sorted arrays; descent: rows of a tree at which the first descent stops; miss: bound on
-    the probability that the k-th neighbour is missed; part_rows: about so many rows in a part."""
+    """trees: sorted arrays; descent: rows of a tree at which the first descent stops (k + 1 at least);
+    miss: bound on the probability that the k-th neighbour is missed; part_rows: about so many rows
+    in a part, and vectors in a block; crowd: rows of a part beyond which it is split."""
 
-    trees: int = 24
-    descent: int = 512
-    miss: float = 0.15
-    part_rows: int = 2048
+    trees: int = 64
+    descent: int = 16
+    miss: float = 0.1
+    part_rows: int = 4096
+    crowd: int = 1 << 20
 
 
 def planes(trees: int, dims: int) -> np.ndarray:
@@ -76,33 +82,100 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 def distinct_vectors(rows: DataFrame, k: int) -> DataFrame:
     """Equal vectors once, with their k + 1 smallest ids: more can't be among the k nearest of any
-    query, as equal scores go to smaller ids. A task passes on k + 1 rows of a vector at most."""
+    query, as equal scores go to smaller ids. A task passes on k + 1 ids of a vector at most."""
     w = Window.partitionBy("embedding").orderBy("vec_id")
-    few = rows.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k + 1)
-    return few.groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
+    few = rows.withColumn("_r", F.dense_rank().over(w)).filter(F.col("_r") <= k + 1)
+    return few.groupBy("embedding").agg(F.array_sort(F.collect_set("vec_id")).alias("ids"))
 
 
-def _planted(rows: DataFrame, dims: int, largest: float, forest: Forest, lead: int, query: bool) -> DataFrame:
-    """A row (tree, part, b) for every vector and tree; b: the bit string. Queries aren't lifted."""
-    keep = [c for c in rows.columns if c != "embedding"]
-    schema = ", ".join(["tree int, part long, b long", *(f"{c} {rows.schema[c].dataType.simpleString()}" for c in [*keep, "embedding"])])
+def write_blocks(stage: Stage, rows: DataFrame, most: int) -> DataFrame:
+    """Rows (block, pos, embedding, ids): vectors in blocks of at most `most`, numbered from 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, n = uuid.uuid4().int >> 65, 0
+        for batch in batches:
+            at = 0
+            while at < batch.num_rows:
+                if n == most:
+                    block, n = uuid.uuid4().int >> 65, 0
+                m = min(most - n, batch.num_rows - at)
+                piece = batch.slice(at, m)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, block)), pa.array(np.arange(n, n + m, dtype=np.int32)), *piece.columns], names=["block", "pos", *piece.schema.names])
+                at, n = at + m, n + m
+
+    kind = rows.schema["embedding"].dataType.simpleString()
+    ids = rows.schema["ids"].dataType.simpleString()
+    return stage.table(rows.select("embedding", "ids").mapInArrow(run, f"block long, pos int, embedding {kind}, ids {ids}"), "base", "snappy")
+
+
+def _strings(x: np.ndarray, largest: float, trees: int, query: bool) -> np.ndarray:
+    """Bit strings of rows lifted to one norm; queries have no lift."""
+    norm = np.sqrt((x * x).sum(axis=1))
+    scale = norm if query else np.full(len(x), largest)
+    lift = np.zeros(len(x)) if query else np.sqrt(np.maximum(0.0, 1 - (norm / largest) ** 2))
+    return bit_strings(np.column_stack((x / scale[:, None], lift)), trees)
+
+
+PART = "tree int, part long, salt int"
+
+
+def plant(stage: Stage, base: DataFrame, dims: int, largest: float, forest: Forest, lead: int) -> tuple[DataFrame, DataFrame]:
+    """The index, a row (tree, part, salt, body) for each part, and the salts of each (tree, part).
+
+    A body has the part's strings in ascending order with the blocks and places of their vectors.
+    Parts of more rows than `crowd` are dealt over salts.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                b = batch.slice(at, 2048)
+                h = _strings(_matrix(b.column("embedding"), dims), largest, forest.trees, False)
+                blocks, which = np.unique(b.column("block").to_numpy(), return_inverse=True)
+                pos = b.column("pos").to_numpy()
+                out: list[tuple[int, int, int, bytes]] = []
+                for tree in range(forest.trees):
+                    order = np.argsort(h[:, tree], kind="stable")
+                    part = h[order, tree] >> (BITS - lead)
+                    cut = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True])))
+                    for i, j in zip(cut[:-1], cut[1:]):
+                        rows = order[i:j]
+                        out.append((tree, int(part[i]), int(j - i), squeeze(h[rows, tree].astype("<u4"), blocks.astype("<i8"), which[rows].astype("<u4"), pos[rows].astype("<u4"))))
+                trees, parts, n, body = zip(*out)
+                yield pa.RecordBatch.from_arrays([pa.array(trees, type=pa.int32()), pa.array(parts, type=pa.int64()), pa.array(n, type=pa.int64()), pa.array(body, type=pa.binary())], names=["tree", "part", "n", "body"])
+        tidy()
+
+    pieces = stage.table(base.select("block", "pos", "embedding").mapInArrow(run, "tree int, part long, n long, body binary"), "pieces", "snappy")
+    salts = F.ceil(F.sum("n") / forest.crowd).cast("int").alias("salts")
+    crowd = stage.table(pieces.groupBy("tree", "part").agg(salts), "crowd", "snappy")
+
+    def merge(key: tuple, table: pa.Table) -> pa.Table:
+        got = [spread(x, "<u4", "<i8", "<u4", "<u4") for x in table.column("body").to_pylist()]
+        b, block = np.concatenate([g[0] for g in got]), np.concatenate([g[1][g[2]] for g in got])
+        pos = np.concatenate([g[3] for g in got])
+        order = np.lexsort((pos, block, b))
+        blocks, which = np.unique(block, return_inverse=True)
+        body = squeeze(b[order], blocks.astype("<i8"), which[order].astype("<u4"), pos[order])
+        return pa.table({"tree": pa.array([key[0].as_py()], type=pa.int32()), "part": pa.array([key[1].as_py()], type=pa.int64()), "salt": pa.array([key[2].as_py()], type=pa.int32()), "body": pa.array([body], type=pa.binary())})
+
+    salted = pieces.join(crowd, ["tree", "part"]).withColumn("salt", F.pmod(F.xxhash64("body"), "salts").cast("int"))
+    index = stage.table(salted.select("tree", "part", "salt", "body").groupBy("tree", "part", "salt").applyInArrow(merge, f"{PART}, body binary"), "index", "snappy")
+    stage.drop("pieces")
+    return index, crowd
+
+
+def query_strings(asked: DataFrame, dims: int, largest: float, forest: Forest, lead: int) -> DataFrame:
+    """A row (tree, part, b, q) for every query and tree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 b = batch.slice(at, 1024)
-                x = _matrix(b.column("embedding"), dims)
-                norm = np.sqrt((x * x).sum(axis=1))
-                scale = norm if query else np.full(len(x), largest)
-                lift = np.zeros(len(x)) if query else np.sqrt(np.maximum(0.0, 1 - (norm / largest) ** 2))
-                h = bit_strings(np.column_stack((x / scale[:, None], lift)), forest.trees)
+                h = _strings(_matrix(b.column("embedding"), dims), largest, forest.trees, True)
                 for tree in range(forest.trees):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(x), tree, dtype=np.int32)), pa.array(h[:, tree] >> (BITS - lead)), pa.array(h[:, tree]), *(b.column(c) for c in [*keep, "embedding"])],
-                        names=["tree", "part", "b", *keep, "embedding"],
-                    )
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), tree, dtype=np.int32)), pa.array(h[:, tree] >> (BITS - lead)), pa.array(h[:, tree]), b.column("q")], names=["tree", "part", "b", "q"])
 
-    return rows.mapInArrow(run, schema)
+    return asked.select("q", "embedding").mapInArrow(run, "tree int, part long, b long, q long")
 
 
 def _ranges(bits: np.ndarray, b: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -112,19 +185,14 @@ def _ranges(bits: np.ndarray, b: np.ndarray, level: np.ndarray) -> tuple[np.ndar
     return np.searchsorted(bits, low), np.searchsorted(bits, low + (np.int64(1) << rest))
 
 
-def best_of_part(left: pa.Table, right: pa.Table, dims: int, k: int, descent: int, lead: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, vec_id, score) of each query's k best among the rows of a part that share its prefix.
+def candidates_of_part(body: bytes, b: np.ndarray, q: np.ndarray, level: np.ndarray, descent: int, lead: int) -> list[tuple[int, bytes]]:
+    """(block, message): the rows of each block that share a query's prefix in this part.
 
-    A query's level says how many bits; below 0, the most that `descent` rows share.
+    A query's level says how many bits; below 0, the most that `descent` rows share. A message has
+    ranges: rows of each, the rows, queries of each, the queries.
     """
-    bits = left.column("b").to_numpy()
-    order = np.argsort(bits, kind="stable")
-    bits, x = bits[order], _matrix(left.column("embedding"), dims)[order]
-    ids = left.column("ids").combine_chunks()
-    first, pool = ids.offsets.to_numpy(), ids.values.to_numpy()
-    y = _matrix(right.column("embedding"), dims)
-    b, level, own, q = (right.column(c).to_numpy() for c in ("b", "level", "query_id", "q"))
-    level = level.astype(np.int64)
+    bits, blocks, which, pos = spread(body, "<u4", "<i8", "<u4", "<u4")
+    bits, level = bits.astype(np.int64), level.astype(np.int64)
     down = np.flatnonzero(level < 0)
     level[down] = lead
     for step in range(lead + 1, BITS + 1):
@@ -134,29 +202,72 @@ def best_of_part(left: pa.Table, right: pa.Table, dims: int, k: int, descent: in
         down = down[z - a >= descent]
         level[down] = step
     a, z = _ranges(bits, b, level)
+    some = z > a
+    a, z, q = a[some], z[some], q[some]
+    if not len(a):
+        return []
+    order = np.lexsort((q, z, a))
+    a, z, q = a[order], z[order], q[order]
+    new = np.concatenate(([True], (a[1:] != a[:-1]) | (z[1:] != z[:-1])))
+    first = np.flatnonzero(new)
+    n = z[first] - a[first]
+    # Rows of each distinct range, by block.
+    rows, owner = ragged(a[first], n), np.repeat(np.arange(len(first)), n)
+    by_block = np.lexsort((owner, which[rows]))
+    rows, owner = rows[by_block], owner[by_block]
+    cut = np.flatnonzero(np.concatenate(([True], which[rows][1:] != which[rows][:-1], [True])))
+    asking = np.diff(np.concatenate((first, [len(q)])))
+    out = []
+    for i, j in zip(cut[:-1], cut[1:]):
+        some, sizes = np.unique(owner[i:j], return_counts=True)
+        who = q[ragged(first[some], asking[some])]
+        out.append((int(blocks[which[rows[i]]]), squeeze(sizes.astype("<u4"), pos[rows[i:j]], asking[some].astype("<u4"), who.astype("<i8"))))
+    return out
+
+
+#: Pairs of query and row that a block marks, and that it scores, at once.
+MARKED, SCORED = 1 << 26, 1 << 15
+
+
+def best_of_block(x: np.ndarray, ids: pa.ListArray, y: np.ndarray, q: np.ndarray, own: np.ndarray, messages: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(q, vec_id, score) of each query's k best among its candidates in a block; ties to smaller ids.
+
+    x: the block's vectors by place; q: ascending numbers of the queries, with vectors y and ids own.
+    """
+    first, pool = ids.offsets.to_numpy(), ids.values.to_numpy()
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    by_range = np.lexsort((z, a))
-    cuts = np.flatnonzero(np.concatenate(([True], (a[by_range][1:] != a[by_range][:-1]) | (z[by_range][1:] != z[by_range][:-1])))) if len(a) else []
-    for lo, hi in zip(cuts, [*cuts[1:], len(a)]):
-        for at in range(lo, hi, 256):
-            these = by_range[at : min(at + 256, hi)]
-            i, j = a[these[0]], z[these[0]]
-            if i == j:
+    step = max(1, MARKED // max(len(x), 1))
+    opened = [spread(m, "<u4", "<u4", "<u4", "<i8") for m in messages]
+    for lo in range(0, len(q), step):
+        hi = min(lo + step, len(q))
+        mark = np.zeros((hi - lo) * len(x), dtype=bool)
+        for sizes, pos, asking, who in opened:
+            at = np.searchsorted(q, who)
+            here = (at >= lo) & (at < hi)
+            begin, sizes = np.cumsum(sizes, dtype=np.int64) - sizes, sizes.astype(np.int64)
+            which = np.repeat(np.arange(len(sizes)), asking)[here]
+            rows = pos[ragged(begin[which], sizes[which])]
+            mark[np.repeat(at[here] - lo, sizes[which]) * len(x) + rows] = True
+        pairs = np.flatnonzero(mark)
+        of, row = pairs // len(x), pairs % len(x)
+        score = np.empty(len(pairs))
+        for i in range(0, len(pairs), SCORED):
+            score[i : i + SCORED] = (x[row[i : i + SCORED]] * y[lo + of[i : i + SCORED]]).sum(axis=1)
+        cut = np.searchsorted(of, np.arange(hi - lo + 1))
+        for i, (a, z) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())):
+            if a == z:
                 continue
-            s = y[these] @ x[i:j].T
-            n = min(k + 1, j - i)
-            top = np.argpartition(-s, n - 1, axis=1)[:, :n] if n < j - i else np.broadcast_to(np.arange(n), (len(these), n))
-            rows = order[i + top.reshape(-1)]
-            who = np.repeat(np.arange(len(these)), n)
-            score = (x[i + top.reshape(-1)] * y[these][who]).sum(axis=1)
-            m = first[rows + 1] - first[rows]
-            v, who, score = pool[ragged(first[rows], m)], np.repeat(who, m), np.repeat(score, m)
-            other = v != own[these][who]
-            v, who, score = v[other], who[other], score[other]
-            sort = np.lexsort((v, -score, who))
-            v, who, score = v[sort], who[sort], score[sort]
-            keep = np.arange(len(who)) - np.searchsorted(who, np.arange(len(these)))[who] < k
-            found.append((q[these][who[keep]], v[keep], score[keep]))
+            s, r = score[a:z], row[a:z]
+            if len(s) > k + 1:
+                # All rows as good as the (k + 1)-th: one vector may be the query's own.
+                keep = s >= np.partition(s, len(s) - k - 1)[len(s) - k - 1]
+                s, r = s[keep], r[keep]
+            n = first[r + 1] - first[r]
+            v, s = pool[ragged(first[r].astype(np.int64), n.astype(np.int64))], np.repeat(s, n)
+            other = v != own[lo + i]
+            v, s = v[other], s[other]
+            best = np.lexsort((v, -s))[:k]
+            found.append((np.full(len(best), q[lo + i]), v[best], s[best]))
     if not found:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)
     return tuple(np.concatenate(c) for c in zip(*found))
@@ -167,11 +278,14 @@ def search(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int =
 
     Rows without a usable vector take no part on either side; a query never finds its own id. Fewer
     than k other rows: all of them. Shorter vectors count as padded with zeros. Several rows of one
-    query id are searched each; a candidate id that repeats counts once, by its best score.
+    query id are searched each. Rows that repeat an id and its vector count once; an id with several
+    vectors is a candidate with each of them. Equal scores go to smaller ids. Tables without a row
+    give none. Other columns may have any name.
     """
     stage = Stage(spark, "ann")
-    base = stage.table(distinct_vectors(usable(vectors), k), "base", "snappy")
-    asked = stage.table(usable(queries).select(F.col("vec_id").alias("query_id"), "embedding").dropDuplicates().withColumn("q", F.monotonically_increasing_id()), "asked", "snappy")
+    base = write_blocks(stage, distinct_vectors(usable(vectors), k), forest.part_rows)
+    asked = usable(queries).select(F.col("vec_id").alias("query_id"), "embedding").dropDuplicates().withColumn("q", F.monotonically_increasing_id())
+    asked = stage.table(asked, "asked", "snappy")
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x))
     facts = base.agg(F.max(F.size("embedding")).alias("dims"), F.max(norm).alias("largest"), F.count(F.lit(1)).alias("n")).first()
     more = asked.agg(F.max(F.size("embedding")).alias("dims")).first()["dims"]
@@ -179,46 +293,87 @@ def search(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int =
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dims, largest = max(facts["dims"], more), facts["largest"]
     lead = max(0, min(BITS // 2, math.ceil(math.log2(facts["n"] / forest.part_rows))))
-    # A part is a tree and its leading bits; crowded parts are dealt over salts.
-    index = _planted(base, dims, largest, forest, lead, False)
-    crowd = stage.table(index.groupBy("tree", "part").agg(F.ceil(F.count(F.lit(1)) / (4 * forest.part_rows)).cast("int").alias("salts")), "crowd", "snappy")
-    index = index.join(crowd, ["tree", "part"]).withColumn("salt", F.pmod(F.xxhash64("embedding"), "salts").cast("int")).drop("salts")
-    strings = stage.table(_planted(asked, dims, largest, forest, lead, True), "strings", "snappy")
+    descent = max(forest.descent, k + 1)
+    index, crowd = plant(stage, base, dims, largest, forest, lead)
+    strings = stage.table(query_strings(asked, dims, largest, forest, lead), "strings", "snappy")
     keys = ("tree", "part", "salt")
 
-    def visit(visits: DataFrame) -> DataFrame:
-        """q, vec_id, score: k rows at most from each part that a query visits."""
-        to = visits.join(crowd, ["tree", "part"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    def visit(visits: DataFrame, name: str) -> DataFrame:
+        """q, vec_id, score: k rows at most from each block with candidates of a query."""
+        to = visits.join(crowd, ["tree", "part"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+        to = to.select(*keys, "b", "q", "level")
+
+        def look(left: pa.Table, right: pa.Table) -> pa.Table:
+            out = []
+            if left.num_rows and right.num_rows:
+                out = candidates_of_part(left.column("body")[0].as_py(), *(right.column(c).to_numpy() for c in ("b", "q", "level")), descent, lead)
+            tidy()
+            return pa.table({"block": pa.array([b for b, _ in out], type=pa.int64()), "message": pa.array([m for _, m in out], type=pa.binary())})
+
+        told = stage.table(index.groupBy(*keys).cogroup(to.groupBy(*keys)).applyInArrow(look, "block long, message binary"), f"{name}-messages", "snappy")
+
+        def who(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Pairs of block and query, once a batch."""
+            for batch in batches:
+                names = batch.column("block").to_numpy()
+                for b in np.unique(names):
+                    got = [spread(batch.column("message")[i].as_py(), "<u4", "<u4", "<u4", "<i8")[3] for i in np.flatnonzero(names == b).tolist()]
+                    of = np.unique(np.concatenate(got))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(of), b)), pa.array(of)], names=["block", "q"])
+
+        vectors_ = told.mapInArrow(who, "block long, q long").distinct().join(asked, "q")
+        no = lambda c: F.lit(None).cast(asked.schema[c].dataType).alias(c)
+        sent = told.select("block", "message", no("q"), no("query_id"), no("embedding"))
+        sent = sent.unionByName(vectors_.select("block", F.lit(None).cast("binary").alias("message"), "q", "query_id", "embedding"))
+
+        def score(left: pa.Table, right: pa.Table) -> pa.Table:
+            out = (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))
+            if left.num_rows and right.num_rows:
+                left = left.sort_by("pos")
+                asks = right.filter(right.column("q").is_valid()).sort_by("q")
+                messages = [m for m in right.column("message").to_pylist() if m is not None]
+                ids = left.column("ids").combine_chunks()
+                out = best_of_block(_matrix(left.column("embedding"), dims), ids, _matrix(asks.column("embedding"), dims), asks.column("q").to_numpy(), asks.column("query_id").to_numpy(), messages, k)
+            tidy()
+            return pa.table({"q": pa.array(out[0], type=pa.int64()), "vec_id": pa.array(out[1], type=pa.int64()), "score": pa.array(out[2], type=pa.float64())})
+
+        return base.groupBy("block").cogroup(sent.groupBy("block")).applyInArrow(score, "q long, vec_id long, score double")
 
-        def score(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-            q, v, s = best_of_part(left, right, dims, k, forest.descent, lead) if left.num_rows and right.num_rows else ([], [], [])
-            return pa.table({"q": pa.array(q, type=pa.int64()), "vec_id": pa.array(v, type=pa.int64()), "score": pa.array(s, type=pa.float64())})
+    order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
 
-        near = index.groupBy(*keys).cogroup(to.groupBy(*keys)).applyInArrow(score, "q long, vec_id long, score double")
-        return near.groupBy("q", "vec_id").agg(F.max("score").alias("score"))
+    def best(rows: DataFrame) -> DataFrame:
+        return rows.distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
-    order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
-    found = visit(strings.withColumn("level", F.lit(-1)))
-    found = stage.table(found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k), "descent", "snappy")
+    found = stage.table(best(visit(strings.withColumn("level", F.lit(-1)), "descent")), "descent", "snappy")
+
+    def ascend(levels: DataFrame, name: str) -> DataFrame:
+        """What is found where all trees share `level` bits with a query; at level 0 all trees are the same."""
+        visits = strings.join(levels, "q").filter((F.col("level") > 0) | (F.col("tree") == 0))
+        wide = F.pow(F.lit(2), F.greatest(F.lit(lead) - F.col("level"), F.lit(0))).cast("long")
+        begin = F.col("part") - F.pmod("part", wide)
+        return visit(visits.withColumn("part", F.explode(F.sequence(begin, begin + wide - 1))), name)
+
+    # Where the parts that a query meets have fewer than k rows, it ascends until there are k.
+    level = lead
+    while level > 0:
+        lacking = asked.join(found.filter(F.col("rank") == k).select("q"), "q", "left_anti").select("q", F.lit(level // 2).alias("level"))
+        if lacking.isEmpty():
+            break
+        level //= 2
+        found = stage.table(best(found.select("q", "vec_id", "score").unionByName(ascend(lacking, f"up-{level}"))), f"found-{level}", "snappy")
 
     # Ascent: the depth at which a row as near as the k-th found so far is missed with probability `miss`.
+    # One bit is always shared: what lies in the other half of every tree isn't looked at.
     kth = found.filter(F.col("rank") == k).select("q", "score")
     cosine = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("score") / (norm * F.lit(largest))))
     agree = F.greatest(F.lit(1e-9), 1 - F.acos(cosine) / math.pi)
     depth = F.when(agree >= 1, F.lit(BITS)).otherwise(F.least(F.lit(BITS), F.floor(F.lit(math.log(1 - forest.miss ** (1 / forest.trees))) / F.log(agree))))
-    depth = F.greatest(F.lit(0), F.coalesce(depth.cast("int"), F.lit(0)))
-    depth = F.when(F.lit(forest.trees) >= F.pow(F.lit(2.0), depth), F.lit(0)).otherwise(depth)
-    levels = stage.table(asked.join(kth, "q", "left").select("q", depth.alias("level")), "levels", "snappy")
-    visits = strings.join(levels, "q").filter((F.col("level") > 0) | (F.col("tree") == 0))
-    wide = F.pow(F.lit(2), F.greatest(F.lit(lead) - F.col("level"), F.lit(0))).cast("long")
-    begin = F.col("part") - F.pmod("part", wide)
-    visits = visits.withColumn("part", F.explode(F.sequence(begin, begin + wide - 1)))
-    everything = found.select("q", "vec_id", "score").unionByName(visit(visits)).groupBy("q", "vec_id").agg(F.max("score").alias("score"))
-    best = everything.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return best.join(asked.select("q", "query_id"), "q").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    levels = stage.table(asked.join(kth, "q").select("q", F.greatest(F.lit(1), depth.cast("int")).alias("level")), "levels", "snappy")
+    last = best(found.select("q", "vec_id", "score").unionByName(ascend(levels, "ascent")))
+    return last.join(asked.select("q", "query_id"), "q").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def search_embeddings(spark: SparkSession, vectors: DataFrame, every: int = 20, k: int = 20, forest: Forest = Forest()) -> DataFrame:
-    """Rows whose vec_id is divisible by `every`, searched against all other rows."""
-    queries = vectors.filter(F.col("vec_id") % every == 0)
+    """Rows whose vec_id is divisible by `every`, searched against all other rows (see search)."""
+    queries = need(vectors, "vec_id", "embedding").filter(F.col("vec_id") % every == 0)
     return search(spark, vectors, queries, k, forest)

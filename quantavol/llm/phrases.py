@@ -18,7 +18,7 @@ Groups and hash parts exchange packed messages:
 
 A block sends equal stretches, windows and anchors once, so a passage that is everywhere costs each
 block one entry and no key is hot. A message is a row for (group, part): rows are at most as many as
-entries, and parts hold about as much as two groups.
+entries, and parts hold about as much as half a group.
 """
 
 from __future__ import annotations
@@ -514,9 +514,9 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, width: int = 20, joined
         raise ValueError(f"carried columns have the names of added ones, give a prefix: {', '.join(sorted(clash))}")
     stage = Stage(spark, "phrases")
     blocks = write_blocks(stage, docs, list(carry))
-    # Groups are neighbouring blocks of one task. A part holds about as much as two of the largest groups.
+    # Groups are neighbouring blocks of one task. A part holds about as much as half of a largest group.
     n_blocks, p = blocks.count(), partitions(spark)
-    parts = max(2 * p, -(-n_blocks // (2 * GROUP_BLOCKS)))
+    parts = max(2 * p, -(-2 * n_blocks // GROUP_BLOCKS))
     blocks = blocks.withColumn("grp", F.xxhash64("grp", F.floor(F.col("block") / min(GROUP_BLOCKS, max(1, -(-n_blocks // (4 * p)))))))
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -114,3 +114,36 @@ def test_few_rows(spark):
     got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in ann.search_embeddings(spark, df).collect())
     assert got == [(0, 1, 20, 1.0), (0, 2, 3, 0.0), (0, 3, 4, -1.0), (20, 1, 0, 1.0), (20, 2, 3, 0.0), (20, 3, 4, -1.0)]
     assert ann.search_embeddings(spark, df.limit(0)).count() == 0
+
+
+def test_ties_go_to_smaller_ids(spark):
+    """400 different vectors with inner product exactly 1, and others below: the smallest ids win."""
+    rng = np.random.default_rng(4)
+    rows = [(0, [1.0] + [0.0] * 7)]
+    rows += [(1 + i, [1.0, *(0.001 * rng.integers(-9, 9, 7)).tolist()]) for i in range(400)]
+    rows += [(500 + i, [-1.0, *rng.normal(size=7).tolist()]) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    got = [(r["vec_id"], r["score"]) for r in ann.search(spark, df, df.filter("vec_id = 0"), 20).orderBy("rank").collect()]
+    assert got == [(i, 1.0) for i in range(1, 21)]
+
+
+def test_search_columns_and_repeats(spark):
+    """Other columns may have the names used within; repeated rows count once; small parts and blocks."""
+    rng = np.random.default_rng(8)
+    x = rng.integers(-3, 4, (300, 6)).astype(float)
+    rows = [(i, v.tolist(), 1, 2, 3, "s", 4, 5, 6) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows + rows[:50], "vec_id long, embedding array<double>, block int, pos int, q int, tree string, part int, score int, ids int")
+    forest = ann.Forest(trees=48, part_rows=32, miss=0.01, crowd=20)
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in ann.search_embeddings(spark, df, 20, 5, forest).collect())
+    want = brute([(r[0], r[1]) for r in rows if any(r[1])], [(r[0], r[1]) for r in rows if r[0] % 20 == 0 and any(r[1])], 5)
+    found = {q: [g[2] for g in got if g[0] == q] for q in want}
+    assert all(len(found[q]) == 5 for q in want)
+    assert sum(len(set(found[q]) & set(want[q])) for q in want) / (5 * len(want)) >= 0.9
+
+
+def test_only_candidates_are_scored():
+    """A range is scored for its own queries and no others."""
+    x, ids = np.arange(12.0).reshape(6, 2), pa.array([[0], [1], [2], [3], [4], [5]])
+    message = ann.squeeze(*(np.array(v, dtype=k) for v, k in (([2, 1], "<u4"), ([0, 1, 5], "<u4"), ([1, 2], "<u4"), ([7, 7, 9], "<i8"))))
+    q, v, s = ann.best_of_block(x, ids, np.array([[1.0, 0.0], [0.0, 1.0]]), np.array([7, 9]), np.array([5, 100]), [message], 2)
+    assert list(zip(q.tolist(), v.tolist(), s.tolist())) == [(7, 1, 2.0), (7, 0, 0.0), (9, 5, 11.0)]
