@@ -18,7 +18,6 @@ rows and no others.
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -37,12 +36,13 @@ BITS = 32
 class Forest(NamedTuple):
     """trees: sorted arrays; descent: rows of a tree at which the first descent stops (k + 1 at least);
     miss: bound on the probability that the k-th neighbour is missed; part_rows: about so many rows
-    in a part, and vectors in a block; crowd: rows of a part beyond which it is split."""
+    in a part; block_bytes: of vectors in a block, as doubles; crowd: rows of a part beyond which it is split."""
 
     trees: int = 64
     descent: int = 16
     miss: float = 0.1
     part_rows: int = 4096
+    block_bytes: int = 8 << 20
     crowd: int = 1 << 20
 
 
@@ -88,24 +88,15 @@ def distinct_vectors(rows: DataFrame, k: int) -> DataFrame:
     return few.groupBy("embedding").agg(F.array_sort(F.collect_set("vec_id")).alias("ids"))
 
 
-def write_blocks(stage: Stage, rows: DataFrame, most: int) -> DataFrame:
-    """Rows (block, pos, embedding, ids): vectors in blocks of at most `most`, numbered from 0."""
+def write_blocks(stage: Stage, rows: DataFrame, n_blocks: int) -> DataFrame:
+    """Rows (block, pos, embedding, ids): vectors dealt over blocks by hash, numbered from 0 in each."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, n = uuid.uuid4().int >> 65, 0
-        for batch in batches:
-            at = 0
-            while at < batch.num_rows:
-                if n == most:
-                    block, n = uuid.uuid4().int >> 65, 0
-                m = min(most - n, batch.num_rows - at)
-                piece = batch.slice(at, m)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, block)), pa.array(np.arange(n, n + m, dtype=np.int32)), *piece.columns], names=["block", "pos", *piece.schema.names])
-                at, n = at + m, n + m
+    def number(key: tuple, table: pa.Table) -> pa.Table:
+        return table.append_column("pos", pa.array(np.arange(table.num_rows, dtype=np.int32))).select(["block", "pos", "embedding", "ids"])
 
-    kind = rows.schema["embedding"].dataType.simpleString()
-    ids = rows.schema["ids"].dataType.simpleString()
-    return stage.table(rows.select("embedding", "ids").mapInArrow(run, f"block long, pos int, embedding {kind}, ids {ids}"), "base", "snappy")
+    kind, ids = (rows.schema[c].dataType.simpleString() for c in ("embedding", "ids"))
+    dealt = rows.select(F.pmod(F.xxhash64("embedding"), F.lit(n_blocks)).alias("block"), "embedding", "ids")
+    return stage.table(dealt.groupBy("block").applyInArrow(number, f"block long, pos int, embedding {kind}, ids {ids}"), "base", "snappy")
 
 
 def _strings(x: np.ndarray, largest: float, trees: int, query: bool) -> np.ndarray:
@@ -226,13 +217,14 @@ def candidates_of_part(body: bytes, b: np.ndarray, q: np.ndarray, level: np.ndar
 
 
 #: Pairs of query and row that a block marks, and that it scores, at once.
-MARKED, SCORED = 1 << 26, 1 << 15
+MARKED, SCORED = 1 << 23, 1 << 15
 
 
-def best_of_block(x: np.ndarray, ids: pa.ListArray, y: np.ndarray, q: np.ndarray, own: np.ndarray, messages: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def best_of_block(x: np.ndarray, ids: pa.ListArray, y: np.ndarray, q: np.ndarray, own: np.ndarray, least: np.ndarray, messages: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(q, vec_id, score) of each query's k best among its candidates in a block; ties to smaller ids.
 
-    x: the block's vectors by place; q: ascending numbers of the queries, with vectors y and ids own.
+    x: the block's vectors by place; q: ascending numbers of the queries, with vectors y and ids own;
+    least: scores below which rows aren't wanted.
     """
     first, pool = ids.offsets.to_numpy(), ids.values.to_numpy()
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -255,9 +247,11 @@ def best_of_block(x: np.ndarray, ids: pa.ListArray, y: np.ndarray, q: np.ndarray
             score[i : i + SCORED] = (x[row[i : i + SCORED]] * y[lo + of[i : i + SCORED]]).sum(axis=1)
         cut = np.searchsorted(of, np.arange(hi - lo + 1))
         for i, (a, z) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())):
-            if a == z:
-                continue
             s, r = score[a:z], row[a:z]
+            keep = s >= least[lo + i]
+            s, r = s[keep], r[keep]
+            if not len(s):
+                continue
             if len(s) > k + 1:
                 # All rows as good as the (k + 1)-th: one vector may be the query's own.
                 keep = s >= np.partition(s, len(s) - k - 1)[len(s) - k - 1]
@@ -283,7 +277,7 @@ def search(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int =
     give none. Other columns may have any name.
     """
     stage = Stage(spark, "ann")
-    base = write_blocks(stage, distinct_vectors(usable(vectors), k), forest.part_rows)
+    base = stage.table(distinct_vectors(usable(vectors), k), "distinct", "snappy")
     asked = usable(queries).select(F.col("vec_id").alias("query_id"), "embedding").dropDuplicates().withColumn("q", F.monotonically_increasing_id())
     asked = stage.table(asked, "asked", "snappy")
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x))
@@ -292,14 +286,16 @@ def search(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int =
     if not facts["n"] or more is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dims, largest = max(facts["dims"], more), facts["largest"]
+    base = write_blocks(stage, base, -(-facts["n"] * 8 * dims // forest.block_bytes))
     lead = max(0, min(BITS // 2, math.ceil(math.log2(facts["n"] / forest.part_rows))))
     descent = max(forest.descent, k + 1)
     index, crowd = plant(stage, base, dims, largest, forest, lead)
     strings = stage.table(query_strings(asked, dims, largest, forest, lead), "strings", "snappy")
     keys = ("tree", "part", "salt")
 
-    def visit(visits: DataFrame, name: str) -> DataFrame:
-        """q, vec_id, score: k rows at most from each block with candidates of a query."""
+    def visit(visits: DataFrame, asks: DataFrame, name: str) -> DataFrame:
+        """q, vec_id, score: k rows at most from each block with candidates of a query, none below
+        the least score of asks (q, query_id, embedding, least)."""
         to = visits.join(crowd, ["tree", "part"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
         to = to.select(*keys, "b", "q", "level")
 
@@ -312,28 +308,23 @@ def search(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int =
 
         told = stage.table(index.groupBy(*keys).cogroup(to.groupBy(*keys)).applyInArrow(look, "block long, message binary"), f"{name}-messages", "snappy")
 
-        def who(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            """Pairs of block and query, once a batch."""
-            for batch in batches:
-                names = batch.column("block").to_numpy()
-                for b in np.unique(names):
-                    got = [spread(batch.column("message")[i].as_py(), "<u4", "<u4", "<u4", "<i8")[3] for i in np.flatnonzero(names == b).tolist()]
-                    of = np.unique(np.concatenate(got))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(of), b)), pa.array(of)], names=["block", "q"])
+        def who(key: tuple, table: pa.Table) -> pa.Table:
+            of = np.unique(np.concatenate([spread(m, "<u4", "<u4", "<u4", "<i8")[3] for m in table.column("message").to_pylist()]))
+            return pa.table({"block": pa.array(np.full(len(of), key[0].as_py())), "q": pa.array(of)})
 
-        vectors_ = told.mapInArrow(who, "block long, q long").distinct().join(asked, "q")
-        no = lambda c: F.lit(None).cast(asked.schema[c].dataType).alias(c)
-        sent = told.select("block", "message", no("q"), no("query_id"), no("embedding"))
-        sent = sent.unionByName(vectors_.select("block", F.lit(None).cast("binary").alias("message"), "q", "query_id", "embedding"))
+        vectors_ = told.groupBy("block").applyInArrow(who, "block long, q long").join(asks, "q")
+        no = lambda c: F.lit(None).cast(asks.schema[c].dataType).alias(c)
+        sent = told.select("block", "message", no("q"), no("query_id"), no("embedding"), no("least"))
+        sent = sent.unionByName(vectors_.select("block", F.lit(None).cast("binary").alias("message"), "q", "query_id", "embedding", "least"))
 
         def score(left: pa.Table, right: pa.Table) -> pa.Table:
             out = (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))
             if left.num_rows and right.num_rows:
                 left = left.sort_by("pos")
-                asks = right.filter(right.column("q").is_valid()).sort_by("q")
+                asking = right.filter(right.column("q").is_valid()).sort_by("q")
                 messages = [m for m in right.column("message").to_pylist() if m is not None]
                 ids = left.column("ids").combine_chunks()
-                out = best_of_block(_matrix(left.column("embedding"), dims), ids, _matrix(asks.column("embedding"), dims), asks.column("q").to_numpy(), asks.column("query_id").to_numpy(), messages, k)
+                out = best_of_block(_matrix(left.column("embedding"), dims), ids, _matrix(asking.column("embedding"), dims), *(asking.column(c).to_numpy() for c in ("q", "query_id", "least")), messages, k)
             tidy()
             return pa.table({"q": pa.array(out[0], type=pa.int64()), "vec_id": pa.array(out[1], type=pa.int64()), "score": pa.array(out[2], type=pa.float64())})
 
@@ -344,19 +335,23 @@ def search(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int =
     def best(rows: DataFrame) -> DataFrame:
         return rows.distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
-    found = stage.table(best(visit(strings.withColumn("level", F.lit(-1)), "descent")), "descent", "snappy")
+    any_score = F.lit(float("-inf")).alias("least")
+    found = stage.table(best(visit(strings.withColumn("level", F.lit(-1)), asked.select("*", any_score), "descent")), "descent", "snappy")
 
     def ascend(levels: DataFrame, name: str) -> DataFrame:
-        """What is found where all trees share `level` bits with a query; at level 0 all trees are the same."""
-        visits = strings.join(levels, "q").filter((F.col("level") > 0) | (F.col("tree") == 0))
+        """What is found where all trees share `level` bits with a query; at level 0 all trees are the same.
+
+        levels: q, level and least (score).
+        """
+        visits = strings.join(levels.drop("least"), "q").filter((F.col("level") > 0) | (F.col("tree") == 0))
         wide = F.pow(F.lit(2), F.greatest(F.lit(lead) - F.col("level"), F.lit(0))).cast("long")
         begin = F.col("part") - F.pmod("part", wide)
-        return visit(visits.withColumn("part", F.explode(F.sequence(begin, begin + wide - 1))), name)
+        return visit(visits.withColumn("part", F.explode(F.sequence(begin, begin + wide - 1))), asked.join(levels.drop("level"), "q"), name)
 
     # Where the parts that a query meets have fewer than k rows, it ascends until there are k.
     level = lead
     while level > 0:
-        lacking = asked.join(found.filter(F.col("rank") == k).select("q"), "q", "left_anti").select("q", F.lit(level // 2).alias("level"))
+        lacking = asked.join(found.filter(F.col("rank") == k).select("q"), "q", "left_anti").select("q", F.lit(level // 2).alias("level"), any_score)
         if lacking.isEmpty():
             break
         level //= 2
@@ -368,7 +363,7 @@ def search(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int =
     cosine = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("score") / (norm * F.lit(largest))))
     agree = F.greatest(F.lit(1e-9), 1 - F.acos(cosine) / math.pi)
     depth = F.when(agree >= 1, F.lit(BITS)).otherwise(F.least(F.lit(BITS), F.floor(F.lit(math.log(1 - forest.miss ** (1 / forest.trees))) / F.log(agree))))
-    levels = stage.table(asked.join(kth, "q").select("q", F.greatest(F.lit(1), depth.cast("int")).alias("level")), "levels", "snappy")
+    levels = stage.table(asked.join(kth, "q").select("q", F.greatest(F.lit(1), depth.cast("int")).alias("level"), F.col("score").alias("least")), "levels", "snappy")
     last = best(found.select("q", "vec_id", "score").unionByName(ascend(levels, "ascent")))
     return last.join(asked.select("q", "query_id"), "q").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

@@ -94,7 +94,7 @@ def test_search(spark):
     good = [(i, [float(v) for v in row]) for i, row in enumerate(x)] + [(1000 + i, [float(v) for v in x[3]]) for i in range(40)]
     bad = [(2000, None), (2020, [0.0] * 16), (2040, [float("nan")] * 16), (2060, [None] * 16), (2080, [float("inf")] + [0.0] * 15), (None, [1.0] * 16)]
     df = spark.createDataFrame(good + bad, "vec_id long, embedding array<double>").repartition(4)
-    forest = ann.Forest(trees=12, descent=32, part_rows=128)
+    forest = ann.Forest(trees=24, descent=32, part_rows=128, block_bytes=1 << 14)
     got = ann.search_embeddings(spark, df, 20, 20, forest).collect()
     queries = [(i, y) for i, y in good if i % 20 == 0]
     want = brute(good, queries, 20)
@@ -133,7 +133,7 @@ def test_search_columns_and_repeats(spark):
     x = rng.integers(-3, 4, (300, 6)).astype(float)
     rows = [(i, v.tolist(), 1, 2, 3, "s", 4, 5, 6) for i, v in enumerate(x)]
     df = spark.createDataFrame(rows + rows[:50], "vec_id long, embedding array<double>, block int, pos int, q int, tree string, part int, score int, ids int")
-    forest = ann.Forest(trees=48, part_rows=32, miss=0.01, crowd=20)
+    forest = ann.Forest(trees=48, part_rows=32, block_bytes=2000, miss=0.01, crowd=20)
     got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in ann.search_embeddings(spark, df, 20, 5, forest).collect())
     want = brute([(r[0], r[1]) for r in rows if any(r[1])], [(r[0], r[1]) for r in rows if r[0] % 20 == 0 and any(r[1])], 5)
     found = {q: [g[2] for g in got if g[0] == q] for q in want}
@@ -145,5 +145,5 @@ def test_only_candidates_are_scored():
     """A range is scored for its own queries and no others."""
     x, ids = np.arange(12.0).reshape(6, 2), pa.array([[0], [1], [2], [3], [4], [5]])
     message = ann.squeeze(*(np.array(v, dtype=k) for v, k in (([2, 1], "<u4"), ([0, 1, 5], "<u4"), ([1, 2], "<u4"), ([7, 7, 9], "<i8"))))
-    q, v, s = ann.best_of_block(x, ids, np.array([[1.0, 0.0], [0.0, 1.0]]), np.array([7, 9]), np.array([5, 100]), [message], 2)
+    q, v, s = ann.best_of_block(x, ids, np.array([[1.0, 0.0], [0.0, 1.0]]), np.array([7, 9]), np.array([5, 100]), np.array([0.0, -9.0]), [message], 2)
     assert list(zip(q.tolist(), v.tolist(), s.tolist())) == [(7, 1, 2.0), (7, 0, 0.0), (9, 5, 11.0)]
