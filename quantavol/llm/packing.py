@@ -43,8 +43,10 @@ class Placement(NamedTuple):
 def pack_histogram(histogram: dict[int, int], most: int = LENGTH) -> list[Placement]:
     """Placements of all pieces; sequence numbers are gapless from 0.
 
-    Open packs are kept as groups of equal fill with an interval of sequence numbers. A group of
-    more packs than pieces is split, so the work depends on the number of lengths, not of pieces.
+    Every piece goes to the shortest open pack, one that took pieces of this length like any other; a new
+    pack is opened where not even the shortest has room. Open packs are kept as groups of equal fill
+    with an interval of sequence numbers. A group of more packs than pieces is split, so the work
+    depends on the number of lengths and fills, not of pieces.
     """
     open_packs: list[tuple[int, int, int]] = []  # (fill, first sequence, count), shortest first
     out: list[Placement] = []
@@ -53,23 +55,15 @@ def pack_histogram(histogram: dict[int, int], most: int = LENGTH) -> list[Placem
         left, rank = histogram[length], 0
         if not 0 < length <= most:
             raise ValueError("a piece must have 1 to `most` tokens")
-        grown = []
         while left and open_packs and open_packs[0][0] + length <= most:
             fill, first, count = heapq.heappop(open_packs)
             use = min(count, left)
             out.append(Placement(length, rank, use, first, fill))
-            grown.append((fill + length, first, use))
             if use < count:
                 heapq.heappush(open_packs, (fill, first + use, count - use))
+            if fill + length < most:
+                heapq.heappush(open_packs, (fill + length, first, use))
             left, rank = left - use, rank + use
-            if not left or not (open_packs and open_packs[0][0] + length <= most):
-                for g in grown:
-                    if g[0] < most:
-                        heapq.heappush(open_packs, g)
-                grown = []
-        for g in grown:
-            if g[0] < most:
-                heapq.heappush(open_packs, g)
         if left:
             # New packs; where several pieces of this length fit into one, they share it.
             each = max(1, most // length)

@@ -42,13 +42,28 @@ def test_histogram(seed):
     rows = [(p.first + k, p.offset, p.length) for p in packing.pack_histogram(hist, 64) for k in range(p.count)]
     n = check(rows, 64)
     assert len(rows) == sum(hist.values())
-    assert n == len(worst_fit([a for a, b in hist.items() for _ in range(b)], 64))
+    assert n == len(set(r[0] for r in rows)) and fills(rows) == sorted(worst_fit([a for a, b in hist.items() for _ in range(b)], 64))
     ranks = defaultdict(list)
     for p in packing.pack_histogram(hist, 64):
         ranks[p.length] += range(p.rank, p.rank + p.count)
     assert {k: sorted(v) for k, v in ranks.items()} == {k: list(range(n)) for k, n in hist.items()}
 
 
+def fills(rows):
+    out = defaultdict(int)
+    for sequence, _, length in rows:
+        out[sequence] += length
+    return sorted(out.values())
+
+
+def test_shortest_pack_first():
+    """Packs that took pieces of a length are as open to the next piece as others."""
+    rng = random.Random(7)
+    for hist in [{40: 1, 30: 1, 5: 2}, *({rng.randint(1, 64): rng.randint(1, 9) for _ in range(rng.randint(1, 12))} for _ in range(300))]:
+        rows = [(p.first + k, p.offset, p.length) for p in packing.pack_histogram(hist, 64) for k in range(p.count)]
+        assert fills(rows) == sorted(worst_fit([a for a, b in hist.items() for _ in range(b)], 64)), hist
+
+
 def test_bad_lengths():
     with pytest.raises(ValueError):
         packing.pack_histogram({65: 1}, 64)
