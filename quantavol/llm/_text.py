@@ -46,21 +46,14 @@ BYTE_CODE = seeds(256, 1) | np.uint64(1)
 
 
 @lru_cache(maxsize=1)
-def _power_store() -> dict:
-    return {}
-
-
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE^i and BASE^-i mod 2^64 for i < n; kept and grown by doubling."""
-    store = _power_store()
-    if store.get("n", 0) < n:
-        m = max(n, 1 << 16, 2 * store.get("n", 0) if store.get("n", 0) < SLICE_BYTES else 0)
-        for key, base in (("up", _BASE), ("down", _INVERSE)):
-            p = np.full(m, base, dtype=np.uint64)
-            p[0] = 1
-            store[key] = np.cumprod(p)
-        store["n"] = m
-    return store["up"], store["down"]
+    """BASE^i and BASE^-i mod 2^64 for i < n."""
+    out = []
+    for base in (_BASE, _INVERSE):
+        p = np.full(n, base, dtype=np.uint64)
+        p[0] = 1
+        out.append(np.cumprod(p))
+    return out[0], out[1]
 
 
 class Words(NamedTuple):
@@ -129,32 +122,42 @@ def split_words(column: pa.Array, lower: bool = False) -> Words:
     return Words(data, at, start, end, np.searchsorted(start, at))
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """Prefix sums from which span_hash gives the hash of any span of bytes."""
-    up, _ = _powers(len(data) + 1)
-    out = np.zeros(len(data) + 1, dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        np.cumsum(BYTE_CODE[data] * up[: len(data)], out=out[1:])
-    return out
+#: Bytes whose prefix sums are held at once.
+HASHED = SLICE_BYTES // 2
 
 
-def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of spans: equal bytes give equal hashes wherever they stand."""
-    _, down = _powers(len(prefix))
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans: equal bytes give equal hashes wherever they stand.
+
+    Starts and ends must ascend. From prefix sums over HASHED bytes at a time; a longer span is summed piece by piece.
+    """
+    up, down = _powers(HASHED + 1)
+    out, i, n = np.empty(len(start), dtype=np.uint64), 0, len(start)
     with np.errstate(over="ignore"):
-        return mix((prefix[end] - prefix[start]) * down[start] + (end - start).astype(np.uint64))
+        while i < n:
+            low = int(start[i])
+            j = int(np.searchsorted(end, low + HASHED, side="right"))
+            if j <= i:
+                total, step, stop = np.uint64(0), np.uint64(1), int(end[i])
+                for at in range(low, stop, HASHED):
+                    piece = data[at : min(at + HASHED, stop)]
+                    total = total + step * np.sum(BYTE_CODE[piece] * up[: len(piece)], dtype=np.uint64)
+                    step = step * up[HASHED]
+                out[i] = mix(np.array([total + np.uint64(stop - low)]))[0]
+                i += 1
+                continue
+            piece = data[low : end[j - 1]]
+            prefix = np.zeros(len(piece) + 1, dtype=np.uint64)
+            np.cumsum(BYTE_CODE[piece] * up[: len(piece)], out=prefix[1:])
+            a, z = start[i:j] - low, end[i:j] - low
+            out[i:j] = mix((prefix[z] - prefix[a]) * down[a] + (z - a).astype(np.uint64))
+            i = j
+    return out
 
 
-def word_hashes(w: Words, most: int = SLICE_BYTES // 2) -> np.ndarray:
-    """Hashes of all words, from prefix sums over so many bytes at once (one word at least)."""
-    out, i, n = np.empty(len(w.start), dtype=np.uint64), 0, len(w.start)
-    while i < n:
-        low = int(w.start[i])
-        j = max(i + 1, int(np.searchsorted(w.end, low + most, side="right")))
-        prefix = prefix_hash(w.data[low : w.end[j - 1]])
-        out[i:j] = span_hash(prefix, w.start[i:j] - low, w.end[i:j] - low)
-        i = j
-    return out
+def word_hashes(w: Words) -> np.ndarray:
+    """Hashes of all words."""
+    return span_hashes(w.data, w.start, w.end)
 
 
 def gram_hashes(h: np.ndarray, n: int, salt: int = 7) -> np.ndarray:

@@ -24,6 +24,8 @@ MOST_PATTERNS = 200_000
 BUCKETS = 4096
 #: Times that what is missing of a share is filled with documents small enough for it.
 ROUNDS = 3
+#: What mix() adds to rows, behind a prefix.
+ADDED = ("size", "pattern", "source_size", "target", "copies")
 
 
 def capped_targets(sizes: Sequence[int], weights: Sequence[float], most: int = 3) -> list[float]:
@@ -127,21 +129,30 @@ def mix(
     weights: Sequence[float] = (5, 2, 1),
     most: int = 3,
     seed: str = "mix",
+    prefix: str = "_",
 ) -> DataFrame:
     """All rows of docs with _size, _pattern (their sources), _source_size, _target and _copies.
 
+    prefix: what the added names begin with; docs must not have them.
+
     sources: array of strings, the sources a document belongs to (a null element is a source too;
     a null or empty array counts as the null source). weights repeat over sources by code point,
     null last. Copies are 0 to `most`. Order within a share: md5 of seed and doc_id, then doc_id;
-    rows of one doc_id go together in the order of their size. Reruns give the same rows.
+    rows of one doc_id go together in the order of their size. Rows that repeat are taken or left
+    together. Null texts have no size and are never taken. Without rows there are none. Reruns give the same rows.
     """
+    added = [prefix + c for c in ADDED]
+    if clash := {c.lower() for c in added} & {c.lower() for c in docs.columns}:
+        raise ValueError(f"docs have the names of added columns, give a prefix: {', '.join(sorted(clash))}")
     stage = Stage(spark, "mix")
     doc_id = F.col("doc_id")
     pattern = F.array_sort(F.array_distinct(F.when(F.size(F.coalesce(sources, F.array())) > 0, sources).otherwise(F.array(F.lit(None).cast("string")))))
     order = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary"))
     bucket = F.conv(F.substring(order, 1, 3), 16, 10).cast("int")
-    rows = docs.withColumn("_size", size).withColumn("_pattern", pattern)
-    keyed = rows.select("_pattern", "_size", order.alias("_order"), bucket.alias("_bucket"), F.col("doc_id").alias("_doc"))
+    # The caller's columns travel in one struct, so that they may have any names.
+    facts = (pattern.alias("_pattern"), size.alias("_size"), order.alias("_order"), bucket.alias("_bucket"), doc_id.alias("_doc"))
+    rows = docs.select(F.struct("*").alias("_row"), *facts)
+    keyed = docs.select(*facts)
     keyed = stage.table(keyed, "keyed")
 
     # The driver holds a row for each pattern: the sizes, not the documents.
@@ -210,13 +221,13 @@ def mix(
         T.StructType([T.StructField("_p", T.ArrayType(T.StringType())), T.StructField("_source_size", T.LongType()), T.StructField("_target", T.DoubleType())]),
     )
     info = info.select(F.array_sort("_p").alias("_q"), "_source_size", "_target")
-    row = F.struct(order.alias("_order"), doc_id.alias("_doc"), F.col("_size").alias("_size"))
-    extra = _taken(ROUNDS, bucket, row) | F.coalesce(row == F.col("_fill"), F.lit(False))
+    row = F.struct("_order", "_doc", "_size")
+    extra = _taken(ROUNDS, F.col("_bucket"), row) | F.coalesce(row == F.col("_fill"), F.lit(False))
     return (
         rows.join(F.broadcast(info), F.col("_pattern").eqNullSafe(F.col("_q")))
         .join(F.broadcast(edge), F.col("_pattern").eqNullSafe(F.col("_p")), "left")
         .withColumn("_copies", F.coalesce(F.when(F.col("_size") > 0, F.least(F.lit(most).cast("long"), F.col("_whole") + extra.cast("long"))), F.lit(0)).cast("long"))
-        .drop("_q", *edge.columns)
+        .select(*(F.col("_row")[c].alias(c) for c in docs.columns), *(F.col(f"_{c}").alias(a) for c, a in zip(ADDED, added)))
     )
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quantavol.llm import _text as t
-from quantavol.llm._common import Stage, need, tidy
+from quantavol.llm._common import Stage, fresh, need, tidy
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Statistics that rules may test, besides those of the contract; all are ratios or lengths.
@@ -67,8 +67,7 @@ def text_statistics(column: pa.Array) -> dict[str, np.ndarray]:
         space = t.IS_SPACE[data]
         chars = _doc_sums(lead & ~space, at)
         symbols = _doc_sums(IS_SYMBOL[data], at)
-        prefix = t.prefix_hash(data)
-        h = t.span_hash(prefix, w.start, w.end)
+        h = t.word_hashes(w)
         doc = w.doc_of()
         salt = t.seeds(n, 3) if n else np.zeros(0, dtype=np.uint64)
 
@@ -82,7 +81,7 @@ def text_statistics(column: pa.Array) -> dict[str, np.ndarray]:
         ends = np.concatenate((cut, at[1:]))[np.lexsort((np.concatenate((cut, at[1:])), np.concatenate((cut_doc, np.arange(n)))))]
         has = np.searchsorted(w.start, ends) > np.searchsorted(w.start, starts)
         starts, ends, owner = starts[has], ends[has], owner[has]
-        earlier, _ = _earlier_equal(t.mix(t.span_hash(prefix, starts, ends) ^ salt[owner]) if len(starts) else np.zeros(0, dtype=np.uint64))
+        earlier, _ = _earlier_equal(t.mix(t.span_hashes(data, starts, ends) ^ salt[owner]) if len(starts) else np.zeros(0, dtype=np.uint64))
         dup_lines = np.bincount(owner[earlier], minlength=n)
         lines = np.bincount(owner, minlength=n)
 
@@ -123,13 +122,14 @@ def statistics(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), prefix: st
     characters of [#*$%&|<>]; n_dup_lines: lines with a word that equal an earlier line of the
     text; n_repeat_words: words in 3-word windows found twice or more in the text, first included.
     """
+    (text_,) = fresh(list(carry), "text")
     names = [prefix + c for c in (*COUNTS, *RATIOS)]
     kinds = [T.LongType()] * len(COUNTS) + [T.DoubleType()] * len(RATIOS)
     schema = T.StructType([*(docs.schema[c] for c in carry), *(T.StructField(c, k) for c, k in zip(names, kinds))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("_text")
+            texts = batch.column(text_)
             for i, j in t.slices(texts):
                 got = text_statistics(texts.slice(i, j - i))
                 yield pa.RecordBatch.from_arrays(
@@ -138,7 +138,7 @@ def statistics(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), prefix: st
                 )
         tidy()
 
-    return docs.select(*need(docs, *carry).columns, F.col("text").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*need(docs, *carry).columns, F.col("text").cast("string").alias(text_)).mapInArrow(run, schema)
 
 
 class Condition(NamedTuple):
@@ -257,19 +257,29 @@ def learn(x: np.ndarray, reject: np.ndarray, names: list[str], min_precision: fl
     return DecisionList(rules)
 
 
-def fit(features: DataFrame, labels: DataFrame, most_rows: int = 20_000, **options) -> DecisionList:
-    """Learns from at most most_rows labelled documents, taken in the order of a hash of doc_id.
+def labelled_sample(labels: DataFrame, most_rows: int = 20_000) -> DataFrame:
+    """At most most_rows rows (doc_id, quality) of labels, those first by a hash of doc_id.
 
     Labels with a null doc_id or quality are left out; of several labels of one document the
-    lowest quality counts. Without labels the list is empty and keeps everything.
+    lowest quality counts.
     """
-    names = [*COUNTS, *RATIOS]
     marks = need(labels, "doc_id", "quality").dropna().groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    rows = features.join(marks, "doc_id").select("quality", *(F.col(n).cast("double") for n in names), F.xxhash64("doc_id").alias("_o"))
-    # About most_rows rows reach the driver: those whose hash falls into that share of all labelled rows.
-    grain = 1 << 20
+    # The sample is what falls into a share of all hashes, so that few rows are sorted.
+    grain, order = 1 << 20, F.xxhash64("doc_id")
     share = min(grain, math.ceil(grain * 1.05 * most_rows / max(marks.count(), 1)))
-    got = rows.filter(F.pmod("_o", F.lit(grain)) < share).toPandas().sort_values(["_o", *names])[:most_rows]
+    return marks.filter(F.pmod(order, F.lit(grain)) < share).orderBy(order, "doc_id").limit(most_rows)
+
+
+def fit(features: DataFrame, most_rows: int = 20_000, **options) -> DecisionList:
+    """Learns from statistics of labelled rows: features has doc_id, quality, COUNTS and RATIOS.
+
+    At most most_rows rows count, those first by a hash of doc_id, as documents may repeat. Without
+    any the list is empty and keeps everything.
+    """
+    names = [*COUNTS, *RATIOS]
+    order = F.xxhash64("doc_id").alias("at")
+    rows = features.select("quality", order, *(F.col(n).cast("double") for n in names))
+    got = rows.orderBy("at", *names).limit(most_rows).toPandas()
     if not len(got):
         return DecisionList([])
     return learn(got[names].to_numpy(dtype=np.float64), got["quality"].to_numpy() == 0, names, **options)
@@ -280,18 +290,32 @@ def base_failed(prefix: str = "") -> Column:
     return (n < 50) | (100 * repeated > 50 * n)
 
 
-def judge(spark: SparkSession, docs: DataFrame, labels: DataFrame, **options) -> tuple[DataFrame, DecisionList]:
-    """Counts, base_failed and kept of every document, and the list that decided."""
-    features = Stage(spark, "quality").table(statistics(docs), "features")
-    rules = fit(features, labels, **options)
+def judge(spark: SparkSession, docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, **options) -> tuple[DataFrame, DecisionList]:
+    """Counts, base_failed and kept of every document, and the list that decided.
+
+    Null and empty texts have no words and fail the base rules. Rows that repeat are judged each,
+    null doc_ids like any other, but no label is theirs. Without documents there are no rows.
+    """
+    stage = Stage(spark, "quality")
+    features = stage.table(statistics(docs), "features")
+    # The sample is at most most_rows rows, so it can be sent to every task.
+    sample = stage.table(labelled_sample(labels, most_rows), "sample", "snappy")
+    rules = fit(features.join(F.broadcast(sample), "doc_id"), most_rows, **options)
     out = features.select("doc_id", *COUNTS, base_failed().alias("base_failed"), (~base_failed() & rules.kept()).alias("kept"))
     return out, rules
 
 
-def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of docs that neither fail the base rules nor are rejected by the learned list, unchanged."""
-    features = Stage(spark, "quality").table(statistics(docs), "features")
-    rules = fit(features, labels, **options)
-    prefix = "_quality_"
+def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, **options) -> DataFrame:
+    """The rows of docs that neither fail the base rules nor are rejected by the learned list, unchanged.
+
+    Statistics of the labelled sample are computed first, then all texts are read once. Columns
+    may have any names; nulls, repeats and empty tables as in judge().
+    """
+    sample = Stage(spark, "quality").table(labelled_sample(labels, most_rows), "sample", "snappy")
+    labelled = need(docs, "doc_id", "text").join(F.broadcast(sample), "doc_id")
+    rules = fit(statistics(labelled, ("doc_id", "quality")), most_rows, **options)
+    prefix = "quality_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix += "_"
     judged = statistics(docs, tuple(docs.columns), prefix)
     return judged.filter(~base_failed(prefix) & rules.kept(prefix)).select(*(F.col(f"`{c}`") for c in docs.columns))
