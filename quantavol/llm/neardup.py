@@ -11,6 +11,7 @@ each group the links are confirmed on full shingle sets.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -391,32 +392,47 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 80, wid
 
     large = cut.filter("chunks > 1")
     if not large.isEmpty():
-        # Large groups: a few delegates of each confirmed part first; what they leave apart is then
-        # compared chunk by chunk, so that no link across chunks is lost.
-        for name in ("delegates", "across"):
-            parts = components(stage, _union(held), f"so-far-{name}")
+        # Large groups: a few delegates of each confirmed part first, again while that joins parts; what
+        # they leave apart is then compared chunk by chunk, so that no link across chunks is lost.
+        before = None
+        for k in itertools.count():
+            parts = components(stage, _union(held), f"so-far-{k}")
             now = large.join(parts.select("node", F.col("root").alias("part")), "node", "left").withColumn("part", F.coalesce("part", "node"))
-            apart = now.groupBy("root").agg(F.countDistinct("part").alias("parts")).filter("parts > 1").select(F.col("root").alias("open"))
-            now = stage.table(now.join(apart, F.col("root") == F.col("open")).drop("open"), f"open-{name}", "snappy")
-            if now.isEmpty():
+            apart = now.groupBy("root").agg(F.countDistinct("part").alias("parts")).filter("parts > 1")
+            left = apart.agg(F.sum("parts").alias("n")).first()["n"]
+            if not left:
                 break
-            if name == "delegates":
+            now = stage.table(now.join(apart.select(F.col("root").alias("open")), F.col("root") == F.col("open")).drop("open"), f"open-{k}", "snappy")
+            if before is None or 5 * left <= 4 * before:
+                before = left
                 w = Window.partitionBy("root", "part").orderBy("node")
                 few = now.withColumn("r", F.row_number().over(w)).filter("r <= 2")
                 pieces = few.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / forest.chunk).cast("int").alias("pieces"))
-                few = few.join(pieces, "root").withColumn("piece", F.pmod(F.xxhash64("part", F.lit(1)), "pieces").cast("int"))
+                few = few.join(pieces, "root").withColumn("piece", F.pmod(F.xxhash64("part", F.lit(k)), "pieces").cast("int"))
                 work = few.select("node", F.xxhash64("root", "piece").alias("work"), no_side)
-                held.append(confirm(stage, work, texts, forest, percent, width, name))
-            else:
-                # Each pair of chunks is a piece of work; a pair of chunks of one part is skipped.
-                chunk = now.groupBy("root", "chunk").agg(F.min("part").alias("low"), F.max("part").alias("high"))
-                other = chunk.select(F.col("root").alias("r2"), F.col("chunk").alias("c2"), F.col("low").alias("l2"), F.col("high").alias("h2"))
-                pairs = chunk.join(other, (F.col("root") == F.col("r2")) & (F.col("chunk") < F.col("c2")))
-                pairs = pairs.filter(~((F.col("low") == F.col("high")) & (F.col("l2") == F.col("h2")) & (F.col("low") == F.col("l2"))))
-                ends = pairs.select("root", "chunk", "c2", F.explode(F.array(F.struct(F.col("chunk").alias("c"), F.lit(0).alias("side")), F.struct(F.col("c2").alias("c"), F.lit(1).alias("side")))).alias("x"))
-                ends = ends.select("root", F.xxhash64("root", "chunk", "c2").alias("work"), "x.c", "x.side")
-                work = now.select("node", F.col("root").alias("r"), F.col("chunk").alias("k")).join(ends, (F.col("r") == F.col("root")) & (F.col("k") == F.col("c"))).select("node", "work", "side")
-                held.append(confirm(stage, work, texts, forest, percent, width, name))
+                held.append(confirm(stage, work, texts, forest, percent, width, f"delegates-{k}"))
+                continue
+            # Each pair of chunks is a piece of work. A part of many sets has chunks of its own, so
+            # that pairs of chunks of one part, which is linked already, are left out; what is left
+            # of a large part and few others grows with the part's size, not its square. Small parts
+            # share chunks, which are compared within as well.
+            m = now.groupBy(F.col("root").alias("r3"), F.col("part").alias("p3")).agg(F.count(F.lit(1)).alias("m"))
+            bins = m.filter(F.col("m") < forest.chunk).groupBy(F.col("r3").alias("r4")).agg(F.ceil(F.sum("m") / forest.chunk).cast("long").alias("bins"))
+            now = now.drop("chunk", "chunks").join(m, (F.col("root") == F.col("r3")) & (F.col("part") == F.col("p3"))).join(bins, F.col("root") == F.col("r4"), "left")
+            own = F.xxhash64(F.lit("part"), "part", F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / forest.chunk).cast("long")))
+            shared = F.xxhash64(F.lit("bin"), F.pmod(F.xxhash64("part"), F.coalesce("bins", F.lit(1).cast("long"))))
+            now = stage.table(now.withColumn("chunk", F.when(F.col("m") >= forest.chunk, own).otherwise(shared)).select("node", "root", "part", "chunk"), "apart", "snappy")
+            chunk = now.groupBy("root", "chunk").agg(F.min("part").alias("low"), F.max("part").alias("high"))
+            other = chunk.select(F.col("root").alias("r2"), F.col("chunk").alias("c2"), F.col("low").alias("l2"), F.col("high").alias("h2"))
+            pairs = chunk.join(other, (F.col("root") == F.col("r2")) & (F.col("chunk") < F.col("c2")))
+            pairs = pairs.filter(~((F.col("low") == F.col("high")) & (F.col("l2") == F.col("h2")) & (F.col("low") == F.col("l2"))))
+            ends = pairs.select("root", "chunk", "c2", F.explode(F.array(F.struct(F.col("chunk").alias("c"), F.lit(0).alias("side")), F.struct(F.col("c2").alias("c"), F.lit(1).alias("side")))).alias("x"))
+            ends = ends.select("root", F.xxhash64("root", "chunk", "c2").alias("work"), "x.c", "x.side")
+            work = now.select("node", F.col("root").alias("r"), F.col("chunk").alias("k")).join(ends, (F.col("r") == F.col("root")) & (F.col("k") == F.col("c"))).select("node", "work", "side")
+            mixed = chunk.filter("low <> high").select(F.col("root").alias("r5"), F.col("chunk").alias("c5"))
+            within = now.join(mixed, (F.col("root") == F.col("r5")) & (F.col("chunk") == F.col("c5"))).select("node", F.xxhash64("root", "chunk").alias("work"), no_side)
+            held.append(confirm(stage, work.unionAll(within), texts, forest, percent, width, "across"))
+            break
     final = components(stage, _union(held), "final")
     # What the result doesn't read goes; of signatures and sets it needs the keys alone.
     keys = stage.table(sig.drop("sig"), "keys")

@@ -56,6 +56,25 @@ def test_chunks_across(spark):
     assert got == brute(rows, 85)
 
 
+def test_pairs_of_chunks_of_one_part_are_left_out(spark, monkeypatch):
+    """A large part and stragglers that only candidates join: pieces of work grow with the part's size."""
+    base = [f"w{i}" for i in range(80)]
+    rows = [(i, " ".join([*base, f"x{i}"])) for i in range(120)] + [(200 + i, " ".join([*base[:58], *(f"y{i}{k}" for k in range(22))])) for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    moved, confirm = {}, neardup.confirm
+
+    def counted(stage, groups, texts, *more):
+        moved[more[-1]] = groups.count()
+        return confirm(stage, groups, texts, *more)
+
+    monkeypatch.setattr(neardup, "confirm", counted)
+    # Every pair is a candidate; the sketch tells nothing.
+    forest = neardup.Forest(trees=24, least=1, slack=2.0, chunk=8)
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark, df, 80, forest=forest).collect()}
+    assert got == {**{i: 0 for i in range(120)}, **{200 + i: 200 + i for i in range(3)}}
+    assert moved.get("across", 0) <= 4 * 123
+
+
 def test_edges(spark, no_docs):
     assert neardup.near_duplicates(spark, no_docs).count() == 0
     rows = [(None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (2, "A B C d e f"), (5, None), (6, None)]
