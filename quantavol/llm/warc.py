@@ -1,10 +1,11 @@
 """Web archives packaged in ZIP files: written whole, read by ranges.
 
 A package is a ZIP file of stored members: ``archive/data.warc.gz`` with the records one after
-another, each a gzip member of its own, and ``indexes/index.cdxj`` with a line for each record. The
-reader parses the end record, the (ZIP64) central directory and the index, and then reads only the
-byte ranges of records; nothing is extracted. It also takes archives of plain records. Files are
-reached through Arrow's file systems (file, s3, hdfs).
+another, each a gzip member of its own, and ``indexes/index.cdxj`` with a line for each record: the
+URL as a sort key, the time, and JSON fields. The reader parses the end record, the (ZIP64) central
+directory and the indexes, plain or gzipped, and then reads only the byte ranges of records; nothing is
+extracted. It takes packages made elsewhere too: several archives, plain records, and records of
+any type, with or without digests. Files are reached through Arrow's file systems (file, s3, hdfs).
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
+from urllib.parse import quote, unquote, urlsplit
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -38,6 +40,9 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 PLAIN_ARCHIVE = "archive/data.warc"
+ARCHIVES, INDEXES = "archive/", "indexes/"
+#: Record ids of pages: with an id, and without.
+PAGE, NO_PAGE = "urn:page:", "urn:page"
 #: Bytes of records after which a package is closed.
 PACKAGE_BYTES = 16 << 20
 #: Neighbouring record ranges are read together up to so many bytes.
@@ -144,16 +149,34 @@ def _clean(value: str) -> str:
     return "".join(c if " " <= c != "\x7f" else f"%{ord(c):02X}" for c in value)
 
 
-def record_bytes(record_id: str, uri: str | None, payload: bytes, refers_to: str | None) -> bytes:
+def page_urn(page_id: str | None) -> str:
+    """The record id of a page; any string is one, and null has its own."""
+    return NO_PAGE if page_id is None else PAGE + quote(page_id, safe="")
+
+
+def sort_key(url: str) -> str:
+    """A URL with its host's names in reverse order, as indexes are sorted by; others as they are."""
+    try:
+        parts = urlsplit(url)
+        port = f":{parts.port}" if parts.port else ""
+    except ValueError:
+        return quote(url, safe="/:?=&,()")
+    if not parts.hostname:
+        return quote(url, safe="/:?=&,()") or "-"
+    host = ",".join(reversed(parts.hostname.split(".")))
+    return quote(f"{host}{port}){(parts.path or '/').lower()}" + (f"?{parts.query.lower()}" if parts.query else ""), safe="/:?=&,()%")
+
+
+def record_bytes(record_id: str | None, uri: str | None, payload: bytes, refers_to: str | None) -> bytes:
     """A response record, or with refers_to a revisit record that leaves the payload out."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
     head = [
         ("WARC-Type", "response" if refers_to is None else "revisit"),
-        ("WARC-Record-ID", f"<urn:page:{record_id}>"),
+        ("WARC-Record-ID", f"<{page_urn(record_id)}>"),
         ("WARC-Date", "1970-01-01T00:00:00Z"),
         *([("WARC-Target-URI", _clean(uri))] if uri is not None else []),
-        *([("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", f"<urn:page:{refers_to}>")] if refers_to is not None else []),
+        *([("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", f"<{page_urn(refers_to)}>")] if refers_to is not None else []),
         ("WARC-Payload-Digest", f"sha1:{base32_sha1(payload)}"),
         ("Content-Type", "application/http; msgtype=response"),
         ("Content-Length", str(len(block))),
@@ -167,8 +190,12 @@ class Record(NamedTuple):
     payload: bytes
 
     def page(self, name: str) -> str | None:
+        """The page id in a header; ids that aren't of pages as they are."""
         value = self.headers.get(name)
-        return None if value is None else value.removeprefix("<urn:page:").removesuffix(">") or None
+        if value is None:
+            return None
+        value = value.strip().removeprefix("<").removesuffix(">")
+        return None if value == NO_PAGE else unquote(value[len(PAGE) :]) if value.startswith(PAGE) else value
 
 
 def _fields(lines: list[bytes]) -> dict[str, str]:
@@ -188,34 +215,68 @@ def parse_record(data: bytes) -> tuple[Record, int]:
     return Record(headers, http, block[http_end + 4 :] if http_end >= 0 else block), at + n + 4
 
 
-def package(records: list[tuple[str, bytes]], zip64: bool = False) -> bytes:
-    """A package of (record id, record bytes), the latter gzipped each by itself or all plain."""
-    warc, lines = io.BytesIO(), []
-    for rid, data in records:
-        lines.append(json.dumps({"id": rid, "offset": warc.tell(), "length": len(data)}))
+def package(records: list[tuple[str | None, str | None, str, bytes]], zip64: bool = False) -> bytes:
+    """A package of (record id, uri, digest, record bytes), the latter gzipped each by itself or all plain."""
+    plain = bool(records) and records[0][3].startswith(b"WARC/")
+    name, warc, lines = PLAIN_ARCHIVE if plain else ARCHIVE, io.BytesIO(), []
+    for rid, uri, digest, data in records:
+        fields = {"url": uri if uri is not None else page_urn(rid), "mime": "text/html", "status": "200", "digest": f"sha1:{digest}"}
+        fields |= {"offset": str(warc.tell()), "length": str(len(data)), "filename": name.removeprefix(ARCHIVES)}
+        lines.append(f"{sort_key(fields['url'])} 19700101000000 {json.dumps(fields)}")
         warc.write(data)
-    plain = bool(records) and records[0][1].startswith(b"WARC/")
-    return zip_bytes([(PLAIN_ARCHIVE if plain else ARCHIVE, warc.getvalue()), (INDEX, "\n".join(lines).encode())], zip64)
+    return zip_bytes([(name, warc.getvalue()), (INDEX, "".join(x + "\n" for x in sorted(lines)).encode())], zip64)
+
+
+def index_lines(data: bytes) -> Iterator[tuple[str | None, int, int]]:
+    """(file name, offset, length) of each line of an index; lines of headers and comments are left out."""
+    for line in data.splitlines():
+        at = line.find(b"{")
+        if at < 0 or line.startswith((b"!", b"#")):
+            continue
+        fields = json.loads(line[at:])
+        if "offset" in fields and "length" in fields:
+            yield fields.get("filename"), int(fields["offset"]), int(fields["length"])
+
+
+def _unzipped(data: bytes) -> bytes:
+    return gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
 
 
 def read_package(file: pa.NativeFile) -> Iterator[Record]:
-    """All records of a package by its index, reading ranges of neighbours together."""
+    """All records of a package by its indexes, reading ranges of neighbours together.
+
+    Indexes are members .cdxj, .cdx or these gzipped under indexes/; a line without a file name is
+    of the only archive. What lies outside the ranges isn't read.
+    """
     members = {m.name: m for m in read_directory(file)}
-    index = members[INDEX]
-    archive = members.get(ARCHIVE) or members[PLAIN_ARCHIVE]
-    base, lines = data_at(file, archive), file.read_at(index.size, data_at(file, index))
-    if zlib.crc32(lines) != index.crc:
-        raise ValueError("the index is damaged")
-    spans = sorted((x["offset"], x["length"]) for x in map(json.loads, lines.splitlines()))
-    i = 0
+    indexes = [m for n, m in members.items() if n.startswith(INDEXES) and n.removesuffix(".gz").endswith((".cdxj", ".cdx"))]
+    archives = {n.removeprefix(ARCHIVES): m for n, m in members.items() if n.startswith(ARCHIVES) and n.removesuffix(".gz").endswith(".warc")}
+    if not indexes or not archives:
+        raise ValueError("no index or no archive in the package")
+    spans: dict[str, set[tuple[int, int]]] = {}
+    for m in indexes:
+        data = file.read_at(m.size, data_at(file, m))
+        if zlib.crc32(data) != m.crc:
+            raise ValueError("the index is damaged")
+        for name, offset, length in index_lines(_unzipped(data)):
+            if name is None and len(archives) > 1:
+                raise ValueError("an index line names none of several archives")
+            spans.setdefault(name.removeprefix(ARCHIVES) if name else next(iter(archives)), set()).add((offset, length))
+    for name in sorted(spans):
+        if name not in archives:
+            raise ValueError(f"the index names {name}, which isn't in the package")
+        yield from _read_ranges(file, archives[name], sorted(spans[name]))
+
+
+def _read_ranges(file: pa.NativeFile, archive: Member, spans: list[tuple[int, int]]) -> Iterator[Record]:
+    base, i = data_at(file, archive), 0
     while i < len(spans):
         j, start = i + 1, spans[i][0]
         while j < len(spans) and spans[j][0] + spans[j][1] - start <= RANGE_BYTES and spans[j][0] == spans[j - 1][0] + spans[j - 1][1]:
             j += 1
         data = file.read_at(spans[j - 1][0] + spans[j - 1][1] - start, base + start)
         for at, n in spans[i:j]:
-            raw = data[at - start : at - start + n]
-            raw = gzip.decompress(raw) if archive.name.endswith(".gz") else raw
+            raw = _unzipped(data[at - start : at - start + n])
             record, used = parse_record(raw)
             if used != len(raw):
                 raise ValueError("a record's length differs from the index")
@@ -234,7 +295,7 @@ def write_packages(rows: DataFrame, folder: str, zip64: bool = False) -> DataFra
         fs, root = open_fs(folder)
         fs.create_dir(root, recursive=True)
 
-        def close(records: list[tuple[str, bytes]]) -> pa.RecordBatch:
+        def close(records: list[tuple[str | None, str | None, str, bytes]]) -> pa.RecordBatch:
             data, name = package(records, zip64), f"{uuid.uuid4().hex}.zip"
             with fs.open_output_stream(f"{root}/{name}") as f:
                 f.write(data)
@@ -243,8 +304,8 @@ def write_packages(rows: DataFrame, folder: str, zip64: bool = False) -> DataFra
         held, size = [], 0
         for batch in batches:
             for rid, uri, payload, refers in zip(*(batch.column(c).to_pylist() for c in ("id", "uri", "payload", "refers_to"))):
-                held.append((rid, gzip.compress(record_bytes(rid, uri, payload, refers), 1, mtime=0)))
-                size += len(held[-1][1])
+                held.append((rid, uri, base32_sha1(payload), gzip.compress(record_bytes(rid, uri, payload, refers), 1, mtime=0)))
+                size += len(held[-1][3])
                 if size >= PACKAGE_BYTES:
                     yield close(held)
                     held, size = [], 0
@@ -257,7 +318,9 @@ def write_packages(rows: DataFrame, folder: str, zip64: bool = False) -> DataFra
 def read_packages(paths: DataFrame, payloads: bool = False) -> DataFrame:
     """Records of packages (column path), with the payload if asked for.
 
-    A payload that doesn't match its digest, or a broken package, raises.
+    A payload that doesn't match its SHA-1 digest, or a broken package, raises. Without a digest in
+    the record that of its payload is given; the size of a revisit's payload is null where no HTTP
+    header tells it, and so is its digest where there is none. No paths give no rows.
     """
     schema = "id string, uri string, record_type string, refers_to string, payload_bytes long, payload_digest string" + (", payload binary" if payloads else "")
 
@@ -270,13 +333,15 @@ def read_packages(paths: DataFrame, payloads: bool = False) -> DataFrame:
                 held: list[tuple] = []
                 with fs.open_input_file(place) as file:
                     for r in read_package(file):
-                        kind, digest = r.headers["warc-type"], r.headers["warc-payload-digest"].removeprefix("sha1:")
-                        if kind == "response":
-                            size = len(r.payload)
-                            if base32_sha1(r.payload) != digest:
-                                raise ValueError(f"payload of {r.headers['warc-record-id']} doesn't match its digest")
+                        kind, digest = r.headers.get("warc-type"), r.headers.get("warc-payload-digest")
+                        if kind == "revisit":
+                            size = int(r.http["content-length"]) if "content-length" in r.http else None
                         else:
-                            size = int(r.http["content-length"])
+                            size, own = len(r.payload), f"sha1:{base32_sha1(r.payload)}"
+                            if kind == "response" and digest is not None and digest.lower().startswith("sha1:") and digest[5:].upper() != own[5:]:
+                                raise ValueError(f"payload of {r.headers.get('warc-record-id')} doesn't match its digest")
+                            digest = digest if digest is not None else own
+                        digest = digest[5:] if digest is not None and digest.lower().startswith("sha1:") else digest
                         held.append((r.page("warc-record-id"), r.headers.get("warc-target-uri"), kind, r.page("warc-refers-to"), size, digest, *([r.payload] if payloads else [])))
                         if len(held) >= (64 if payloads else 8192):
                             yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*held), types)], names=names)
@@ -294,13 +359,16 @@ def mark_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     refer to it. Rows that repeat the smallest page_id are stored as well; null page_ids refer to
     the smallest that isn't null, and are stored if there is none.
     """
-    payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
+    payload = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8")
     rows = need(pages, "page_id", "url", "html").select("page_id", F.col("url").alias("uri"), payload.alias("payload"))
     rows = rows.withColumn("_digest", F.unhex(F.sha1("payload")))
-    first = rows.groupBy("_digest").agg(F.min("page_id").alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
-    joined = rows.join(first, "_digest", "left")
-    refers = F.when((F.octet_length("payload") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("_first")), F.col("_first"))
-    return joined.select(F.coalesce(F.col("page_id").cast("string"), F.lit("")).alias("id"), "uri", "payload", refers.cast("string").alias("refers_to"))
+    # Only ids and digests are grouped by payload; payloads move once, by their own id.
+    narrow = rows.filter(F.octet_length("payload") >= min_bytes).select("page_id", "_digest")
+    first = narrow.groupBy("_digest").agg(F.min("page_id").alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(F.col("_digest").alias("_d"), "_first")
+    again = narrow.distinct().join(first, F.col("_digest") == F.col("_d")).filter(~F.col("page_id").eqNullSafe(F.col("_first")))
+    again = again.select(F.col("page_id").alias("_p"), "_d", F.col("_first").cast("string").alias("refers_to"))
+    joined = rows.join(again, F.col("page_id").eqNullSafe(F.col("_p")) & (F.col("_digest") == F.col("_d")), "left")
+    return joined.select(F.col("page_id").cast("string").alias("id"), "uri", "payload", "refers_to")
 
 
 def archive_pages(spark: SparkSession, pages: DataFrame, min_bytes: int = 0) -> DataFrame:

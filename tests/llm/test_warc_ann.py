@@ -1,3 +1,4 @@
+import gzip
 import io
 import zipfile
 
@@ -44,7 +45,7 @@ def test_foreign_zip():
 def test_records():
     payload = "<p>é\r\n\r\nWARC/1.1</p>".encode()
     got, n = warc.parse_record(warc.record_bytes("7", "http://x/\r\nX: y", payload, None) + b"rest")
-    assert got.payload == payload and got.page("warc-record-id") == "7" and "\n" not in got.headers["warc-target-uri"]
+    assert got.payload == payload and got.page("warc-record-id") == "7" and got.headers["warc-record-id"] == "<urn:page:7>" and "\n" not in got.headers["warc-target-uri"]
     again, _ = warc.parse_record(warc.record_bytes("9", None, payload, "7"))
     assert again.payload == b"" and again.page("warc-refers-to") == "7" and again.http["content-length"] == str(len(payload))
     assert again.headers["warc-payload-digest"] == got.headers["warc-payload-digest"] == "sha1:" + warc.base32_sha1(payload)
@@ -75,8 +76,54 @@ def test_archive_pages(spark, monkeypatch):
 
 
 def test_plain_archive():
-    records = [(str(i), warc.record_bytes(str(i), None, bytes([i]) * i, None)) for i in range(5)]
-    assert [r.payload for r in warc.read_package(reader(warc.package(records)))] == [bytes([i]) * i for i in range(5)]
+    records = [(str(i), None, "X", warc.record_bytes(str(i), None, bytes([i]) * i, None)) for i in range(5)]
+    assert sorted(r.payload for r in warc.read_package(reader(warc.package(records)))) == [bytes([i]) * i for i in range(5)]
+
+
+def foreign_package(compress):
+    """A package as others make them: two archives, a gzipped index, warcinfo and request records, no digests."""
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/plain\r\n\r\n"
+    record = lambda kind, rid, block, more=b"": b"WARC/1.0\r\nWARC-Type: " + kind + b"\r\nWARC-Record-ID: <urn:uuid:" + rid + b">\r\n" + more + b"Content-Length: " + str(len(block)).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+    one = [record(b"warcinfo", b"a", b"software: x\r\n"), record(b"response", b"b", http + b"hello", b"WARC-Target-URI: http://www.x.org/a\r\n")]
+    two = [record(b"request", b"c", b"GET / HTTP/1.1\r\nHost: x\r\n\r\n"), record(b"revisit", b"d", b"", b"WARC-Refers-To: <urn:uuid:b>\r\n"), record(b"resource", b"e", b"raw")]
+    lines, members = [b"!meta 0 {\"format\": \"cdxj\"}"], []
+    for name, records in (("one.warc", one), ("two.warc", two)):
+        name, data = name + (".gz" if compress else ""), b""
+        for r in records:
+            r = gzip.compress(r) if compress else r
+            lines.append(b'org,x)/a 20240102030405 {"offset": "%d", "length": "%d", "filename": "%s"}' % (len(data), len(r), name.encode()))
+            data += r
+        members.append((f"archive/{name}", data))
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
+        for name, data in [("datapackage.json", b"{}"), *members, ("indexes/index.cdx.gz", gzip.compress(b"\n".join(lines))), ("pages/pages.jsonl", b"{}")]:
+            z.writestr(name, data)
+    return out.getvalue()
+
+
+@pytest.mark.parametrize("compress", [False, True])
+def test_foreign_packages(spark, tmp_path, compress):
+    (tmp_path / "x.wacz").write_bytes(foreign_package(compress))
+    got = warc.read_packages(spark.createDataFrame([(f"file://{tmp_path}/x.wacz",)], "path string"), payloads=True).collect()
+    got = {r["id"]: (r["record_type"], r["uri"], r["refers_to"], r["payload_bytes"], r["payload_digest"], bytes(r["payload"])) for r in got}
+    assert got["urn:uuid:b"] == ("response", "http://www.x.org/a", None, 5, warc.base32_sha1(b"hello"), b"hello")
+    assert got["urn:uuid:d"][:5] == ("revisit", None, "urn:uuid:b", None, None)
+    assert got["urn:uuid:e"][5] == b"raw" and got["urn:uuid:a"][0] == "warcinfo" and got["urn:uuid:c"][0] == "request" and len(got) == 5
+
+
+def test_string_ids(spark):
+    """Any string is an id: empty, with brackets and line ends; null stays null."""
+    ids = ["", "a>b\r\nX: y", "é %41", "urn:page", None, "b"]
+    df = spark.createDataFrame([(i, "u", "same") for i in ids], "page_id string, url string, html string")
+    got = sorted(((r["page_id"], r["record_type"], r["refers_to"]) for r in warc.archive_pages(spark, df).collect()), key=str)
+    assert got == sorted([(i, "response" if i == "" else "revisit", None if i == "" else "") for i in ids], key=str)
+
+
+def test_sort_keys():
+    assert warc.sort_key("http://WWW.Example.com:8080/A b?q=1") == "com,example,www:8080)/a%20b?q=1"
+    assert warc.sort_key("urn:page:7") == "urn:page:7" and warc.sort_key("http://[bad") == "http://%5Bbad"
+    line = b'com,example)/ 20200101000000 {"url": "http://example.com/", "offset": "12", "length": "7", "filename": "a.warc"}'
+    assert list(warc.index_lines(b"!hdr\n" + line)) == [("a.warc", 12, 7)]
 
 
 def brute(rows, queries, k):
