@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import uuid
+from typing import ClassVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,19 +15,36 @@ LOCAL_SHARED = "/tmp/checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines of the cluster share, from spark.checkpoint.dir."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED).rstrip("/")
+    """The folder that all machines of the cluster share, from spark.checkpoint.dir.
+
+    Only a local master, where there is one machine, may leave it unset.
+    """
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    return (path or LOCAL_SHARED).rstrip("/")
 
 
 class Stage:
     """A folder of intermediate tables under the shared one.
 
     Tables cut the lineage: a lost executor costs the tasks that it ran, not what came before.
-    drop() removes what is no longer read.
+    drop() removes what is no longer read; release() removes whole folders once results are written.
     """
 
+    #: Every folder of this process that is still there, oldest first.
+    made: ClassVar[list[Stage]] = []
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        Stage.made.append(self)
+
+    @classmethod
+    def release(cls, since: int = 0) -> None:
+        """Deletes the folders made since there were so many: for those whose results have been written."""
+        for stage in cls.made[since:]:
+            stage.drop("")
+        del cls.made[since:]
 
     def table(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
         to = f"{self.path}/{name}"
@@ -36,7 +54,7 @@ class Stage:
     def drop(self, *names: str) -> None:
         jvm = self.spark.sparkContext._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 

@@ -1,4 +1,7 @@
-"""The ten operators as queries over the standard tables, with production parameters."""
+"""The ten operators as queries over the standard tables, with production parameters.
+
+All take tables without rows, which give none, and tables with more columns of any names.
+"""
 
 from __future__ import annotations
 
@@ -20,43 +23,53 @@ def tokenizer_path(name: str = packing.TOKENIZER) -> str:
 
 
 def op1_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a model of those outside fold 1 of 5; null texts are empty, rows that repeat are scored each."""
     docs = read(spark, sf_dir, "documents")
     return katz.score_documents(spark, docs, language.held_out(docs, 5))
 
 
 def op2_histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 4096 tokens; null texts are the end id alone, rows that repeat are packed each."""
     return packing.pack_documents(spark, read(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def op3_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdicts of all documents, by a list learned from labels; null texts have no words and fail the base rules."""
     return quality.judge(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))[0]
 
 
 def op4_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards 0 to 7 of all documents by doc_id, and with a ninth; null texts have size 1, rows that repeat get slots of their own."""
     return sharding.place_documents(spark, read(spark, sf_dir, "documents"), 8)
 
 
 def op5_rank_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents by profiles of those outside fold 1 of 3; `und` for null texts and texts without a letter."""
     return language.identify(spark, read(spark, sf_dir, "documents"))
 
 
 def op6_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of all pages, written to packages and read back; null html is an empty payload, rows that repeat are stored each."""
     return warc.archive_pages(spark, read(spark, sf_dir, "pages"))
 
 
 def op7_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents linked at 85 % of shingles; texts without a word have no link, null ids are kept and take no part."""
     return neardup.near_duplicates(spark, read(spark, sf_dir, "documents"), 85)
 
 
 def op8_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """20 nearest found of each vec_id divisible by 20, of all others; rows without a usable vector take no part, ties go to smaller ids."""
     return ann.search_embeddings(spark, read(spark, sf_dir, "embeddings"))
 
 
 def op9_flow_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of each document, sources weighing 5, 2, 1 in turn; null texts have none, null sources are one, the last."""
     return mixing.mix_documents(spark, read(spark, sf_dir, "documents"))
 
 
 def op10_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without windows of 20 words that start earlier; null texts are empty, null ids come last, rows that repeat stand at one place."""
     out = phrases.remove_repeats(spark, read(spark, sf_dir, "documents"), 20, joined=True)
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 

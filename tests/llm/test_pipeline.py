@@ -88,3 +88,16 @@ def test_empty_tables(spark, folder):
         assert step(spark, docs, str(folder)).count() == 0, name
     some = spark.createDataFrame([(1, "w " * 30 + " ".join(f"v{i}" for i in range(60)), "en", "a", 5)], docs.schema)
     assert corpus_pipeline.quality_rules(spark, some, str(folder / "none")).count() == 1
+
+
+def test_run_leaves_only_what_its_result_reads(spark, folder, tmp_path):
+    from quantavol.llm._common import Stage
+
+    rows = [(i, x, s, "en", len(x or "")) for i, x, s in odd_rows()]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(str(folder / "labels.parquet")).write.parquet(str(tmp_path / "labels.parquet"))
+    made = len(Stage.made)
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() > 0 and {s.path.rsplit("/", 1)[1].rsplit("-", 1)[0] for s in Stage.made[made:]} == {"pipeline", "packing"}
+    Stage.release(made)
+    assert len(Stage.made) == made
