@@ -91,11 +91,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written and read again."""
+    """All stages over documents, each written and read again; what a stage needed goes when it is written."""
     stage = Stage(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, step) in enumerate(STAGES):
+        made = len(Stage.made)
         docs = step(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = stage.table(docs, f"stage-{i}")
+            Stage.release(made)
+            if i:
+                stage.drop(f"stage-{i - 1}")
     return docs
