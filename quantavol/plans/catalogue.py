@@ -85,7 +85,10 @@ def r4(c: Column | str) -> Column:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A folder of its own on the store that all machines share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    root = root or "/tmp/checkpoints"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
