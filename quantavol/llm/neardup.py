@@ -41,7 +41,7 @@ class Forest(NamedTuple):
     region: int = 1024
     sketch: int = 64
     slack: float = 0.22
-    chunk: int = 256
+    chunk: int = 128
 
 
 def shingle_sets(column: pa.Array, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -116,7 +116,7 @@ def signatures(docs: DataFrame, forest: Forest, width: int = 5) -> DataFrame:
                     [batch.column("doc_id").slice(i, j - i), pa.array(count), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(sig, type=pa.binary())],
                     names=["doc_id", "n_shingles", "s1", "s2", "sig"],
                 )
-        tidy()
+            tidy()
 
     return need(docs, "doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, s1 long, s2 long, sig binary")
 

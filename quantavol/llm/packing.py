@@ -207,7 +207,7 @@ def pieces(docs: DataFrame, path: str, end_id: int = END_ID, most: int = LENGTH,
                     at32 = np.concatenate(([0], np.cumsum(length))).astype(np.int32)
                     columns.append(pa.ListArray.from_arrays(pa.array(at32), pa.array(with_end.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", *(["ids"] * ids)])
-        tidy()
+            tidy()
 
     return need(docs, "doc_id", "text").mapInArrow(run, schema)
 

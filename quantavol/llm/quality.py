@@ -136,7 +136,7 @@ def statistics(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), prefix: st
                     [*(batch.column(c).slice(i, j - i) for c in carry), *(pa.array(got[c].astype(np.int64)) for c in COUNTS), *(pa.array(got[c].astype(np.float64)) for c in RATIOS)],
                     names=[*carry, *names],
                 )
-        tidy()
+            tidy()
 
     return docs.select(*need(docs, *carry).columns, F.col("text").cast("string").alias(text_)).mapInArrow(run, schema)
 
