@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from quantavol.operators import scalar, tiling, vector, volume
 from quantavol.operators.huffman import HuffmanCode
-from quantavol.options import Dims, Mode, Quantization, QuantOptions
+from quantavol.options import Dims, Mode, OptionError, Quantization, QuantOptions
+from quantavol.sources import files
 
 Codebook = scalar.ScalarCodebook | vector.VectorCodebook
 CHUNKS = "chunk int, n_bytes long, payload binary"
@@ -90,6 +91,39 @@ def encode(chosen: DataFrame, options: QuantOptions, book: Codebook, first: int
     return chosen.mapInArrow(run, CHUNKS)
 
 
+def compress_raw(spark: SparkSession, options: QuantOptions, book: Codebook | None = None, little: bool = False) -> DataFrame:
+    """compress() of the raw volume at options.path: the task that codes a chunk reads its planes, which
+    lie side by side in the file, so samples never pass through rows, and 3-D tiles need no shuffle."""
+    options.validate()
+    if options.mode is not Mode.INDIVIDUAL and book is None:
+        raise OptionError("a codebook is missing")
+    dims, tile, wrap, k = options.dims, options.tile, options.wrap, options.codebook_size
+    path, init, seed, first, selected = options.path, options.init, options.seed, options.selected()[0], _depth(options)
+    if (size := files.size_of(path)) != 2 * dims.count:
+        raise OptionError(f"{path} has {size} bytes; {dims} unsigned 16-bit samples have {2 * dims.count}")
+    code = HuffmanCode(book.frequencies) if book is not None else None
+    deep = tile.z if tile and tile.z > 1 else 1
+    chunks = tiling.layer_count(selected.z, deep) if deep > 1 else selected.z
+    tasks = max(1, min(chunks, -(-2 * selected.count // files.partition_bytes(2 * selected.count))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, place = files.locate(path)
+        with fs.open_input_file(place) as file:
+            for batch in batches:
+                for number in batch.column("id").to_pylist():
+                    box = chunk_dims(number, selected, tile)
+                    raw = file.read_at(2 * box.count, 2 * dims.plane * (first + number * deep))
+                    data = np.frombuffer(raw, dtype="<u2" if little else ">u2").astype(np.int32)
+                    vecs = data if tile is None else tiling.gather(data, box, tile, wrap)
+                    if code is not None:
+                        yield from _chunk(number, code.encode(book.encode(vecs))).to_batches()
+                    else:
+                        own = _train_plane(vecs, k, tile, init, seed)
+                        yield from _chunk(number, HuffmanCode(own.frequencies).encode(own.encode(vecs)), book_bytes(own)).to_batches()
+
+    return spark.range(0, chunks, 1, tasks).mapInArrow(run, CHUNKS if code is not None else CHUNKS_WITH_BOOKS)
+
+
 def _compress_each(chosen: DataFrame, options: QuantOptions, first: int) -> DataFrame:
     k, dims, tile, wrap = options.codebook_size, options.dims, options.tile, options.wrap
     init, seed = options.init, options.seed

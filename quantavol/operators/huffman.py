@@ -66,41 +66,70 @@ class HuffmanCode:
     def decode(self, payload: bytes, n: int) -> np.ndarray:
         """n symbols; an early end raises.
 
-        Each step takes all whole codes of the next 16 bits at once; only codes longer than that
-        are followed bit by bit.
+        The payload is cut into segments that are followed side by side, each from its first bit, whether
+        or not a code begins there: such a walk soon falls in with the true one. The segments are
+        then joined in order: from where the walk before ends, windows are followed one by one
+        until the segment's walk is met. Each step takes all whole codes of the next 16 bits.
         """
         t, bits = self.tables(), 8 * len(payload)
         raw = np.frombuffer(payload + b"\0\0\0", dtype=np.uint8).astype(np.uint32)
-        word = memoryview((raw[:-2] << 16) | (raw[1:-1] << 8) | raw[2:])
-        steps, counts = t.bits.tobytes(), t.counts.tobytes()
-        windows: list[int] = []
-        long: list[tuple[int, int]] = []  # (number of the window, symbol)
-        here = got = 0
-        while got < n:
-            if here >= bits:
-                raise ValueError("the payload ends before its last symbol")
-            w = word[here >> 3] >> (8 - (here & 7)) & 0xFFFF
-            step = steps[w]
-            if step:
-                windows.append(w)
-                here += step
-                got += counts[w]
-            else:
-                node = self.tree
+        words = (raw[:-2] << 16) | (raw[1:-1] << 8) | raw[2:]
+        segments = max(1, min(512, bits >> 11))
+        starts = np.arange(segments, dtype=np.int64) * bits // segments
+        stops = np.append(starts[1:], bits)
+        walks: list[np.ndarray] = []
+        here, live = starts.copy(), np.arange(segments if segments > 1 else 0)
+        met = np.zeros(bits + 1, dtype=bool)
+        while len(live):
+            p = here[live]
+            met[p] = True
+            step = t.bits[(words[p >> 3] >> (8 - (p & 7)).astype(np.uint32)) & 0xFFFF]
+            # Codes of more than 16 bits end a walk; joining goes on from there.
+            here[live] = p + step
+            live = live[(step > 0) & (here[live] < stops[live])]
+            walks.append(p)
+        order = np.sort(np.concatenate(walks)) if walks else np.zeros(0, dtype=np.int64)
+        cut = np.searchsorted(order, np.append(starts, bits))
+        word, steps = memoryview(words), t.bits.tobytes()
+        pieces: list[np.ndarray] = []
+        long: list[tuple[int, int]] = []  # (bit, symbol)
+        at = 0
+        for s in range(segments):
+            stop, alone = int(stops[s]), []
+            while at < stop:
+                if met[at] and at >= starts[s]:
+                    i = int(np.searchsorted(order[cut[s] : cut[s + 1]], at)) + int(cut[s])
+                    walk = order[i : cut[s + 1]]
+                    pieces += [np.array(alone, dtype=np.int64), walk]
+                    alone, at = [], int(here[s])
+                    if at >= stop or at != walk[-1]:
+                        continue
+                    pieces[-1] = walk[:-1]
+                step = steps[word[at >> 3] >> (8 - (at & 7)) & 0xFFFF]
+                alone.append(at)
+                if step:
+                    at += step
+                    continue
+                node, begin = self.tree, at
                 while isinstance(node, tuple):
-                    if here >= bits:
-                        raise ValueError("the payload ends before its last symbol")
-                    node = node[payload[here >> 3] >> (7 - (here & 7)) & 1]
-                    here += 1
-                long.append((len(windows), node))
-                windows.append(0)
-                got += 1
-        found = np.array(windows, dtype=np.int64)
+                    if at >= bits:
+                        break
+                    node = node[payload[at >> 3] >> (7 - (at & 7)) & 1]
+                    at += 1
+                if isinstance(node, tuple):
+                    alone.pop()
+                    at = bits
+                    break
+                long.append((begin, node))
+            pieces.append(np.array(alone, dtype=np.int64))
+        places = np.concatenate(pieces) if pieces else np.zeros(0, dtype=np.int64)
+        found = (words[places >> 3] >> (8 - (places & 7)).astype(np.uint32)) & 0xFFFF
         rows, taken = t.symbols[found], t.counts[found].astype(np.int64)
-        for i, s in long:
-            rows[i, 0], taken[i] = s, 1
+        if long:
+            i = np.searchsorted(places, [b for b, _ in long])
+            rows[i, 0], taken[i] = [s for _, s in long], 1
         out = rows[np.arange(rows.shape[1])[None, :] < taken[:, None]][:n].astype(np.int32)
-        if int(self.lengths[out].sum()) > bits:
+        if len(out) < n or int(self.lengths[out].sum()) > bits:
             raise ValueError("the payload ends before its last symbol")
         return out
 

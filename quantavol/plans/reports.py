@@ -35,12 +35,12 @@ def shared_book(planes: DataFrame, options: QuantOptions, say: Listener = _silen
 
 
 def compress_file(spark: SparkSession, options: QuantOptions, say: Listener = _silent) -> container.Header:
-    """A raw volume into a container."""
+    """A raw volume into a container; the planes are read where they are coded."""
     options.validate()
-    planes = raw.read(spark, options.path, options.dims, (options.selected()[0], options.selected()[-1]))
-    book = shared_book(raw.read(spark, options.path, options.dims, options.training_planes()), options, say)
+    training = raw.read(spark, options.path, options.dims, options.training_planes())
+    book = shared_book(training, options, say)
     head = container.Header.of_options(options)
-    container.write_container(codec.compress(planes, options, book), options.output, head, book)
+    container.write_container(codec.compress_raw(spark, options, book), options.output, head, book)
     say(f"{options.path}: {head.chunks} chunks")
     return container.read_header(options.output)
 

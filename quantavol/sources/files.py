@@ -8,8 +8,8 @@ import pyarrow.fs as pafs
 
 
 def partition_bytes(total: int) -> int:
-    """Bytes of one partition: a 256th of all, but 1 MB at least and 128 MB at most."""
-    return min(128 << 20, max(1 << 20, total // 256))
+    """Bytes of one partition: a 256th of all, but 8 MB at least, as each starts a reader, and 128 MB at most."""
+    return min(128 << 20, max(8 << 20, total // 256))
 
 
 def locate(uri: str) -> tuple[pafs.FileSystem, str]:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quantavol.functions import arrays
 from quantavol.operators import codec, kdtree, metrics, scalar, tiling, vector, volume
+from quantavol.operators.huffman import HuffmanCode
 from quantavol.options import CONTAINER_SUFFIX, Dims, Mode, QuantOptions, Wrap
 from quantavol.plans import reports
 from quantavol.sources import codebooks, container, memory, raw
@@ -165,6 +166,37 @@ def test_codec_equals_quantizing(spark, tmp_path, tile, mode):
         reports.open_container(spark, path)
 
 
+@pytest.mark.parametrize("tile", [None, Dims(3), Dims(3, 2), Dims(3, 3, 3)])
+@pytest.mark.parametrize("mode", [Mode.GLOBAL, Mode.INDIVIDUAL])
+def test_coding_from_the_file_equals_coding_of_planes(spark, tmp_path, tile, mode):
+    if mode is Mode.INDIVIDUAL and tile and tile.z > 1:
+        return
+    dims, rng = Dims(7, 5, 8), np.random.default_rng(3)
+    data = rng.integers(0, 65536, dims.count).astype(">u2")
+    (tmp_path / "v.raw").write_bytes(data.tobytes())
+    for planes in (None, (2, 6)):
+        o = QuantOptions(dims, 3, tile, mode, path=str(tmp_path / "v.raw"), planes=planes)
+        rows = raw.read(spark, o.path, dims)
+        book = None if mode is Mode.INDIVIDUAL else codec.train(rows, o)
+        want, got = (sorted(map(tuple, df.collect())) for df in (codec.compress(rows, o, book), codec.compress_raw(spark, o, book)))
+        assert got == want and got
+
+
+def test_huffman_walks():
+    """Segments followed side by side meet the true walk, or are followed bit by bit where they don't."""
+    rng = np.random.default_rng(5)
+    for counts in ([1] * 256, [1] * 200, [int(1.7**i) for i in range(40)], [5], (1e6 * rng.random(256) ** 8).astype(int).tolist()):
+        code = HuffmanCode(counts)
+        p = (np.array(counts) + 0.01) / (np.array(counts) + 0.01).sum()
+        for weights in (p, None):
+            symbols = rng.choice(len(counts), 20_000, p=weights)
+            payload = code.encode(symbols)
+            assert (code.decode(payload, len(symbols)) == symbols).all()
+            with pytest.raises(ValueError):
+                code.decode(payload[:-2], len(symbols))
+        assert len(code.decode(b"", 0)) == 0
+
+
 def test_selection(spark):
     planes = planes_of(spark, np.arange(60, dtype=np.int32).reshape(10, 6))
     o = QuantOptions(Dims(3, 2, 10), 8, planes=(4, 6))
