@@ -312,8 +312,20 @@ def train_all_sizes(vecs: DataFrame, tile: Dims, most: int = 256, seed: int = 1)
 
 
 def has_more_than(vecs: DataFrame, k: int) -> bool:
-    """Whether there are more than k different vectors; stops looking once they are found."""
-    return vecs.select("vec").distinct().limit(k + 1).count() > k
+    """Whether there are more than k different vectors. A task stops reading once it has found so many,
+    and passes on k + 1 at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: np.ndarray | None = None
+        for b in batches:
+            here = np.unique(matrix(b.column("vec")), axis=0)
+            seen = here if seen is None or not len(seen) else np.unique(np.concatenate((seen, here)), axis=0)
+            if len(seen) > k:
+                break
+        if seen is not None and len(seen):
+            yield pa.RecordBatch.from_arrays([list_column(seen[: k + 1])], names=["vec"])
+
+    return vecs.select("vec").mapInArrow(run, "vec array<int>").distinct().limit(k + 1).count() > k
 
 
 def assign(vecs: DataFrame, codebook: VectorCodebook) -> DataFrame:

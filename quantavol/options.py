@@ -159,6 +159,7 @@ class QuantOptions:
     method: Method = Method.COMPRESS
     path: str | None = None
     output: str | None = None
+    function: str = "plane_entropy"
     problems: list[str] = field(default_factory=list, repr=False)
 
     @property
@@ -221,7 +222,7 @@ class QuantOptions:
 
     @classmethod
     def from_args(cls, argv: list[str]) -> QuantOptions:
-        """Options from a command line: -c, -d, -tcb, -i, -bench or -cf; -sq or -vq; -b, -mp, -cbc, -o, -v, -wc; path, dims, planes."""
+        """Options from a command line: -c, -d, -tcb, -i, -bench or -cf; -sq or -vq; -b, -mp, -cbc, -o, -v, -wc, -fn (a custom function's name); path, dims, planes."""
         p = argparse.ArgumentParser(add_help=False, prefix_chars="-")
         verb = p.add_mutually_exclusive_group()
         for flag, method in (("-c", Method.COMPRESS), ("-d", Method.DECOMPRESS), ("-tcb", Method.TRAIN), ("-i", Method.INSPECT), ("-bench", Method.BENCHMARK), ("-cf", Method.CUSTOM), ("-h", Method.HELP)):
@@ -234,6 +235,7 @@ class QuantOptions:
         p.add_argument("-o")
         p.add_argument("-v", action="store_true")
         p.add_argument("-wc", type=int)
+        p.add_argument("-fn", default="plane_entropy")
         p.add_argument("rest", nargs="*")
         a = p.parse_args(argv)
         problems = []
@@ -264,4 +266,4 @@ class QuantOptions:
         output = a.o or (default_output(path, method) if path else None)
         name = path.rsplit("/", 1)[-1] if path else "volume"
         store = a.o if method is Method.TRAIN else a.cbc
-        return cls(dims, bits or 8, tile, mode, plane, planes, store=store, train_name=name, verbose=a.v, worker_count=a.wc, method=method, path=path, output=output, problems=problems)
+        return cls(dims, bits or 8, tile, mode, plane, planes, store=store, train_name=name, verbose=a.v, worker_count=a.wc, method=method, path=path, output=output, function=a.fn, problems=problems)

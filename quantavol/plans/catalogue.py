@@ -319,15 +319,44 @@ def plane_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("z", total("diff").alias("diff"), total("abs_diff").alias("abs_diff"))
 
 
-@query()
+def lloyd_sql(k: int, result: str) -> str:
+    """Training over the histogram as a recursion over lists: ten updates between two looks at the error."""
+    return f"""WITH RECURSIVE {px_sql(8)}, hist AS (SELECT v, count(*) AS n FROM px GROUP BY v),
+ lim AS (SELECT min(v) AS low, max(v) AS high FROM hist),
+ runs AS (SELECT list(CAST(m AS BIGINT) ORDER BY i) AS mass, list(CAST(s AS BIGINT) ORDER BY i) AS moment FROM
+  (SELECT i, sum(coalesce(n, 0)) OVER w AS m, sum(coalesce(n, 0)*i) OVER w AS s FROM range(65536) r(i) LEFT JOIN hist ON v = i WINDOW w AS (ORDER BY i))),
+ begin AS (SELECT list(CAST(low + floor((i+0.5)*((high-low)/CAST({k} AS DOUBLE))) AS BIGINT) ORDER BY i) AS c FROM lim, range({k}) r(i)),
+ edged AS (SELECT c, list_concat([CAST(low AS BIGINT)], list_transform(range(1, {k}), lambda i: least(CAST(high AS BIGINT), (c[i]+c[i+1])//2)), [CAST(high AS BIGINT)]) AS e FROM begin, lim),
+ modes AS (SELECT i, (SELECT arg_max(v, n*65536-v) FROM hist WHERE v BETWEEN e[i] AND e[i+1]) AS m, c[i] AS was FROM edged, range(1, {k}+1) r(i)),
+ start AS (SELECT list(CAST(coalesce(m, was) AS BIGINT) ORDER BY i) AS c FROM modes),
+ steps AS (
+  SELECT 0 AS it, c, (SELECT e FROM edged) AS e, CAST(NULL AS DOUBLE) AS before, (SELECT CAST(sum(n*(v-c[len(list_filter(f[2:{k}], lambda b: b < v))+1])*(v-c[len(list_filter(f[2:{k}], lambda b: b < v))+1])) AS DOUBLE)/sum(n) FROM hist, (SELECT e AS f FROM edged)) AS mse FROM start
+  UNION ALL
+  SELECT it+1, d, e2, CASE WHEN it%10 = 9 THEN mse ELSE before END, CASE WHEN it%10 = 9 THEN
+    (SELECT CAST(sum(n*(v-d[len(list_filter(e2[2:{k}], lambda b: b < v))+1])*(v-d[len(list_filter(e2[2:{k}], lambda b: b < v))+1])) AS DOUBLE)/sum(n) FROM hist) ELSE mse END
+  FROM (SELECT it, e2, before, mse, list_transform(range(1, {k}+1), lambda i: CASE WHEN e2[i+1] >= e2[i] AND mass[e2[i+1]+1] > coalesce(CASE WHEN e2[i] > 0 THEN mass[e2[i]] END, 0)
+     THEN (moment[e2[i+1]+1]-coalesce(CASE WHEN e2[i] > 0 THEN moment[e2[i]] END, 0))//(mass[e2[i+1]+1]-coalesce(CASE WHEN e2[i] > 0 THEN mass[e2[i]] END, 0)) ELSE c[i] END) AS d
+   FROM (SELECT it, c, before, mse, mass, moment, list_concat([CAST(low AS BIGINT)], list_transform(range(1, {k}), lambda i: least(CAST(high AS BIGINT), (c[i]+c[i+1])//2)), [CAST(high AS BIGINT)]) AS e2
+    FROM steps, lim, runs WHERE it < 10 OR it%10 <> 0 OR before - mse >= 1)))
+ {result}"""
+
+
+TRAINED = """SELECT CAST(i-1 AS INTEGER) AS ix, CAST(c[i] AS INTEGER) AS centroid, CAST((SELECT coalesce(sum(n), 0) FROM hist WHERE (i = 1 OR v > e[i]) AND (i = 16 OR v <= e[i+1])) AS BIGINT) AS freq FROM (SELECT c, e FROM steps ORDER BY it DESC LIMIT 1), range(1, 17) r(i)"""
+TRAIN_LOG = """SELECT CAST(it//10 AS INTEGER) AS iteration, round(mse, 4) AS mse, round(10*log10(65535.0*65535/mse), 4) AS psnr,
+ round(lag(mse) OVER (ORDER BY it) - mse, 4) AS gain FROM steps WHERE it%10 = 0"""
+
+
+@query(lloyd_sql(16, TRAINED))
 def lloyd_max_train(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = scalar.train(volume8(spark, sf_dir), 16)
     return got.codebook.frame(spark)
 
 
-@query()
+@query(lloyd_sql(8, TRAIN_LOG))
 def lloyd_max_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.improvement(scalar.log_frame(spark, scalar.train(volume8(spark, sf_dir), 8).log))
+    """Errors at each look and what they gained, to four decimals."""
+    log = metrics.improvement(scalar.log_frame(spark, scalar.train(volume8(spark, sf_dir), 8).log))
+    return log.select("iteration", *(r4(c).alias(c) for c in ("mse", "psnr", "gain")))
 
 
 @query()
@@ -517,16 +546,6 @@ def vq_codec_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("z", F.round(F.col("mse") * F.col("n")).cast("long").alias("sq_sum"))
 
 
-@query(f"WITH {px_sql(8)} SELECT z, y, x, v FROM px WHERE z < 40")
-def voxel_codec_lossless(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A volume of fewer different boxes than codewords comes back unchanged."""
-    planes = volume.select_planes(volume8(spark, sf_dir), planes=(0, 39))
-    options = QuantOptions(Dims(8, 8, 40), 8, Dims(4, 4, 4), Mode.GLOBAL)
-    book = codec.train(planes, options)
-    decoded = codec.decompress(codec.compress(planes, options, book), options.dims, options.tile, 256, book)
-    return volume.pixels(decoded, options.dims)
-
-
 @query()
 def voxel_codec_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Errors over all planes, of more different boxes than codewords."""
@@ -534,15 +553,6 @@ def voxel_codec_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded_errors(reports.roundtrip(planes, QuantOptions(Dims(8, 8, depth(planes)), 8, Dims(4, 4, 4), Mode.GLOBAL)))
 
 
-@query(f"WITH {px_sql(16)} SELECT z, y, x, v FROM px WHERE z BETWEEN 30 AND 69")
-def individual_codec_lossless(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A codebook for each plane; planes of fewer different tiles than codewords come back unchanged."""
-    planes = volume8(spark, sf_dir)
-    options = QuantOptions(Dims(16, 4, depth(planes)), 5, Dims(5, 3), planes=(30, 69))
-    decoded = codec.decompress(codec.compress(planes, options), Dims(16, 4, 40), options.tile, 32, first=30)
-    return volume.pixels(decoded, options.dims)
-
-
 @query(f"WITH {px_sql(16)} SELECT z, y, x, v FROM px")
 def individual_codec_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All planes: each has 8 tiles at most, fewer than its codebook's words."""
@@ -561,16 +571,6 @@ def container_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded_errors(metrics.plane_errors(planes, reports.open_container(spark, path)))
 
 
-@query(f"WITH {px_sql(16)} SELECT z, y, x, v FROM px WHERE z >= 20 AND z < 50")
-def raw_volume_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    planes, path = volume8(spark, sf_dir), scratch(spark, "raw") + "/v.raw"
-    raw.register(spark)
-    planes.write.format("u16raw").mode("append").save(path)
-    dims = Dims(16, 4, depth(planes))
-    back = spark.read.format("u16raw").option("dims", str(dims)).load(path)
-    return volume.pixels(back.filter((F.col("z") >= 20) & (F.col("z") < 50)), dims)
-
-
 @query(f"WITH {px_sql(16)} SELECT z, y, x, v FROM px")
 def raw_volume_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     planes, path = volume8(spark, sf_dir), scratch(spark, "raw") + "/v.raw"
@@ -636,12 +636,6 @@ def u16_bytes_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("z", F.hex("b").alias("big"), F.hex("l").alias("little"), total.alias("total"))
 
 
-@query(f"WITH {px_sql(8)} SELECT z, string_agg(printf('%08X', CASE WHEN v-32768 < 0 THEN 4294967296+v-32768 ELSE CAST(v-32768 AS BIGINT) END), '' ORDER BY y, x) AS big FROM px WHERE z < 50 GROUP BY z")
-def i32_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    planes = volume.select_planes(volume8(spark, sf_dir), planes=(0, 49))
-    return planes.select("z", F.hex(arrays.bytes_of_ints(F.transform("data", lambda v: v - 32768))).alias("big"))
-
-
 @query(f"WITH {px_sql(8)} SELECT z, string_agg(printf('%08X', CASE WHEN v-32768 < 0 THEN 4294967296+v-32768 ELSE CAST(v-32768 AS BIGINT) END), '' ORDER BY y, x) AS big FROM px GROUP BY z")
 def i32_bytes_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return volume8(spark, sf_dir).select("z", F.hex(arrays.bytes_of_ints(F.transform("data", lambda v: v - 32768))).alias("big"))
@@ -706,11 +700,15 @@ def container_inspect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.inspect_frame(chunks, head).agg(F.count(F.lit(1)).alias("chunks"), ((n >= bits) & (n < bits + 8 * F.count(F.lit(1)))).alias("bounded"))
 
 
-@query("""SELECT CAST(l_linenumber-1 AS INTEGER) AS z, count(*) AS n FROM lineitem WHERE l_linenumber-1 IN (SELECT vec_id FROM embeddings WHERE vec_id < 3) GROUP BY 1""")
-def codebook_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows whose key has a codebook: a semi join with the distinct keys of a store."""
-    store = table(spark, sf_dir, "embeddings").filter("vec_id < 3").select(F.col("vec_id").cast("int").alias("z")).distinct()
-    return prices(spark, sf_dir).join(store, "z", "left_semi").groupBy("z").agg(F.count(F.lit(1)).alias("n"))
+@query("""SELECT CAST(l_linenumber-1 AS INTEGER) AS z, count(*) AS n FROM lineitem WHERE l_linenumber IN (1, 3, 6) GROUP BY 1""")
+def codebook_store_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples of the planes that a codebook store has a codebook of 8 words for: a semi join with its keys."""
+    store = scratch(spark, "keys")
+    for z in (0, 2, 5):
+        codebooks.save(spark, store, str(z), uniform_book())
+    codebooks.save(spark, store, "3", scalar.ScalarCodebook(np.array([1, 2]), np.array([1, 1])))
+    keys = codebooks.keys(spark, store).filter("k = 8").select(F.col("train_name").cast("int").alias("z"))
+    return prices(spark, sf_dir).join(keys, "z", "left_semi").groupBy("z").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""SELECT CAST(l_linenumber-1 AS INTEGER) AS z, count(*) AS n FROM lineitem WHERE l_linenumber-1 IN (SELECT vec_id FROM embeddings) GROUP BY 1""")
@@ -720,6 +718,58 @@ def codebook_exists_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prices(spark, sf_dir).join(store, "z", "left_semi").groupBy("z").agg(F.count(F.lit(1)).alias("n"))
 
 
+# Commands
+
+
+def raw_file(spark: SparkSession, sf_dir: str, name: str) -> tuple[str, Dims]:
+    """The volume as a raw file of planes of 16 x 4."""
+    planes, path = volume8(spark, sf_dir), scratch(spark, name) + "/v.raw"
+    raw.register(spark)
+    planes.write.format("u16raw").mode("append").save(path)
+    return path, Dims(16, 4, depth(planes))
+
+
+@query(f"WITH {px_sql(16)} SELECT z, y, x, v FROM px")
+def command_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Compress and decompress commands, file to file; planes of fewer tiles than codewords lose nothing."""
+    path, dims = raw_file(spark, sf_dir, "commands")
+    reports.run_command(spark, ["-c", "-vq", "4x4", "-b", "3", "-o", f"{path}.volume", path, str(dims)], lambda line: None)
+    reports.run_command(spark, ["-d", "-o", f"{path}.back", f"{path}.volume"], lambda line: None)
+    return volume.pixels(raw.read(spark, f"{path}.back", dims), dims)
+
+
+@query("SELECT CAST(0.0 AS DOUBLE) AS mae, CAST(0.0 AS DOUBLE) AS mse, CAST(count(*) * 64 AS BIGINT) AS n FROM embeddings")
+def command_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark command on a codec that loses nothing, and the number of samples it took."""
+    path, dims = raw_file(spark, sf_dir, "benchmark")
+    out = reports.run_command(spark, ["-bench", "-vq", "4x4", "-b", "3", path, str(dims)], lambda line: None)
+    return out.select("mae", "mse", F.lit(dims.count).cast("long").alias("n"))
+
+
+@query(lloyd_sql(16, TRAINED))
+def command_train(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The training command, and the codebook that it leaves in its store."""
+    path, dims = raw_file(spark, sf_dir, "training")
+    store = scratch(spark, "training-store")
+    reports.run_command(spark, ["-tcb", "-sq", "-b", "4", "-o", store, path, str(dims)], lambda line: None)
+    return codebooks.load(spark, store, "v.raw", 16).frame(spark)
+
+
+@query(f"WITH {px_sql(16)}, c AS (SELECT z, v, count(*) AS n FROM px GROUP BY z, v) SELECT z, round(-sum(n/64.0*log2(n/64.0)), 4) AS entropy FROM c GROUP BY z")
+def command_custom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A custom function chosen by its name."""
+    path, dims = raw_file(spark, sf_dir, "custom")
+    out = reports.run_command(spark, ["-cf", "-fn", "plane_entropy", path, str(dims)], lambda line: None)
+    return out.select("z", r4("entropy").alias("entropy"))
+
+
+@query(f"WITH {px_sql(16)} SELECT z, CAST(sum(v) AS BIGINT) AS total FROM px WHERE z%3 = 0 GROUP BY z")
+def raw_plane_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A set of planes of a raw volume, of which alone the bytes are read: every third."""
+    path, dims = raw_file(spark, sf_dir, "set")
+    return _plane_sums(raw.read(spark, path, dims, list(range(0, dims.z, 3))))
+
+
 # Streams
 
 
@@ -756,17 +806,6 @@ def stream_codec_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded_errors(metrics.plane_errors(planes, streams.decode_planes(spark.read.parquet(f"{folder}/out"), options.dims, None, 8, book)))
 
 
-@query(f"WITH {px_sql(8)} SELECT CAST(z//4 AS BIGINT) AS id, CAST(sum(v) AS BIGINT) AS total, count(*) AS n FROM px WHERE z < 32 GROUP BY z//4")
-def stream_boxes_lossless(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boxes of four planes as self-contained stream chunks; few different tiles, so nothing is lost."""
-    planes = volume.select_planes(volume8(spark, sf_dir), planes=(0, 31))
-    book = codec.train(planes, QuantOptions(Dims(8, 8, 32), 8, Dims(4, 4, 2), Mode.GLOBAL))
-    rows = planes.groupBy(F.expr("z div 4").alias("id")).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("z", "data"))), lambda s: s["data"])).alias("data"))
-    boxes = rows.select("id", F.lit(8).alias("x"), F.lit(8).alias("y"), F.lit(4).alias("z"), "data")
-    back = streams.decode_boxes(streams.encode_boxes(boxes, Dims(4, 4, 2), book), Dims(4, 4, 2), book)
-    return back.select("id", F.aggregate("data", F.lit(0).cast("long"), lambda s, v: s + v).alias("total"), F.size("data").cast("long").alias("n"))
-
-
 @query()
 def stream_boxes_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, sq_sum, n): squared errors of all planes in boxes of four or, at the end, what is left."""

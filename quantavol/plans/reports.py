@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from quantavol.operators import codec, metrics, scalar, tiling, vector, volume
 from quantavol.operators.huffman import HuffmanCode
-from quantavol.options import CODEBOOK_SUFFIX, Dims, Method, Mode, OptionError, QuantOptions
-from quantavol.sources import codebooks, container, raw
+from quantavol.options import CODEBOOK_SUFFIX, CONTAINER_SUFFIX, Dims, Method, Mode, OptionError, QuantOptions
+from quantavol.sources import codebooks, container, memory, raw
 
 Listener = Callable[[str], None]
 
@@ -34,13 +34,35 @@ def shared_book(planes: DataFrame, options: QuantOptions, say: Listener = _silen
     return codec.train(planes, options)
 
 
+#: Inputs that are images, with dimensions of their own; all others are raw volumes or containers.
+IMAGE_SUFFIXES = (".tif", ".tiff", ".pgm")
+
+
+def open_input(spark: SparkSession, options: QuantOptions) -> DataFrame:
+    """The planes of an input by its kind: images, a container, or a raw volume of the given dimensions."""
+    path = options.path.lower()
+    if path.endswith(IMAGE_SUFFIXES):
+        planes, options.dims = memory.volume_of_images(memory.from_images(spark, options.path))
+        return planes
+    if path.endswith(CONTAINER_SUFFIX.lower()):
+        return open_container(spark, options.path)
+    return raw.read(spark, options.path, options.dims)
+
+
 def compress_file(spark: SparkSession, options: QuantOptions, say: Listener = _silent) -> container.Header:
-    """A raw volume into a container; the planes are read where they are coded."""
-    options.validate()
-    training = raw.read(spark, options.path, options.dims, options.training_planes())
-    book = shared_book(training, options, say)
+    """A raw volume or images into a container; the planes of raw volumes are read where they are coded."""
+    if not options.path.lower().endswith(IMAGE_SUFFIXES):
+        options.validate()
+        training = raw.read(spark, options.path, options.dims, options.training_planes())
+        book = shared_book(training, options, say)
+        chunks = codec.compress_raw(spark, options, book)
+    else:
+        planes, options.dims = memory.volume_of_images(memory.from_images(spark, options.path))
+        options.validate()
+        book = shared_book(planes, options, say)
+        chunks = codec.compress(planes, options, book)
     head = container.Header.of_options(options)
-    container.write_container(codec.compress_raw(spark, options, book), options.output, head, book)
+    container.write_container(chunks, options.output, head, book)
     say(f"{options.path}: {head.chunks} chunks")
     return container.read_header(options.output)
 
@@ -233,7 +255,7 @@ def run_command(spark: SparkSession, argv: list[str], say: Listener = print) ->
     o = QuantOptions.from_args(argv)
     if o.problems:
         raise OptionError("; ".join(o.problems))
-    planes = lambda: raw.read(spark, o.path, o.dims)
+    planes = lambda: open_input(spark, o)
     match o.method:
         case Method.COMPRESS:
             return compress_file(spark, o, say)
@@ -246,7 +268,9 @@ def run_command(spark: SparkSession, argv: list[str], say: Listener = print) ->
         case Method.BENCHMARK:
             return benchmark(planes(), o)
         case Method.CUSTOM:
-            return plane_entropy(planes())
+            if o.function not in FUNCTIONS:
+                raise OptionError(f"no custom function {o.function}; there are {', '.join(sorted(FUNCTIONS))}")
+            return FUNCTIONS[o.function](planes())
         case Method.HELP:
             say(QuantOptions.from_args.__doc__)
     return None

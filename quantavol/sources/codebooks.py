@@ -48,6 +48,11 @@ def rows(spark: SparkSession, store: str) -> DataFrame:
     return spark.read.schema(SCHEMA).parquet(store)
 
 
+def keys(spark: SparkSession, store: str) -> DataFrame:
+    """(train_name, quantizer, k, tile) of every codebook of a store; only names of folders are read."""
+    return rows(spark, store).select(*KEYS).distinct()
+
+
 def _of_key(spark: SparkSession, store: str, train_name: str, k: int, tile: Dims | None) -> DataFrame:
     key = {"train_name": train_name, "quantizer": Quantization.of_tile(tile).name.lower(), "k": k, "tile": _tile_name(tile)}
     out = rows(spark, store)

@@ -26,14 +26,23 @@ PLANES = "z int, data array<int>"
 
 
 def planes_text(text: str | None, depth: int) -> list[int]:
-    """Plane numbers of an option: none, `k` or `a-b` with both ends."""
+    """Plane numbers of an option: none, or `k` and `a-b` with both ends, separated by commas."""
     if not text:
         return list(range(depth))
-    span = parse_range(text)
-    wanted = list(range(span[0], span[1] + 1)) if span else [int(text)]
-    if wanted[0] < 0 or wanted[-1] >= depth:
+    wanted: set[int] = set()
+    for part in text.split(","):
+        span = parse_range(part)
+        wanted.update(range(span[0], span[1] + 1) if span else [int(part)])
+    if min(wanted) < 0 or max(wanted) >= depth:
         raise OptionError(f"planes {text} are outside 0..{depth - 1}")
-    return wanted
+    return sorted(wanted)
+
+
+def set_text(planes: list[int]) -> str:
+    """A set of planes as an option: runs of neighbours as ranges."""
+    at = sorted(set(planes))
+    cuts = [i for i in range(len(at)) if not i or at[i] != at[i - 1] + 1]
+    return ",".join(f"{at[i]}-{at[j - 1]}" for i, j in zip(cuts, [*cuts[1:], len(at)]))
 
 
 @dataclass
@@ -93,7 +102,7 @@ class RawVolumeWriter(DataSourceArrowWriter):
 
 
 class RawVolume(DataSource):
-    """Options: path; dims `XxYxZ` (to read); planes `k` or `a-b`; endian big or little; sample u16 or i32 (to write)."""
+    """Options: path; dims `XxYxZ` (to read); planes `k` and `a-b`, separated by commas; endian big or little; sample u16 or i32 (to write)."""
 
     @classmethod
     def name(cls) -> str:
@@ -124,8 +133,12 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(RawVolume)
 
 
-def read(spark: SparkSession, path: str, dims: Dims, planes: tuple[int, int] | None = None) -> DataFrame:
-    """Planes of a raw volume: all, or a range with both ends, of which alone the bytes are read."""
+def read(spark: SparkSession, path: str, dims: Dims, planes: tuple[int, int] | list[int] | None = None) -> DataFrame:
+    """Planes of a raw volume: all, a range (a tuple) with both ends, or a set (a list), of which alone the bytes are read."""
     register(spark)
     reader = spark.read.format("u16raw").option("dims", str(dims))
-    return (reader if planes is None else reader.option("planes", f"{planes[0]}-{planes[1]}")).load(path)
+    if planes is None:
+        return reader.load(path)
+    if isinstance(planes, list) and not planes:
+        return reader.option("planes", "0-0").load(path).limit(0)
+    return reader.option("planes", set_text(planes) if isinstance(planes, list) else f"{planes[0]}-{planes[1]}").load(path)

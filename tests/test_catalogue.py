@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from quantavol.operators import codec
-from quantavol.options import Dims, Mode, QuantOptions
+from quantavol.options import CONTAINER_SUFFIX, Dims, Mode, QuantOptions
 from quantavol.plans import catalogue, reports
 
 N = 301
@@ -45,6 +45,55 @@ def test_whole_lossless(spark, folder, samples):
     assert {r["z"]: r["n"] for r in catalogue.queries()["codebook_exists_whole"](spark, folder).collect()} == {z: 10 for z in range(7)}
 
 
+def test_few_tiles_lose_nothing(spark, folder, samples):
+    """Volumes of fewer different boxes than codewords come back unchanged, as layers and as stream boxes."""
+    from quantavol.operators import volume
+    from quantavol.streaming import chunks as streams
+
+    planes = volume.select_planes(catalogue.volume8(spark, folder), planes=(0, 31))
+    options = QuantOptions(Dims(8, 8, 32), 8, Dims(4, 4, 4), Mode.GLOBAL)
+    book = codec.train(planes, options)
+    back = codec.decompress(codec.compress(planes, options, book), options.dims, options.tile, 256, book)
+    assert [r["data"] for r in back.orderBy("z").collect()] == samples[:32].tolist()
+    book = codec.train(planes, QuantOptions(Dims(8, 8, 32), 8, Dims(4, 4, 2), Mode.GLOBAL))
+    rows = [(i, 8, 8, 4, samples[4 * i : 4 * i + 4].ravel().tolist()) for i in range(8)]
+    boxes = spark.createDataFrame(rows, "id long, x int, y int, z int, data array<int>")
+    got = streams.decode_boxes(streams.encode_boxes(boxes, Dims(4, 4, 2), book), Dims(4, 4, 2), book).collect()
+    assert {r["id"]: r["data"] for r in got} == {r[0]: r[4] for r in rows}
+
+
+def test_commands(spark, folder, samples):
+    got = catalogue.queries()["command_roundtrip"](spark, folder).orderBy("z", "y", "x").collect()
+    assert [r["v"] for r in got] == samples.ravel().tolist()
+    with pytest.raises(reports.OptionError):
+        reports.run_command(spark, ["-cf", "-fn", "nothing", "x.raw", "4x4x1"])
+
+
+def test_inputs_by_kind(spark, tmp_path):
+    """Images bring their dimensions; a container is decoded; all else is a raw volume."""
+    page = (np.arange(48).reshape(6, 8) * 7).astype(">u2")
+    (tmp_path / "a.pgm").write_bytes(b"P5 8 6 65535\n" + page.tobytes())
+    (tmp_path / "v.raw").write_bytes(page.tobytes() * 3)
+    for name, dims, depth in (("a.pgm", "1x1x1", 1), ("v.raw", "8x6x3", 3)):
+        path = str(tmp_path / name)
+        reports.run_command(spark, ["-c", "-vq", "8x6", "-b", "1", "-o", f"{path}.volume{CONTAINER_SUFFIX}", path, dims], lambda x: None)
+        o = QuantOptions(Dims(8, 6, depth), path=path)
+        assert [r["data"] for r in reports.open_input(spark, o).orderBy("z").collect()] == [page.ravel().tolist()] * depth and o.dims == (8, 6, depth)
+        o = QuantOptions(o.dims, path=f"{path}.volume{CONTAINER_SUFFIX}")
+        assert [r["data"] for r in reports.open_input(spark, o).orderBy("z").collect()] == [page.ravel().tolist()] * depth
+
+
+def test_sets_of_planes(spark, tmp_path):
+    from quantavol.sources import raw
+
+    assert raw.set_text([5, 1, 2, 3, 9, 9]) == "1-3,5-5,9-9" and raw.planes_text("9,1-3,2", 10) == [1, 2, 3, 9]
+    data = np.arange(40, dtype=">u2")
+    (tmp_path / "v.raw").write_bytes(data.tobytes())
+    got = raw.read(spark, str(tmp_path / "v.raw"), Dims(2, 2, 10), [7, 0, 8]).orderBy("z").collect()
+    assert [(r["z"], r["data"][0]) for r in got] == [(0, 0), (7, 28), (8, 32)]
+    assert raw.read(spark, str(tmp_path / "v.raw"), Dims(2, 2, 10), []).count() == 0
+
+
 def test_whole_lossy(spark, folder, samples):
     boxes = catalogue.queries()["stream_boxes_whole"](spark, folder).collect()
     assert {r["id"]: r["n"] for r in boxes} == {i: 64 * min(4, N - 4 * i) for i in range(76)}
