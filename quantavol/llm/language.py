@@ -140,6 +140,47 @@ def _pieces(texts: pa.Array) -> Iterator[tuple[int, int]]:
     yield from t.slices(texts, AT_ONCE)
 
 
+#: Bytes that are no letters, after which a long text may be cut.
+CUT = np.array([c < 128 and not chr(c).isalpha() for c in range(256)])
+
+
+def counted_texts(column: pa.Array, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """counted() of texts, and the letters of each. One long text is taken apart: its characters are
+    folded piece by piece, cut after a character that is no letter, and its n-grams counted by
+    segments, so that memory follows its characters and its different n-grams."""
+    data, at = t.flat_bytes(column)
+    if len(column) != 1 or len(data) <= 2 * AT_ONCE:
+        points, at, letters = characters(column)
+        return *counted(points, at, group), letters
+    folded, letters, lo = [], 0, 0
+    while lo < len(data):
+        hi = min(lo + AT_ONCE, len(data))
+        while hi < len(data):
+            found = np.flatnonzero(CUT[data[hi - 1 : hi - 1 + AT_ONCE]])
+            if len(found):
+                hi += int(found[0])
+                break
+            hi = min(hi + AT_ONCE, len(data))
+        piece, _, n = characters(pa.array([data[lo:hi].tobytes().decode("utf-8", "replace")]))
+        # A piece ends with the blank that the next one begins with.
+        folded.append(piece if not lo else piece[1:])
+        letters, lo = letters + int(n[0]), hi
+    points, rest = np.concatenate(folded), max(ORDERS) - 1
+    del folded
+    total = None
+    for i in range(0, len(points), AT_ONCE):
+        # The n-grams that begin in a segment: those up to the characters behind it, without those in them.
+        j, k = min(i + AT_ONCE, len(points)), min(i + AT_ONCE + rest, len(points))
+        parts = [counted(points[i:k], np.array([0, k - i]), group)]
+        if j < k:
+            g, c, n = counted(points[j:k], np.array([0, k - j]), group)
+            parts.append((g, c, -n))
+        total = added(*(np.concatenate(x) for x in zip(*(parts if total is None else [total, *parts]))))
+    g, c, n = total
+    some = n > 0
+    return g[some], c[some], n[some], np.array([letters])
+
+
 def profiles(docs: DataFrame, size: int = 400) -> DataFrame:
     """(lang, code, rank) of the most frequent n-grams of each language, ranks from 0.
 
@@ -154,8 +195,7 @@ def profiles(docs: DataFrame, size: int = 400) -> DataFrame:
             which = langs.indices.to_numpy(zero_copy_only=False)
             kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             for i, j in _pieces(batch.column("text")):
-                points, at, _ = characters(batch.column("text").slice(i, j - i))
-                kept.append(counted(points, at, which[i:j].astype(np.int64)))
+                kept.append(counted_texts(batch.column("text").slice(i, j - i), which[i:j].astype(np.int64))[:3])
             if kept:
                 g, c, n = added(*(np.concatenate(x) for x in zip(*kept)))
                 yield pa.RecordBatch.from_arrays([langs.dictionary.take(pa.array(g)), pa.array(c.view(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "code", "n"])
@@ -186,8 +226,7 @@ def predict(docs: DataFrame, profile_rows: list[tuple[str, int, int]], size: int
         names = np.array([*langs, "und"], dtype=object)
         for batch in batches:
             for i, j in _pieces(batch.column("text")):
-                points, at, letters = characters(batch.column("text").slice(i, j - i))
-                g, c, n = counted(points, at, np.arange(j - i))
+                g, c, n, letters = counted_texts(batch.column("text").slice(i, j - i), np.arange(j - i))
                 order = by_frequency(g, n)
                 g, c = g[order], c[order]
                 first = np.searchsorted(g, np.arange(j - i + 1))

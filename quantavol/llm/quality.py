@@ -41,6 +41,8 @@ IS_LEAD = np.array([b & 0xC0 != 0x80 for b in range(256)])
 
 
 def _doc_sums(flag: np.ndarray, at: np.ndarray) -> np.ndarray:
+    if len(at) <= 4:  # few, perhaps very long texts: no running sum over all bytes
+        return np.array([np.count_nonzero(flag[a:z]) for a, z in zip(at[:-1].tolist(), at[1:].tolist())], dtype=np.int64)
     total = np.concatenate(([0], np.cumsum(flag, dtype=np.int64)))
     return total[at[1:]] - total[at[:-1]]
 

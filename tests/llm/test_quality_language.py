@@ -86,6 +86,14 @@ def test_grams():
     assert letters.tolist() == [7, 0, 2, 1]
 
 
+@pytest.mark.parametrize("text", ["Ça va? It's \n\n 12 über-Straße. " * 9, "  " * 40 + "é" * 90, "x" * 100, "日本語" * 30 + " a", ". " * 60])
+def test_long_texts_by_pieces(monkeypatch, text):
+    whole = language.counted_texts(pa.array([text]), np.array([3]))
+    for most in (7, 16, 40):
+        monkeypatch.setattr(language, "AT_ONCE", most)
+        assert [x.tolist() for x in language.counted_texts(pa.array([text]), np.array([3]))] == [x.tolist() for x in whole]
+
+
 def test_packed_order():
     rng = np.random.default_rng(3)
     g, n = np.sort(rng.integers(0, 9, 500)), rng.integers(1, 6, 500)
