@@ -20,6 +20,8 @@ from quantavol.llm._common import Stage, n_words, need
 
 #: Membership patterns and sources the driver may hold; beyond that the plan is refused, not cut.
 MOST_PATTERNS = 200_000
+#: Rows (patterns) that are broadcast: some hundred bytes each.
+BROADCAST_PATTERNS = 10_000
 #: Hash buckets of a pattern's documents; only the bucket in which a share ends is sorted.
 BUCKETS = 4096
 #: Times that what is missing of a share is filled with documents small enough for it.
@@ -159,6 +161,8 @@ def mix(
     sums = keyed.groupBy("_pattern").agg(F.sum("_size").alias("n")).limit(MOST_PATTERNS + 1).collect()
     if len(sums) > MOST_PATTERNS:
         raise ValueError(f"more than {MOST_PATTERNS} membership patterns: merge sources first")
+    # Tables with a row a pattern are broadcast where they are small; else joins choose by size as they run.
+    small = F.broadcast if len(sums) <= BROADCAST_PATTERNS else (lambda df: df)
     names = sorted({s for r in sums for s in r["_pattern"]}, key=lambda s: (s is None, [ord(c) for c in s or ""]))
     number = {s: i for i, s in enumerate(names)}
     sizes = [0] * len(names)
@@ -187,7 +191,7 @@ def mix(
     edge = stage.table(plan.withColumn("_gap", F.col("_rest")), "edge-0", "snappy")
     here = F.struct("_order", "_doc", "_size")
     for k in range(ROUNDS):
-        open_ = keyed.join(F.broadcast(edge), F.col("_pattern").eqNullSafe(F.col("_p"))).filter(~_taken(k, F.col("_bucket"), here) & (F.col("_size") > 0) & (F.col("_size") <= F.col("_gap")))
+        open_ = keyed.join(small(edge), F.col("_pattern").eqNullSafe(F.col("_p"))).filter(~_taken(k, F.col("_bucket"), here) & (F.col("_size") > 0) & (F.col("_size") <= F.col("_gap")))
         # Sizes by (pattern, bucket) show in which bucket a share ends; only that one is put in order.
         w = Window.partitionBy("_p").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
         sums = open_.groupBy("_p", "_bucket", "_gap").agg(F.sum("_size").alias("n")).withColumn("_to", F.sum("n").over(w))
@@ -195,12 +199,12 @@ def mix(
         first = F.min(F.when(F.col("_to") > F.col("_gap"), F.struct("_bucket", (F.col("_to") - F.col("n")).alias("_before"))))
         ends = sums.groupBy("_p").agg(first.alias("e"), F.max("_to").alias("_all")).select("_p", F.coalesce("e._bucket", F.lit(BUCKETS)).alias("_end"), F.coalesce("e._before", "_all").alias("_before"))
         ends = stage.table(ends, f"ends-{k}", "snappy").withColumnRenamed("_p", "_q")
-        inside = open_.join(F.broadcast(ends), F.col("_p").eqNullSafe(F.col("_q")) & (F.col("_bucket") == F.col("_end")))
+        inside = open_.join(small(ends), F.col("_p").eqNullSafe(F.col("_q")) & (F.col("_bucket") == F.col("_end")))
         v = Window.partitionBy("_q").orderBy(F.struct("_order", "_doc", "_size")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
         cut = inside.withColumn("_sum", F.sum("_size").over(v) + F.col("_before")).filter(F.col("_sum") <= F.col("_gap"))
         cut = cut.groupBy("_q").agg(F.max(here).alias("_last"), F.max("_sum").alias("_filled")).withColumnRenamed("_q", "_r")
         # Bucket and last document to which this round goes, and the sizes that it takes.
-        done = edge.join(F.broadcast(ends), F.col("_p").eqNullSafe(F.col("_q")), "left").join(F.broadcast(cut), F.col("_p").eqNullSafe(F.col("_r")), "left")
+        done = edge.join(small(ends), F.col("_p").eqNullSafe(F.col("_q")), "left").join(small(cut), F.col("_p").eqNullSafe(F.col("_r")), "left")
         edge = stage.table(
             done.select(
                 *(c for c in edge.columns if c != "_gap"),
@@ -210,7 +214,7 @@ def mix(
             f"edge-{k + 1}", "snappy",
         )
     filler = (
-        keyed.join(F.broadcast(edge), F.col("_pattern").eqNullSafe(F.col("_p")))
+        keyed.join(small(edge), F.col("_pattern").eqNullSafe(F.col("_p")))
         .filter(~_taken(ROUNDS, F.col("_bucket"), here) & (F.abs(F.col("_size") - F.col("_gap")) < F.col("_gap")))
         .groupBy("_p").agg(F.min(F.struct(F.abs(F.col("_size") - F.col("_gap")).alias("_off"), here.alias("_row")))["_row"].alias("_fill"))
     )
@@ -224,8 +228,8 @@ def mix(
     row = F.struct("_order", "_doc", "_size")
     extra = _taken(ROUNDS, F.col("_bucket"), row) | F.coalesce(row == F.col("_fill"), F.lit(False))
     return (
-        rows.join(F.broadcast(info), F.col("_pattern").eqNullSafe(F.col("_q")))
-        .join(F.broadcast(edge), F.col("_pattern").eqNullSafe(F.col("_p")), "left")
+        rows.join(small(info), F.col("_pattern").eqNullSafe(F.col("_q")))
+        .join(small(edge), F.col("_pattern").eqNullSafe(F.col("_p")), "left")
         .withColumn("_copies", F.coalesce(F.when(F.col("_size") > 0, F.least(F.lit(most).cast("long"), F.col("_whole") + extra.cast("long"))), F.lit(0)).cast("long"))
         .select(*(F.col("_row")[c].alias(c) for c in docs.columns), *(F.col(f"_{c}").alias(a) for c, a in zip(ADDED, added)))
     )

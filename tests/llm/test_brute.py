@@ -106,6 +106,8 @@ def slow_mix(rows, weights=(5, 2, 1), most=3):
     return out
 
 
-def test_selection_of_the_mix(spark, docs, corpus):
+@pytest.mark.parametrize("broadcast", [10_000, 0])
+def test_selection_of_the_mix(spark, docs, corpus, monkeypatch, broadcast):
+    monkeypatch.setattr(mixing, "BROADCAST_PATTERNS", broadcast)
     rows = [(i, len(WORD.findall(text or "")), source) for i, text, _, source in corpus]
     assert {r["doc_id"]: r["taken"] for r in mixing.mix_documents(spark, docs).collect()} == slow_mix(rows)
