@@ -382,7 +382,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 80, wid
 
     # Pieces of work: a group, or a chunk of a large one in the order of nodes.
     size = groups.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-    sized = groups.join(size, "root").select("node", "root", "size")
+    sized = _of_root(groups.select("node", "root"), size.filter(F.col("size") > forest.chunk), "left").withColumn("size", F.coalesce("size", F.lit(1)))
     chunks = F.ceil(F.col("size") / forest.chunk).cast("int")
     cut = stage.table(sized.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks").cast("int")), "chunks", "snappy")
     ids = docs.select(F.col("doc_id").cast("long").alias("node"), "text")
@@ -402,7 +402,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 80, wid
             left = apart.agg(F.sum("parts").alias("n")).first()["n"]
             if not left:
                 break
-            now = stage.table(now.join(apart.select(F.col("root").alias("open")), F.col("root") == F.col("open")).drop("open"), f"open-{k}", "snappy")
+            now = stage.table(_of_root(now, apart.select("root"), "inner"), f"open-{k}", "snappy")
             if before is None or 5 * left <= 4 * before:
                 before = left
                 w = Window.partitionBy("root", "part").orderBy("node")
@@ -446,6 +446,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 80, wid
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
+#: Shares that the rows of a root are dealt over in joins with facts of roots.
+SALTS = 64
+
+
+def _of_root(rows: DataFrame, facts: DataFrame, how: str) -> DataFrame:
+    """rows (node, root, ...) with facts of some roots, the large or open ones; a root may have a third of all rows."""
+    names = [F.col(c) for c in (*rows.columns, *(c for c in facts.columns if c != "root"))]
+    many = facts.withColumnRenamed("root", "of").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = rows.withColumn("share", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    return dealt.join(many, (F.col("root") == F.col("of")) & (F.col("share") == F.col("salt")), how).select(*names)
+
+
 def _union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
