@@ -22,6 +22,8 @@ from quantavol.sources import files
 Codebook = scalar.ScalarCodebook | vector.VectorCodebook
 CHUNKS = "chunk int, n_bytes long, payload binary"
 CHUNKS_WITH_BOOKS = CHUNKS + ", book binary"
+#: Small chunks that make a batch.
+MOST_ROWS = 4096
 
 
 # Codebooks as they stand in containers: codewords as big-endian u16, then counts as big-endian i64.
@@ -85,8 +87,7 @@ def encode(chosen: DataFrame, options: QuantOptions, book: Codebook, first: int
         return chosen.select("z", "data", layers).groupBy("layer").applyInArrow(layer, CHUNKS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for z, data in _planes(batches):
-            yield from _chunk(z - first, code.encode(book.encode(_vectors(data, dims, tile, wrap)))).to_batches()
+        return _chunk_batches((z - first, code.encode(book.encode(_vectors(data, dims, tile, wrap))), None) for z, data in _planes(batches))
 
     return chosen.mapInArrow(run, CHUNKS)
 
@@ -104,9 +105,9 @@ def compress_raw(spark: SparkSession, options: QuantOptions, book: Codebook | No
     code = HuffmanCode(book.frequencies) if book is not None else None
     deep = tile.z if tile and tile.z > 1 else 1
     chunks = tiling.layer_count(selected.z, deep) if deep > 1 else selected.z
-    tasks = max(1, min(chunks, -(-2 * selected.count // files.partition_bytes(2 * selected.count))))
+    tasks = -(-chunks // files.items_each(chunks, -(-2 * selected.count // chunks)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes, bytes | None]]:
         fs, place = files.locate(path)
         with fs.open_input_file(place) as file:
             for batch in batches:
@@ -116,10 +117,13 @@ def compress_raw(spark: SparkSession, options: QuantOptions, book: Codebook | No
                     data = np.frombuffer(raw, dtype="<u2" if little else ">u2").astype(np.int32)
                     vecs = data if tile is None else tiling.gather(data, box, tile, wrap)
                     if code is not None:
-                        yield from _chunk(number, code.encode(book.encode(vecs))).to_batches()
+                        yield number, code.encode(book.encode(vecs)), None
                     else:
                         own = _train_plane(vecs, k, tile, init, seed)
-                        yield from _chunk(number, HuffmanCode(own.frequencies).encode(own.encode(vecs)), book_bytes(own)).to_batches()
+                        yield number, HuffmanCode(own.frequencies).encode(own.encode(vecs)), book_bytes(own)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _chunk_batches(coded(batches))
 
     return spark.range(0, chunks, 1, tasks).mapInArrow(run, CHUNKS if code is not None else CHUNKS_WITH_BOOKS)
 
@@ -128,11 +132,14 @@ def _compress_each(chosen: DataFrame, options: QuantOptions, first: int) -> Data
     k, dims, tile, wrap = options.codebook_size, options.dims, options.tile, options.wrap
     init, seed = options.init, options.seed
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes, bytes]]:
         for z, data in _planes(batches):
             vecs = _vectors(data, dims, tile, wrap)
             book = _train_plane(vecs, k, tile, init, seed)
-            yield from _chunk(z - first, HuffmanCode(book.frequencies).encode(book.encode(vecs)), book_bytes(book)).to_batches()
+            yield z - first, HuffmanCode(book.frequencies).encode(book.encode(vecs)), book_bytes(book)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _chunk_batches(coded(batches))
 
     return chosen.mapInArrow(run, CHUNKS_WITH_BOOKS)
 
@@ -165,9 +172,27 @@ def _vectors(data: np.ndarray, dims: Dims, tile: Dims | None, wrap) -> np.ndarra
     return data if tile is None else tiling.gather(data, Dims(dims.x, dims.y), Dims(tile.x, tile.y), wrap)
 
 
-def _chunk(number: int, payload: bytes, book: bytes | None = None) -> pa.Table:
-    out = {"chunk": pa.array([number], type=pa.int32()), "n_bytes": pa.array([len(payload)], type=pa.int64()), "payload": pa.array([payload], type=pa.binary())}
-    return pa.table(out | ({"book": pa.array([book], type=pa.binary())} if book is not None else {}))
+def _chunk(number: int, payload: bytes) -> pa.Table:
+    return pa.Table.from_batches([_chunk_batch([(number, payload, None)])])
+
+
+def _chunk_batches(chunks: Iterator[tuple[int, bytes, bytes | None]]) -> Iterator[pa.RecordBatch]:
+    """(chunk, payload, book) as batches of some megabytes; small chunks don't cost a batch each."""
+    held, size = [], 0
+    for c in chunks:
+        held.append(c)
+        size += len(c[1]) + len(c[2] or b"")
+        if size >= files.AT_ONCE or len(held) >= MOST_ROWS:
+            yield _chunk_batch(held)
+            held, size = [], 0
+    if held:
+        yield _chunk_batch(held)
+
+
+def _chunk_batch(held: list[tuple[int, bytes, bytes | None]]) -> pa.RecordBatch:
+    numbers, payloads, books = zip(*held)
+    out = {"chunk": pa.array(numbers, type=pa.int32()), "n_bytes": pa.array([len(p) for p in payloads], type=pa.int64()), "payload": pa.array(payloads, type=pa.binary())}
+    return pa.RecordBatch.from_pydict(out | ({"book": pa.array(books, type=pa.binary())} if books[0] is not None else {}))
 
 
 def chunk_dims(number: int, dims: Dims, tile: Dims | None) -> Dims:
@@ -186,7 +211,7 @@ def decompress(chunks: DataFrame, dims: Dims, tile: Dims | None, k: int, book: C
         raise ValueError("no codebook: neither shared nor in the chunks")
     shared = HuffmanCode(book.frequencies) if book is not None else None
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for b in batches:
             for i, number in enumerate(b.column("chunk").to_pylist()):
                 own = book if book is not None else book_of_bytes(b.column("book")[i].as_py(), k, tile)
@@ -196,12 +221,28 @@ def decompress(chunks: DataFrame, dims: Dims, tile: Dims | None, k: int, book: C
                 values = own.decode(code.decode(b.column("payload")[i].as_py(), n))
                 flat = tiling.scatter(values, box, tile) if tile else values
                 z = first + (number * tile.z if tile and tile.z > 1 else number) + np.arange(box.z)
-                yield pa.RecordBatch.from_arrays([pa.array(z.astype(np.int32)), tiling.list_column(flat.reshape(box.z, -1))], names=["z", "data"])
+                yield z, flat.reshape(box.z, -1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for z, rows in decoded(batches):
+            held.append((z, rows))
+            size += rows.size * 4
+            if size >= files.AT_ONCE or len(held) >= MOST_ROWS:
+                yield _plane_batch(held)
+                held, size = [], 0
+        if held:
+            yield _plane_batch(held)
 
     wanted = ["chunk", "payload"] + (["book"] if book is None else [])
     return chunks.select(*wanted).mapInArrow(run, "z int, data array<int>")
 
 
+def _plane_batch(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    zs, rows = (np.concatenate(x) for x in zip(*held))
+    return pa.RecordBatch.from_arrays([pa.array(zs.astype(np.int32)), tiling.list_column(rows)], names=["z", "data"])
+
+
 def quantize(planes: DataFrame, options: QuantOptions, book: Codebook) -> DataFrame:
     """Planes as they come back from coding and decoding, without packing."""
     if options.tile is None:

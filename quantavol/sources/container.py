@@ -10,7 +10,7 @@ import struct
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from typing import NamedTuple
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,9 @@ from quantavol.sources import files
 # Fixed values of the format: mark, and a big-endian header of kind, bits, book-a-chunk, volume and tile dimensions.
 MAGIC = b"QCMPFILE"
 FIXED = ">8sBB?6H"
-SIZES_AT = struct.calcsize(FIXED)
+# Volumes of more than 65,535 planes don't fit that header: their mark differs, and the number of planes has 32 bits.
+DEEP_MAGIC = b"QCMPDEEP"
+DEEP_FIXED = ">8sBB?HHI3H"
 CHUNK_ROWS = "chunk int, n_bytes long, payload binary, book binary"
 
 
@@ -48,9 +50,13 @@ class Header:
     def chunks(self) -> int:
         return tiling.layer_count(self.dims.z, self.tile.z) if self.kind is Quantization.VECTOR_3D else self.dims.z
 
+    @property
+    def deep(self) -> bool:
+        return self.dims.z > 65535
+
     @property
     def size(self) -> int:
-        return SIZES_AT + 4 * self.chunks
+        return struct.calcsize(DEEP_FIXED if self.deep else FIXED) + 4 * self.chunks
 
     @property
     def body_size(self) -> int:
@@ -69,27 +75,33 @@ class Header:
             out.append("no tile")
         return out
 
+    def pack_fixed(self) -> bytes:
+        """The header without the sizes of payloads."""
+        if max(self.dims.x, self.dims.y, *(self.tile or (0,))) > 65535 or self.dims.z >= 1 << 32:
+            raise OptionError("the container holds planes and tiles up to 65535 wide and high, and 2^32 - 1 planes")
+        mark, fixed = (DEEP_MAGIC, DEEP_FIXED) if self.deep else (MAGIC, FIXED)
+        return struct.pack(fixed, mark, int(self.kind), self.bits, self.book_each, *self.dims, *(self.tile or (0, 0, 0)))
+
     def pack(self) -> bytes:
-        top = max(*self.dims, *(self.tile or (0,)))
-        if top > 65535:
-            raise OptionError("the container holds dimensions up to 65535")
         if max(self.sizes, default=0) >= 1 << 32:
             raise OptionError("the container holds chunks below 4 GB")
-        fixed = struct.pack(FIXED, MAGIC, int(self.kind), self.bits, self.book_each, *self.dims, *(self.tile or (0, 0, 0)))
         sizes = self.sizes or [0] * self.chunks
-        return fixed + struct.pack(f">{len(sizes)}I", *sizes)
+        return self.pack_fixed() + struct.pack(f">{len(sizes)}I", *sizes)
 
     @classmethod
     def unpack(cls, data: bytes) -> Header:
-        if len(data) < SIZES_AT or data[:8] != MAGIC:
+        layout = DEEP_FIXED if data[:8] == DEEP_MAGIC else FIXED
+        if len(data) < struct.calcsize(layout) or data[:8] not in (MAGIC, DEEP_MAGIC):
             raise OptionError("no container: the mark is missing")
-        _, kind, bits, each, *six = struct.unpack_from(FIXED, data)
+        _, kind, bits, each, *six = struct.unpack_from(layout, data)
         tile = Dims(*six[3:]) if all(six[3:]) else None
         head = cls(Quantization.of_code(kind), bits, each, Dims(*six[:3]), tile)
         if head.kind is Quantization.VECTOR_3D and tile is None:
             raise OptionError("no container: 3-D tiles without dimensions")
+        if head.deep != (layout == DEEP_FIXED):
+            raise OptionError(f"no container: the mark doesn't go with {head.dims.z} planes")
         if len(data) >= head.size:
-            head.sizes = list(struct.unpack_from(f">{head.chunks}I", data, SIZES_AT))
+            head.sizes = list(struct.unpack_from(f">{head.chunks}I", data, struct.calcsize(layout)))
         return head
 
     @classmethod
@@ -98,7 +110,7 @@ class Header:
 
 
 def read_header(path: str) -> Header:
-    head = Header.unpack(files.read_range(path, 0, SIZES_AT))
+    head = Header.unpack(files.read_range(path, 0, struct.calcsize(DEEP_FIXED)))
     return Header.unpack(files.read_range(path, 0, head.size))
 
 
@@ -111,31 +123,23 @@ def check_file(path: str, head: Header) -> None:
         raise OptionError(f"{path} has {n} bytes; its header tells of {head.size + head.body_size}")
 
 
-class Span(NamedTuple):
-    chunk: int
-    book_at: int
+@dataclass
+class Spans(InputPartition):
+    """Neighbouring chunks: the first one's number, where it begins in the file, and sizes of payloads."""
+
+    first: int
     at: int
-    n: int
+    sizes: np.ndarray
 
 
-def spans(head: Header) -> list[Span]:
-    """Where codebooks and payloads stand in the file."""
+def spans(head: Header) -> list[Spans]:
+    """The chunks of a file in partitions. A chunk is its codebook, if each has one, and its payload."""
     book = codec.book_size(head.k, head.tile)
-    at, out = head.size, []
-    shared = at
-    if not head.book_each:
-        at += book
-    for i, n in enumerate(head.sizes):
-        own = at if head.book_each else shared
-        at += book if head.book_each else 0
-        out.append(Span(i, own, at, n))
-        at += n
-    return out
-
-
-@dataclass
-class Spans(InputPartition):
-    spans: list[Span]
+    sizes, own = np.array(head.sizes, dtype=np.int64), book if head.book_each else 0
+    ends = head.size + (0 if head.book_each else book) + np.cumsum(sizes + own)
+    # Payloads unpack to several times their size.
+    each = files.items_each(head.chunks, 4 * 2 * -(-head.dims.count // max(head.chunks, 1)))
+    return [Spans(i, int(ends[i] - sizes[i] - own), sizes[i : i + each]) for i in range(0, len(sizes), each)] or [Spans(0, head.size, sizes)]
 
 
 class ContainerReader(DataSourceReader):
@@ -143,61 +147,65 @@ class ContainerReader(DataSourceReader):
         self.path, self.head = path, head
 
     def partitions(self) -> list[Spans]:
-        out, held, size = [], [], 0
-        # Payloads unpack to several times their size.
-        most = files.partition_bytes(2 * self.head.dims.count) // 4
-        for s in spans(self.head):
-            held.append(s)
-            size += s.n
-            if size >= most:
-                out.append(Spans(held))
-                held, size = [], 0
-        return [*out, Spans(held)] if held or not out else out
+        return spans(self.head)
 
     def read(self, partition: Spans) -> Iterator[pa.RecordBatch]:
         fs, path = files.locate(self.path)
-        book_size = codec.book_size(self.head.k, self.head.tile)
-        if partition.spans:
-            with fs.open_input_file(path) as f:
-                for s in partition.spans:
-                    yield pa.RecordBatch.from_pydict(
-                        {"chunk": pa.array([s.chunk], type=pa.int32()), "n_bytes": pa.array([s.n], type=pa.int64()), "payload": pa.array([f.read_at(s.n, s.at)], type=pa.binary()), "book": pa.array([f.read_at(book_size, s.book_at)], type=pa.binary())}
-                    )
+        book_size, sizes = codec.book_size(self.head.k, self.head.tile), partition.sizes
+        own = book_size if self.head.book_each else 0
+        if not len(sizes):
+            return
+        with fs.open_input_file(path) as f:
+            shared = None if own else f.read_at(book_size, self.head.size)
+            # A row has its codebook, also where all share one.
+            ends, group = partition.at + np.cumsum(sizes + own), np.cumsum(sizes + book_size) // files.AT_ONCE
+            for i, j in pairwise([0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(sizes)]):
+                begin = int(ends[i] - sizes[i] - own)
+                data = f.read_at(int(ends[j - 1]) - begin, begin)
+                to = (ends[i:j] - begin).tolist()
+                payloads = [data[b - n : b] for b, n in zip(to, sizes[i:j].tolist())]
+                books = [data[b - n - own : b - n] for b, n in zip(to, sizes[i:j].tolist())] if own else [shared] * (j - i)
+                yield pa.RecordBatch.from_pydict(
+                    {"chunk": pa.array(np.arange(partition.first + i, partition.first + j, dtype=np.int32)), "n_bytes": pa.array(sizes[i:j]), "payload": pa.array(payloads, type=pa.binary()), "book": pa.array(books, type=pa.binary())}
+                )
 
 
 @dataclass
 class Parts(WriterCommitMessage):
-    parts: list[tuple[int, int, str]]
+    parts: list[files.Staged]
 
 
 class ContainerWriter(DataSourceArrowWriter):
-    """Tasks write chunks to files of their own; the commit knows all sizes, so the header is written once."""
+    """Each task writes its chunks to a file of its own; the commit knows all sizes, so the header is written once."""
 
     def __init__(self, path: str, head: Header, shared_book: bytes):
         self.path, self.head, self.shared_book = path, head, shared_book
         self.staging = f"{path}.parts-{uuid.uuid4().hex}"
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Parts:
-        out = []
-        for b in iterator:
-            books = b.column("book").to_pylist() if "book" in b.schema.names else [None] * b.num_rows
-            for number, payload, book in zip(b.column("chunk").to_pylist(), b.column("payload").to_pylist(), books):
-                name = f"{self.staging}/{number}-{uuid.uuid4().hex}"
-                files.write_all(name, [book or b"", payload] if self.head.book_each else [payload])
-                out.append((number, len(payload), name))
-        return Parts(out)
+        book_size = codec.book_size(self.head.k, self.head.tile)
+
+        def chunks() -> Iterator[tuple[int, bytes]]:
+            for b in iterator:
+                books = b.column("book").to_pylist() if self.head.book_each else [b""] * b.num_rows
+                for number, payload, book in zip(b.column("chunk").to_pylist(), b.column("payload").to_pylist(), books):
+                    if self.head.book_each and len(book or b"") != book_size:
+                        raise OptionError(f"chunk {number} has no codebook of {book_size} bytes")
+                    yield number, book + payload
+
+        return Parts(files.stage(self.staging, chunks()))
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
-        parts = sorted(p for m in messages if m for p in m.parts)
-        if [p[0] for p in parts] != list(range(self.head.chunks)):
+        joined = files.Joined([p for m in messages if m for p in m.parts])
+        if not np.array_equal(joined.numbers, np.arange(self.head.chunks)):
             raise OptionError(f"chunks 0..{self.head.chunks - 1} are wanted, each once")
-        self.head.sizes = [p[1] for p in parts]
+        own = codec.book_size(self.head.k, self.head.tile) if self.head.book_each else 0
+        self.head.sizes = (joined.sizes - own).tolist()
 
         def body() -> Iterator[bytes]:
             yield self.head.pack()
             yield self.shared_book
-            for _, _, name in parts:
-                yield files.read_all(name)
+            yield from joined.data()
 
         files.write_all(self.path, body())
         files.remove(self.staging)
@@ -207,7 +215,7 @@ class ContainerWriter(DataSourceArrowWriter):
 
 
 class VolumeContainer(DataSource):
-    """Options: path; to write also header (hex of the packed header) and book (hex of a shared codebook)."""
+    """Options: path; to write also header (hex of the packed header, sizes may be missing) and book (hex of a shared codebook)."""
 
     @classmethod
     def name(cls) -> str:
@@ -237,7 +245,7 @@ def write_container(chunks: DataFrame, path: str, head: Header, book: codec.Code
     register(chunks.sparkSession)
     shared = b"" if head.book_each else codec.book_bytes(book)
     columns = ["chunk", "n_bytes", "payload"] + (["book"] if head.book_each else [])
-    chunks.select(*columns).write.format("qvol").option("header", head.pack().hex()).option("book", shared.hex()).mode("append").save(path)
+    chunks.select(*columns).write.format("qvol").option("header", head.pack_fixed().hex()).option("book", shared.hex()).mode("append").save(path)
 
 
 def read_container(spark: SparkSession, path: str) -> tuple[DataFrame, Header, codec.Codebook | None]:

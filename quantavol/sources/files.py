@@ -3,15 +3,31 @@
 from __future__ import annotations
 
 import os
+import uuid
+from collections import OrderedDict
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow.fs as pafs
 
+#: Bytes read or passed on at once, where items are smaller.
+AT_ONCE = 4 << 20
+#: Staged files that a commit holds open.
+MOST_OPEN = 64
+
 
 def partition_bytes(total: int) -> int:
     """Bytes of one partition: a 256th of all, but 8 MB at least, as each starts a reader, and 128 MB at most."""
     return min(128 << 20, max(8 << 20, total // 256))
 
 
+def items_each(n: int, size: int) -> int:
+    """Items of one partition, of n items of about `size` bytes. Small items cost time of their own, so a
+    partition has a 64th of them at most, but may have 256."""
+    return max(1, min(partition_bytes(n * size) // max(size, 1), max(256, -(-n // 64))))
+
+
 def locate(uri: str) -> tuple[pafs.FileSystem, str]:
     """The file system of a URI and the path in it."""
     for hadoop in ("s3a://", "s3n://"):
@@ -56,6 +72,73 @@ def write_all(uri: str, parts) -> int:
     return n
 
 
+@dataclass
+class Staged:
+    """One task's file of items: their numbers and sizes in the order in which they stand there."""
+
+    name: str
+    numbers: np.ndarray
+    sizes: np.ndarray
+
+
+def stage(folder: str, items: Iterable[tuple[int, bytes]]) -> list[Staged]:
+    """Writes a task's numbered items to one file of its own; no file without items."""
+    name, numbers, sizes = f"{folder}/{uuid.uuid4().hex}", [], []
+
+    def parts() -> Iterator[bytes]:
+        for number, data in items:
+            numbers.append(number)
+            sizes.append(len(data))
+            yield data
+
+    every = parts()
+    first = next(every, None)
+    if first is None:
+        return []
+    write_all(name, (p for part in ([first], every) for p in part))
+    return [Staged(name, np.array(numbers, dtype=np.int64), np.array(sizes, dtype=np.int64))]
+
+
+class Joined:
+    """Staged items in order of their numbers. Items that stand side by side in a file are read together."""
+
+    def __init__(self, staged: list[Staged]):
+        self.staged = staged
+        sizes = np.concatenate([s.sizes for s in staged] or [np.zeros(0, dtype=np.int64)])
+        numbers = np.concatenate([s.numbers for s in staged] or [np.zeros(0, dtype=np.int64)])
+        owner = np.repeat(np.arange(len(staged)), [len(s.sizes) for s in staged])
+        at = np.concatenate([np.cumsum(s.sizes) - s.sizes for s in staged] or [np.zeros(0, dtype=np.int64)])
+        order = np.argsort(numbers, kind="stable")
+        self.numbers, self.sizes, self.owner, self.at = numbers[order], sizes[order], owner[order], at[order]
+
+    def data(self) -> Iterator[bytes]:
+        if not len(self.sizes):
+            return
+        ends = self.at + self.sizes
+        cuts = np.append(np.flatnonzero((self.owner[1:] != self.owner[:-1]) | (self.at[1:] != ends[:-1])) + 1, len(ends))
+        held: OrderedDict[int, object] = OrderedDict()
+        begin = 0
+        try:
+            for end in cuts.tolist():
+                who, at, stop = int(self.owner[begin]), int(self.at[begin]), int(ends[end - 1])
+                if who not in held:
+                    if len(held) >= MOST_OPEN:
+                        held.popitem(last=False)[1].close()
+                    fs, path = locate(self.staged[who].name)
+                    held[who] = fs.open_input_file(path)
+                held.move_to_end(who)
+                while at < stop:
+                    piece = held[who].read_at(min(AT_ONCE, stop - at), at)
+                    if not piece:
+                        raise OSError(f"{self.staged[who].name} is cut short")
+                    at += len(piece)
+                    yield piece
+                begin = end
+        finally:
+            for f in held.values():
+                f.close()
+
+
 def remove(uri: str) -> None:
     fs, path = locate(uri)
     info = fs.get_file_info(path)

@@ -3,7 +3,7 @@
 `spark.read.format("u16raw")` gives the plane form: one partition for some planes, each read by a
 seek; the option `planes` reads some planes only. (Filters aren't pushed to the reader: Spark 4.1
 keeps a reader with its filters for later scans of one DataFrame that have none.) `df.write.format("u16raw")` writes one file: tasks write
-their planes to files beside it, which the commit joins in order of z.
+their planes to a file each beside it, which the commit joins in order of z.
 """
 
 from __future__ import annotations
@@ -45,6 +45,15 @@ def set_text(planes: list[int]) -> str:
     return ",".join(f"{at[i]}-{at[j - 1]}" for i, j in zip(cuts, [*cuts[1:], len(at)]))
 
 
+def _runs(planes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Neighbours in a list of planes as (first, end), `most` planes at once."""
+    begin = 0
+    for i in range(1, len(planes) + 1):
+        if i == len(planes) or planes[i] != planes[i - 1] + 1 or i - begin == most:
+            yield planes[begin], planes[i - 1] + 1
+            begin = i
+
+
 @dataclass
 class PlaneRange(InputPartition):
     planes: list[int]
@@ -55,7 +64,7 @@ class RawVolumeReader(DataSourceReader):
         self.path, self.dims, self.planes, self.little = path, dims, planes, little
 
     def partitions(self) -> list[PlaneRange]:
-        each = max(1, files.partition_bytes(2 * self.dims.plane * len(self.planes)) // (2 * self.dims.plane))
+        each = files.items_each(len(self.planes), 2 * self.dims.plane)
         return [PlaneRange(self.planes[i : i + each]) for i in range(0, len(self.planes), each)] or [PlaneRange([])]
 
     def read(self, partition: PlaneRange) -> Iterator[pa.RecordBatch]:
@@ -63,14 +72,14 @@ class RawVolumeReader(DataSourceReader):
         fs, path = files.locate(self.path)
         if partition.planes:
             with fs.open_input_file(path) as f:
-                for z in partition.planes:
-                    data = np.frombuffer(f.read_at(n, z * n), dtype="<u2" if self.little else ">u2")
-                    yield pa.RecordBatch.from_arrays([pa.array([z], type=pa.int32()), list_column(data.astype(np.int32)[None, :])], names=["z", "data"])
+                for a, b in _runs(partition.planes, max(1, files.AT_ONCE // n)):
+                    data = np.frombuffer(f.read_at((b - a) * n, a * n), dtype="<u2" if self.little else ">u2")
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(a, b, dtype=np.int32)), list_column(data.astype(np.int32).reshape(b - a, -1))], names=["z", "data"])
 
 
 @dataclass
 class Written(WriterCommitMessage):
-    parts: list[tuple[int, str]]
+    parts: list[files.Staged]
 
 
 class RawVolumeWriter(DataSourceArrowWriter):
@@ -81,20 +90,18 @@ class RawVolumeWriter(DataSourceArrowWriter):
         self.staging = f"{path}.parts-{uuid.uuid4().hex}"
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
-        parts = []
-        for batch in iterator:
-            for i, z in enumerate(batch.column("z").to_pylist()):
-                data = batch.column("data")[i].values.to_numpy(zero_copy_only=False)
-                if self.dtype.endswith("u2") and len(data) and (data.min() < 0 or data.max() > 65535):
-                    raise ValueError(f"plane {z} has samples outside 0..65535")
-                name = f"{self.staging}/{z}-{uuid.uuid4().hex}"
-                files.write_all(name, [data.astype(self.dtype).tobytes()])
-                parts.append((z, name))
-        return Written(parts)
+        def planes() -> Iterator[tuple[int, bytes]]:
+            for batch in iterator:
+                for i, z in enumerate(batch.column("z").to_pylist()):
+                    data = batch.column("data")[i].values.to_numpy(zero_copy_only=False)
+                    if self.dtype.endswith("u2") and len(data) and (data.min() < 0 or data.max() > 65535):
+                        raise ValueError(f"plane {z} has samples outside 0..65535")
+                    yield z, data.astype(self.dtype).tobytes()
+
+        return Written(files.stage(self.staging, planes()))
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
-        parts = sorted(p for m in messages if m for p in m.parts)
-        files.write_all(self.path, (files.read_all(name) for _, name in parts))
+        files.write_all(self.path, files.Joined([p for m in messages if m for p in m.parts]).data())
         files.remove(self.staging)
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
