@@ -81,3 +81,18 @@ def test_staged_items_are_joined_in_order(tmp_path):
     assert len(staged) == len(files.names_in(folder)) == 90 and files.stage(folder, iter([])) == []
     joined = files.Joined(staged)
     assert joined.numbers.tolist() == list(range(500)) and b"".join(joined.data()) == b"".join(b"%d;" % i for i in range(500))
+
+
+def test_short_payloads_need_no_tables():
+    rng = np.random.default_rng(6)
+    for counts in ([1, 1], [5, 0, 0, 9, 2], [2**i for i in range(24)], rng.integers(0, 1000, 256).tolist()):
+        short, long = HuffmanCode(counts), HuffmanCode(counts)
+        long.tables()
+        s = rng.integers(0, len(counts), 700)
+        payload = short.encode(s)
+        assert (short.decode(payload, 700) == s).all() and (long.decode(payload, 700) == s).all() and short._windows is None
+        for code in (short, long):
+            with pytest.raises(ValueError):
+                code.decode(payload[:-2], 700)
+    lone = HuffmanCode([7])
+    assert lone.decode(lone.encode(np.zeros(9, dtype=np.int64)), 9).tolist() == [0] * 9
