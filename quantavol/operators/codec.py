@@ -150,7 +150,8 @@ class _PlaneVectors(vector.TrainingSet):
     def __init__(self, vecs: np.ndarray, seed: int):
         distinct, first, weight = np.unique(vecs, axis=0, return_index=True, return_counts=True)
         order = np.argsort(first, kind="stable")
-        self.local, self.distinct, self.width, self.seed = (distinct[order].astype(np.int64), weight[order]), len(distinct), vecs.shape[1], seed
+        vectors = distinct[order].astype(np.int64)
+        self.local, self.distinct, self.width, self.seed = (vectors, weight[order], vector.member_hash(vectors, seed)), len(distinct), vecs.shape[1], seed
 
     def close(self) -> None:
         pass

@@ -1,8 +1,8 @@
 """Vector quantization: LBG training and nearest codewords.
 
 Equal training vectors are counted first. Small sets of different vectors are trained on the
-driver; larger ones stay distributed, and each LBG iteration is one pass that assigns vectors and
-adds up per-codeword sums in the executors; what comes back is a row for each codeword.
+driver; larger ones stay distributed as blocks of samples, and each LBG iteration is one pass that assigns
+vectors and adds up per-codeword sums in the executors; what comes back is those sums, from few tasks.
 
 Distances are Euclidean; squared distances of unsigned 16-bit vectors are exact in doubles, and the
 first of equally near codewords wins.
@@ -10,11 +10,13 @@ first of equally near codewords wins.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -107,7 +109,8 @@ def member_hash(vecs: np.ndarray, seed: int) -> np.ndarray:
     return (h >> np.uint64(1)).astype(np.int64)
 
 
-def sums_of(vecs: np.ndarray, weight: np.ndarray, codebook: np.ndarray, seed: int) -> Sums:
+def sums_of(vecs: np.ndarray, weight: np.ndarray, codebook: np.ndarray, seed: int, hashes: np.ndarray | None = None) -> Sums:
+    """Sums of vectors with their weights; hashes: their member_hash(), if it is known."""
     k, width = codebook.shape
     ix, d2 = nearest(vecs, codebook)
     n = np.bincount(ix, weights=weight, minlength=k).astype(np.int64)
@@ -115,16 +118,18 @@ def sums_of(vecs: np.ndarray, weight: np.ndarray, codebook: np.ndarray, seed: in
     sq = np.bincount(ix, weights=weight * d2, minlength=k)
     total = np.zeros((k, width), dtype=np.int64)
     low, high = np.full((k, width), U16_MAX, dtype=np.int64), np.zeros((k, width), dtype=np.int64)
-    order = np.argsort(ix, kind="stable")
+    # Sorting small integers takes linear time.
+    order = np.argsort(ix.astype(np.uint16) if k <= 1 << 16 else ix, kind="stable")
     used, at = np.unique(ix[order], return_index=True)
     pick, member = np.full(k, np.iinfo(np.int64).max), np.zeros((k, width), dtype=np.int64)
     if len(used):
-        v = vecs[order].astype(np.int64)
+        v = vecs[order]
+        h = member_hash(v, seed) if hashes is None else hashes[order]
         total[used] = np.add.reduceat(v * weight[order].astype(np.int64)[:, None], at)
         low[used], high[used] = np.minimum.reduceat(v, at), np.maximum.reduceat(v, at)
-        h = member_hash(v, seed)
-        by = np.lexsort((h, ix[order]))
-        pick[used], member[used] = h[by][at], v[by][at]
+        pick[used] = np.minimum.reduceat(h, at)
+        least = np.flatnonzero(h == pick[ix[order]])
+        member[used] = v[least[np.searchsorted(least, at)]]
     return Sums(n, dist, sq, total, low, high, pick, member)
 
 
@@ -135,29 +140,27 @@ def merged(parts: list[Sums]) -> Sums:
     return Sums(*(x.sum(axis=0) for x in stack[:4]), stack[4].min(axis=0), stack[5].max(axis=0), stack[6][best, at], stack[7][best, at])
 
 
-SUMS = "ix int, n long, dist double, sq double, total array<long>, low array<long>, high array<long>, pick long, member array<long>"
+#: Samples of a block of a distributed training set, tasks whose sums go to the driver as they are, and tasks that add up those of more.
+BLOCK_SAMPLES, MOST_PARTS, ADDERS = 1 << 21, 32, 16
+PARTS = "task int, sums binary"
 
 
-def _sums_table(s: Sums) -> pa.Table:
+def _packed(s: Sums) -> bytes:
+    """Sums of the codewords that have vectors; components have 16 bits."""
     used = np.flatnonzero(s.n > 0)
-    lists = lambda a: pa.ListArray.from_arrays(pa.array(np.arange(len(used) + 1, dtype=np.int32) * a.shape[1]), pa.array(a[used].reshape(-1)))
-    return pa.table({"ix": pa.array(used.astype(np.int32)), "n": s.n[used], "dist": s.dist[used], "sq": s.sq[used], "total": lists(s.total), "low": lists(s.low), "high": lists(s.high), "pick": s.pick[used], "member": lists(s.member)})
+    small = {4, 5, 7}
+    return pickle.dumps((used, [x[used].astype(np.uint16) if i in small else x[used] for i, x in enumerate(s)]))
 
 
-def _sums_of_table(t: pa.Table, k: int, width: int) -> Sums:
-    """Sums of rows that may repeat codewords."""
+def _sums_of_parts(parts: list[bytes], k: int, width: int) -> Sums:
     out = Sums(np.zeros(k, dtype=np.int64), np.zeros(k), np.zeros(k), np.zeros((k, width), dtype=np.int64), np.full((k, width), U16_MAX, dtype=np.int64), np.zeros((k, width), dtype=np.int64), np.full(k, np.iinfo(np.int64).max), np.zeros((k, width), dtype=np.int64))
-    if not t.num_rows:
-        return out
-    ix = t.column("ix").to_numpy()
-    for a, name in zip(out[:3], ("n", "dist", "sq")):
-        np.add.at(a, ix, t.column(name).to_numpy())
-    np.add.at(out.total, ix, matrix(t.column("total")))
-    np.minimum.at(out.low, ix, matrix(t.column("low")))
-    np.maximum.at(out.high, ix, matrix(t.column("high")))
-    pick, member = t.column("pick").to_numpy(), matrix(t.column("member"))
-    for i in np.argsort(-pick, kind="stable"):
-        out.pick[ix[i]], out.member[ix[i]] = pick[i], member[i]
+    for part in parts:
+        used, s = pickle.loads(part)
+        for a, b in zip(out[:4], s[:4]):
+            a[used] += b
+        out.low[used], out.high[used] = np.minimum(out.low[used], s[4]), np.maximum(out.high[used], s[5])
+        less = s[6] < out.pick[used]
+        out.pick[used[less]], out.member[used[less]] = s[6][less], s[7][less]
     return out
 
 
@@ -168,17 +171,47 @@ class TrainingSet:
         self.width, self.seed = width, seed
         first = F.min(F.struct("z", "vec_ix")).alias("first") if {"z", "vec_ix"} <= set(vecs.columns) else F.lit(0).alias("first")
         counted = vecs.groupBy("vec").agg(F.count(F.lit(1)).alias("w"), first)
-        # Read once for every iteration, so it is kept; lost parts are made again from the input.
         self.rows = counted.persist()
         self.distinct = self.rows.count()
-        self.local: tuple[np.ndarray, np.ndarray] | None = None
+        self.local: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+        self.blocks: DataFrame | None = None
         if self.distinct * width <= local_samples:
             t = self.rows.orderBy("first", "vec").select("vec", "w").toArrow()
-            self.local = (matrix(t.column("vec")).astype(np.int64), t.column("w").to_numpy())
-            self.rows.unpersist()
+            vecs = matrix(t.column("vec")).astype(np.int64)
+            self.local = (vecs, t.column("w").to_numpy(), member_hash(vecs, seed))
+        else:
+            # Read once for every iteration, so they are kept; lost parts are made again from the input.
+            self.blocks = self._blocks().persist()
+            self.blocks.count()
+            self.parts = self.blocks.rdd.getNumPartitions()
+        self.rows.unpersist()
+
+    def _blocks(self) -> DataFrame:
+        """(vecs, w, h): many vectors of 16-bit components with their weights and hashes."""
+        width, seed = self.width, self.seed
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[tuple[np.ndarray, np.ndarray]] = []
+            for b in batches:
+                held.append((matrix(b.column("vec")).astype("<u2"), b.column("w").to_numpy()))
+                if sum(v.size for v, _ in held) >= BLOCK_SAMPLES:
+                    yield block(held)
+                    held = []
+            if sum(v.size for v, _ in held):
+                yield block(held)
+
+        def block(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+            v, w = np.concatenate([v for v, _ in held if v.size]), np.concatenate([w for v, w in held if v.size])
+            return pa.RecordBatch.from_pydict({n: pa.array([x.tobytes()], type=pa.binary()) for n, x in (("vecs", v.reshape(-1, width)), ("w", w.astype("<i8")), ("h", member_hash(v, seed).astype("<i8")))})
+
+        # Few tasks of one block or more each, as every pass starts them all.
+        tasks = max(self.rows.sparkSession.sparkContext.defaultParallelism, -(-self.distinct * width // BLOCK_SAMPLES))
+        return self.rows.select("vec", "w").coalesce(tasks).mapInArrow(run, "vecs binary, w binary, h binary")
 
     def close(self) -> None:
         self.rows.unpersist()
+        if self.blocks is not None:
+            self.blocks.unpersist()
 
     def first_vectors(self, k: int) -> np.ndarray:
         """The different vectors in the order in which they first stand (at most k)."""
@@ -188,23 +221,26 @@ class TrainingSet:
 
     def sums(self, codebook: np.ndarray) -> Sums:
         if self.local:
-            return sums_of(*self.local, codebook, self.seed)
+            return sums_of(self.local[0], self.local[1], codebook, self.seed, self.local[2])
         k, width, seed = *codebook.shape, self.seed
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = None
             for b in batches:
-                if b.num_rows:
-                    part = sums_of(matrix(b.column("vec")).astype(np.int64), b.column("w").to_numpy(), codebook, seed)
+                for vecs, w, h in zip(*(b.column(n).to_pylist() for n in ("vecs", "w", "h"))):
+                    part = sums_of(np.frombuffer(vecs, dtype="<u2").reshape(-1, width), np.frombuffer(w, dtype="<i8"), codebook, seed, np.frombuffer(h, dtype="<i8"))
                     total = part if total is None else merged([total, part])
             if total is not None:
-                yield from _sums_table(total).to_batches()
+                yield pa.RecordBatch.from_pydict({"task": pa.array([TaskContext.get().partitionId()], type=pa.int32()), "sums": pa.array([_packed(total)], type=pa.binary())})
 
         def add(t: pa.Table) -> pa.Table:
-            return _sums_table(_sums_of_table(t, k, width))
+            t = t.sort_by("task")
+            return pa.table({"task": t.column("task").slice(0, 1), "sums": pa.array([_packed(_sums_of_parts(t.column("sums").to_pylist(), k, width))], type=pa.binary())})
 
-        found = self.rows.select("vec", "w").mapInArrow(run, SUMS).groupBy("ix").applyInArrow(add, SUMS).toArrow()
-        return _sums_of_table(found, k, width)
+        found = self.blocks.mapInArrow(run, PARTS)
+        if self.parts > MOST_PARTS:
+            found = found.groupBy(F.col("task") % ADDERS).applyInArrow(add, PARTS)
+        return _sums_of_parts(found.toArrow().sort_by("task").column("sums").to_pylist(), k, width)
 
 
 def refine(data: TrainingSet, codebook: np.ndarray, eps: float, log: list) -> tuple[np.ndarray, Sums]:
