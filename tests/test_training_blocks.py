@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from quantavol.operators import vector
+from quantavol.options import Dims
 
 
 @pytest.fixture(scope="module")
@@ -37,3 +38,10 @@ def test_sums_over_few_tasks(spark, vecs, monkeypatch):
     assert same_sums(far.sums(words), want)
     far.close()
     near.close()
+
+
+def test_all_sizes_from_blocks(vecs):
+    near = vector.train_all_sizes(vecs, Dims(4), 16)
+    out = {}
+    vector.train(vecs, 16, Dims(4), found=lambda b: out.update({len(b.vectors): b}), local_samples=0)
+    assert [len(b.vectors) for b in near] == sorted(out) and all((b.vectors == out[len(b.vectors)].vectors).all() for b in near)
