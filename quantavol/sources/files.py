@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections import OrderedDict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -13,8 +12,8 @@ import pyarrow.fs as pafs
 
 #: Bytes read or passed on at once, where items are smaller.
 AT_ONCE = 4 << 20
-#: Staged files that a commit holds open.
-MOST_OPEN = 64
+#: Bytes that a commit puts together at once from short runs, and gaps between them that are read over.
+WINDOW, NEAR = 32 << 20, 64 << 10
 
 
 def partition_bytes(total: int) -> int:
@@ -116,27 +115,52 @@ class Joined:
             return
         ends = self.at + self.sizes
         cuts = np.append(np.flatnonzero((self.owner[1:] != self.owner[:-1]) | (self.at[1:] != ends[:-1])) + 1, len(ends))
-        held: OrderedDict[int, object] = OrderedDict()
-        begin = 0
-        try:
-            for end in cuts.tolist():
-                who, at, stop = int(self.owner[begin]), int(self.at[begin]), int(ends[end - 1])
-                if who not in held:
-                    if len(held) >= MOST_OPEN:
-                        held.popitem(last=False)[1].close()
-                    fs, path = locate(self.staged[who].name)
-                    held[who] = fs.open_input_file(path)
-                held.move_to_end(who)
-                while at < stop:
-                    piece = held[who].read_at(min(AT_ONCE, stop - at), at)
-                    if not piece:
-                        raise OSError(f"{self.staged[who].name} is cut short")
-                    at += len(piece)
-                    yield piece
-                begin = end
-        finally:
-            for f in held.values():
-                f.close()
+        begins = np.concatenate(([0], cuts[:-1]))
+        who, at, n = self.owner[begins], self.at[begins], ends[cuts - 1] - self.at[begins]
+        long, upto = np.append(np.flatnonzero(n >= AT_ONCE), len(n)), np.cumsum(n)
+        i = 0
+        while i < len(n):
+            if n[i] >= AT_ONCE:
+                yield from self._long(int(who[i]), int(at[i]), int(n[i]))
+                i += 1
+                continue
+            j = min(int(np.searchsorted(upto, upto[i] - n[i] + WINDOW, side="right")), int(long[np.searchsorted(long, i)]))
+            yield self._window(who[i:j], at[i:j], n[i:j])
+            i = j
+
+    def _read(self, file, who: int, at: int, n: int) -> bytes:
+        data = file.read_at(n, at)
+        if len(data) < n:
+            raise OSError(f"{self.staged[who].name} is cut short")
+        return data
+
+    def _long(self, who: int, at: int, n: int) -> Iterator[bytes]:
+        fs, path = locate(self.staged[who].name)
+        with fs.open_input_file(path) as f:
+            for i in range(at, at + n, AT_ONCE):
+                yield self._read(f, who, i, min(AT_ONCE, at + n - i))
+
+    def _window(self, who: np.ndarray, at: np.ndarray, n: np.ndarray) -> bytes:
+        """Short runs of many files. Each file is opened once, and what stands there close together is read together."""
+        to, out = np.cumsum(n) - n, bytearray(int(n.sum()))
+        order = np.lexsort((n, at, who))
+        who, at, n, to = who[order], at[order], n[order], to[order]
+        for part in np.split(np.arange(len(who)), np.flatnonzero(np.diff(who)) + 1):
+            owner = int(who[part[0]])
+            fs, path = locate(self.staged[owner].name)
+            with fs.open_input_file(path) as f:
+                begin, data = 0, b""
+                far = at[part] + n[part]
+                for k, a, m, t in zip(part.tolist(), at[part].tolist(), n[part].tolist(), to[part].tolist()):
+                    if a + m > begin + len(data):
+                        # As far as gaps are short and the read stays bounded.
+                        i = k - int(part[0])
+                        last = i + int(np.searchsorted(far[i:], a + AT_ONCE, side="right")) - 1
+                        gaps = np.flatnonzero(at[part[i + 1 : last + 1]] - far[i:last] > NEAR)
+                        last = i + int(gaps[0]) if len(gaps) else last
+                        begin, data = a, self._read(f, owner, a, int(far[last]) - a)
+                    out[t : t + m] = data[a - begin : a - begin + m]
+        return bytes(out)
 
 
 def remove(uri: str) -> None:
