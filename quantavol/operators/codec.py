@@ -79,12 +79,11 @@ def encode(chosen: DataFrame, options: QuantOptions, book: Codebook, first: int
     dims, tile, wrap = options.dims, options.tile, options.wrap
     if options.kind is Quantization.VECTOR_3D:
 
-        def layer(table: pa.Table) -> pa.Table:
-            box = Dims(dims.x, dims.y, table.num_rows)
-            return _chunk(table.column("layer")[0].as_py(), code.encode(book.encode(tiling.gather(tiling.stacked(table), box, tile, wrap))))
+        def layer(number: int, z: np.ndarray, data: np.ndarray) -> pa.RecordBatch:
+            box = Dims(dims.x, dims.y, len(z))
+            return _chunk_batch([(number, code.encode(book.encode(tiling.gather(data, box, tile, wrap))), None)])
 
-        layers = tiling.layer_of(F.col("z"), _depth(options).z, tile.z, first).alias("layer")
-        return chosen.select("z", "data", layers).groupBy("layer").applyInArrow(layer, CHUNKS)
+        return tiling.by_layers(chosen, Dims(dims.x, dims.y, _depth(options).z), tile.z, first, layer, CHUNKS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _chunk_batches((z - first, code.encode(book.encode(_vectors(data, dims, tile, wrap))), None) for z, data in _planes(batches))
@@ -244,10 +243,6 @@ def _vectors(data: np.ndarray, dims: Dims, tile: Dims | None, wrap) -> np.ndarra
     return data if tile is None else tiling.gather(data, Dims(dims.x, dims.y), Dims(tile.x, tile.y), wrap)
 
 
-def _chunk(number: int, payload: bytes) -> pa.Table:
-    return pa.Table.from_batches([_chunk_batch([(number, payload, None)])])
-
-
 def _chunk_batches(chunks: Iterator[tuple[int, bytes, bytes | None]]) -> Iterator[pa.RecordBatch]:
     """(chunk, payload, book) as batches of some megabytes; small chunks don't cost a batch each."""
     held, size = [], 0

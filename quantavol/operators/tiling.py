@@ -10,8 +10,9 @@ and then gathers whole planes; nothing is exploded by sample.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -116,14 +117,35 @@ def stacked(table: pa.Table) -> np.ndarray:
     return np.concatenate([x.values.to_numpy(zero_copy_only=False) for x in table.column("data")])
 
 
-def tile_layers(planes: DataFrame, dims: Dims, tile: Dims, wrap: Wrap = Wrap.MIRROR, first: int = 0) -> DataFrame:
-    """3-D tiles of each layer. The planes of a layer, fewer than twice the tile's depth, meet in a task."""
+#: Samples and layers of a group that tasks are handed at once.
+GROUP_SAMPLES, GROUP_LAYERS = 1 << 20, 256
+
+
+def by_layers(planes: DataFrame, dims: Dims, tile_z: int, first: int, f: Callable[[int, np.ndarray, np.ndarray], pa.RecordBatch], schema: str) -> DataFrame:
+    """f(layer, numbers of its planes, its flat box) of every layer. The planes of a layer, fewer than twice the tile's
+    depth, meet in a task; neighbouring small layers are one group, as a group costs time of its own."""
+    each = max(1, min(GROUP_LAYERS, GROUP_SAMPLES // (dims.plane * tile_z)))
 
     def run(table: pa.Table) -> pa.Table:
-        box = Dims(dims.x, dims.y, table.num_rows)
-        return pa.Table.from_batches([vector_batch(table.column("layer")[0].as_py(), gather(stacked(table), box, tile, wrap))])
+        table = table.sort_by([("layer", "ascending"), ("z", "ascending")])
+        layers, z = table.column("layer").to_numpy(), table.column("z").to_numpy()
+        data = pa.concat_arrays(table.column("data").chunks)
+        samples, ends = data.values.to_numpy(zero_copy_only=False), data.offsets.to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(layers)) + 1).tolist(), len(layers)]
+        return pa.Table.from_batches([f(int(layers[a]), z[a:b], samples[ends[a] : ends[b]]) for a, b in pairwise(cuts)]).combine_chunks()
+
+    layer = layer_of(F.col("z"), dims.z, tile_z, first)
+    groups = planes.select("z", "data", layer.alias("layer")).groupBy(F.floor(F.col("layer") / each).alias("layers"))
+    return groups.applyInArrow(run, schema)
+
+
+def tile_layers(planes: DataFrame, dims: Dims, tile: Dims, wrap: Wrap = Wrap.MIRROR, first: int = 0) -> DataFrame:
+    """3-D tiles of each layer."""
+
+    def vectors(layer: int, z: np.ndarray, box: np.ndarray) -> pa.RecordBatch:
+        return vector_batch(layer, gather(box, Dims(dims.x, dims.y, len(z)), tile, wrap))
 
-    return planes.select("z", "data", layer_of(F.col("z"), dims.z, tile.z, first).alias("layer")).groupBy("layer").applyInArrow(run, VECTORS)
+    return by_layers(planes, dims, tile.z, first, vectors, VECTORS)
 
 
 def tiles(planes: DataFrame, dims: Dims, tile: Dims, wrap: Wrap = Wrap.MIRROR, first: int = 0) -> DataFrame:

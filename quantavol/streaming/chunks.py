@@ -8,6 +8,7 @@ there each stream row is a whole box.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +19,10 @@ from pyspark.sql.streaming import StreamingQuery
 from quantavol.operators import codec, tiling
 from quantavol.operators.huffman import HuffmanCode
 from quantavol.options import Dims, QuantOptions, Wrap
+from quantavol.sources import files
 from quantavol.sources.container import parse_stream_chunk, stream_chunk
 
+T = TypeVar("T")
 BOXES = "id long, x int, y int, z int, data array<int>"
 
 
@@ -61,16 +64,30 @@ def decode_box(body: bytes, tile: Dims | None, book: codec.Codebook, code: Huffm
     return dims, np.concatenate(out) if out else np.zeros(0, dtype=np.int64)
 
 
+def _at_once(items: Iterator[tuple[int, T, int]]) -> Iterator[tuple[int, list[T]]]:
+    """(number, item, bytes) in lists of some megabytes with the number of the first; small boxes don't cost a batch each."""
+    held, size, first = [], 0, 0
+    for i, item, n in items:
+        first = first if held else i
+        held.append(item)
+        size += n
+        if size >= files.AT_ONCE or len(held) >= codec.MOST_ROWS:
+            yield first, held
+            held, size = [], 0
+    if held:
+        yield first, held
+
+
 def encode_boxes(boxes: DataFrame, tile: Dims | None, book: codec.Codebook, wrap: Wrap = Wrap.MIRROR) -> DataFrame:
     """(id, n_bytes, body) of a stream of boxes (id, x, y, z, data)."""
     code = HuffmanCode(book.frequencies)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(b.num_rows):
-                dims = Dims(*(b.column(c)[i].as_py() for c in "xyz"))
-                body = encode_box(b.column("data")[i].values.to_numpy(zero_copy_only=False), dims, tile, book, code, wrap)
-                yield pa.RecordBatch.from_arrays([b.column("id").slice(i, 1), pa.array([len(body)]), pa.array([body], type=pa.binary())], names=["id", "n_bytes", "body"])
+            sizes = zip(*(b.column(c).to_pylist() for c in "xyz"))
+            coded = ((k, body, len(body)) for k, body in ((i, encode_box(b.column("data")[i].values.to_numpy(zero_copy_only=False), Dims(*d), tile, book, code, wrap)) for i, d in enumerate(sizes)))
+            for first, bodies in _at_once(coded):
+                yield pa.RecordBatch.from_arrays([b.column("id").slice(first, len(bodies)), pa.array([len(x) for x in bodies], type=pa.int64()), pa.array(bodies, type=pa.binary())], names=["id", "n_bytes", "body"])
 
     return boxes.select("id", "x", "y", "z", "data").mapInArrow(run, "id long, n_bytes long, body binary")
 
@@ -81,9 +98,11 @@ def decode_boxes(chunks: DataFrame, tile: Dims | None, book: codec.Codebook) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, body in enumerate(b.column("body").to_pylist()):
-                dims, data = decode_box(body, tile, book, code)
-                yield pa.RecordBatch.from_arrays([b.column("id").slice(i, 1), *(pa.array([v], type=pa.int32()) for v in dims), tiling.list_column(data[None, :])], names=["id", *"xyz", "data"])
+            boxes = ((i, x, 4 * len(x[1])) for i, x in enumerate(decode_box(body, tile, book, code) for body in b.column("body").to_pylist()))
+            for first, held in _at_once(boxes):
+                ends = np.cumsum([0, *(len(x) for _, x in held)]).astype(np.int32)
+                data = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([x for _, x in held]).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([b.column("id").slice(first, len(held)), *(pa.array(v, type=pa.int32()) for v in zip(*(d for d, _ in held))), data], names=["id", *"xyz", "data"])
 
     return chunks.select("id", "body").mapInArrow(run, BOXES)
 
